@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format, mixing
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -61,10 +62,103 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(said)
+    chats = chat_format.format_chats(rows)
+    read = chats.withColumn("turns", chat_format.read_chats(F.col("formatted"))).withColumn(
+        "loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?s>|sep>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"
+OP3_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)
+), o AS (
+  SELECT *, row_number() OVER w AS pos, coalesce(lag(role) OVER w <> role, true) AS begins,
+         coalesce(lead(role) OVER w <> role, true) AS ends
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({_ESCAPED.format("text")}) + CASE WHEN ends THEN 4 ELSE 0 END
+           + CASE WHEN begins THEN 4 + length({_ESCAPED.format("role")}) ELSE 5 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.balance_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        F.round("target", 6).alias("target"),
+        (F.col("copies") * F.col("size")).alias("taken"),
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS u
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s
+), f AS (  -- in the order of size by weight, the first sources stop at twice their size
+  SELECT *, 1.5 * sum(source_size) OVER () AS total,
+         coalesce(sum(2.0 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+         row_number() OVER o AS k
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)
+), l AS (
+  SELECT first((total - used) / rest ORDER BY k) AS level, first(k ORDER BY k) AS k0
+  FROM f WHERE (total - used) / rest * weight <= 2.0 * source_size
+), t AS (
+  SELECT source, source_size, CASE WHEN k0 IS NULL OR k < k0 THEN 2.0 * source_size ELSE level * weight END AS target
+  FROM f, l
+), x AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         floor(t.target / greatest(t.source_size, 1) + 1e-9) AS base,
+         t.target - floor(t.target / greatest(t.source_size, 1) + 1e-9) * t.source_size AS missing,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       CAST(size * (base + CASE WHEN 2 * upto - size <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
+    "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": OP3_SQL,
+    "op5_mixing": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
 }
