@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing
+from . import chat_format, mixing, secret_scan
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -151,14 +151,64 @@ FROM x
 """
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_base = sum(not p.weak for p in secret_scan.PARTS)
+    shown = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(shown(F.filter("spans", lambda s: s["rank"] < n_base)), 256).alias("base_sha256"),
+        shown(F.col("spans")).alias("spans"),
+    )
+
+
+def _op9_sql(reach: int = 200) -> str:
+    quoted = lambda p: p.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, {i} AS rank, '{p.kind}' AS kind, '{p.role}' AS role, {str(p.weak).lower()} AS weak, {p.least} AS least,
+        regexp_extract_all(text, '{quoted(p.pattern)}') AS ms, regexp_extract_all(text, '{quoted(p.pattern)}', {p.group}) AS vs,
+        string_split_regex(text, '{quoted(p.pattern)}') AS gs, [{", ".join(f"'{x}'" for x in p.also)}]::VARCHAR[] AS also FROM d"""
+        for i, p in enumerate(secret_scan.PARTS)
+    )
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), f AS ({found}
+), m AS (
+  SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0
+), n AS (
+  SELECT doc_id, rank, kind, role, weak, length(ms[i]) AS width, length(vs[i]) >= least AND len(list_filter(also, lambda x: NOT regexp_matches(ms[i], x))) = 0 AS ok,
+         CAST(sum(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS stop
+  FROM m
+), s AS (
+  SELECT *, stop - width AS start FROM n WHERE ok
+), k AS (
+  SELECT * FROM s WHERE NOT weak OR EXISTS (
+    SELECT 1 FROM s AS o WHERE o.doc_id = s.doc_id AND o.role <> s.role
+      AND o.start <= s.stop + {reach} AND s.start <= o.stop + {reach})
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (NOT weak), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op9_secret_scan": _op9_sql(),
 }
