@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, secret_scan
+from . import bpe, chat_format, mixing, secret_scan
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -106,6 +107,18 @@ FROM o GROUP BY conv_id
 """
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    path, pattern = public_tokenizers.path(vocabulary), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, path, pattern, keep_text=False), path, pattern)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.balance_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select(
@@ -201,6 +214,7 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op9_secret_scan": op9_secret_scan,
