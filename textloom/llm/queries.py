@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, secret_scan
+from . import bpe, chat_format, mixing, quality_model, secret_scan
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -164,6 +164,18 @@ FROM x
 """
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(quality_model.fold() != 0)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(quality_model.fold() == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_base = sum(not p.weak for p in secret_scan.PARTS)
@@ -217,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_model": op7_quality_model,
     "op9_secret_scan": op9_secret_scan,
 }
 
