@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, quality_model, secret_scan
+from . import bpe, chat_format, mixing, quality_model, secret_scan, simhash
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -176,6 +176,11 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_base = sum(not p.weak for p in secret_scan.PARTS)
@@ -230,6 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
+    "op8_simhash": op8_simhash,
     "op9_secret_scan": op9_secret_scan,
 }
 
