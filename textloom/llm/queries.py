@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, mixing, quality_model, secret_scan, simhash
+from . import bpe, chat_format, lz_fingerprint, mixing, quality_model, secret_scan, simhash
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -229,7 +229,12 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 """
 
 
+def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_lz_fingerprint": op10_lz_fingerprint,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
