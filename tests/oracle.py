@@ -25,7 +25,7 @@ def connection(sf_dir: str = DATA) -> duckdb.DuckDBPyConnection:
 def _plain(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     rows = [
-        tuple(None if x is None or (isinstance(x, float) and x != x) else round(x, 6) if isinstance(x, float) else x for x in row)
+        tuple(None if pd.api.types.is_scalar(x) and pd.isna(x) else round(x, 6) if isinstance(x, float) else x for x in row)
         for row in frame.astype(object).itertuples(index=False)
     ]
     return sorted(rows, key=repr)
