@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lz_fingerprint, mixing, quality_model, secret_scan, simhash
+from . import bpe, chat_format, lz_fingerprint, mixing, quality_model, secret_scan, simhash, warc
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -63,6 +63,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives, folder = warc.archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    read = warc.records(warc.read_archives(archives, folder, with_data=False))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, {5 * (k // 4) + 1}, 5))::BIGINT >> {15 - 5 * (k % 4)}) & 31 AS BIGINT) + 1, 1)"
+    for k in range(32)
+)
+OP2_SQL = f"""
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -235,6 +257,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lz_fingerprint": op10_lz_fingerprint,
+    "op2_warc": op2_warc,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
@@ -245,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
