@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lz_fingerprint, mixing, quality_model, secret_scan, simhash, warc
+from . import bpe, chat_format, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, warc
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -63,6 +63,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM q
 """
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(ngram_lm.remainder() == 2, F.lit(False))
+    trie = ngram_lm.train(docs.filter(~held_out).select("text"))
+    return ngram_lm.score(docs, trie).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(trie.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, folder = warc.archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     read = warc.records(warc.read_archives(archives, folder, with_data=False))
@@ -257,6 +272,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lz_fingerprint": op10_lz_fingerprint,
+    "op1_ngram_lm": op1_ngram_lm,
     "op2_warc": op2_warc,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
