@@ -107,4 +107,4 @@ def test_query(spark):
         base = sum(math.log10((model.counts[(x,)] + 1) / (model.tokens + model.vocabulary + 1)) for x in w)
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(w), model.tokens)
         assert abs(r.base_score - base) < 1e-6
-    print("held-out", sum(r.score for r in got if r.held_out), sum(r.base_score for r in got if r.held_out))
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)

@@ -104,10 +104,9 @@ def _slice(docs: DataFrame, wanted: DataFrame, n_sources: int, level: int) -> tu
     return docs, cut_lineage(open_)
 
 
-def mix(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
-    """docs (doc_id, source, size, u) with their source's size, target, rate and their ``copies``.
-
-    sources has source, source_size, target and rate. u is a hex string that orders documents at random.
+def find_limits(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """sources (source, source_size, target, rate) with the place in the order of ``u`` up to which documents get
+    one copy more. docs: doc_id, source, size and u, a hex string that orders documents at random.
     """
     base = F.floor(F.col("rate") + 1e-9)
     wanted = sources.select("source", (F.col("target") - base * F.col("source_size")).alias("missing"), F.lit(0).cast("long").alias("before"))
@@ -123,12 +122,16 @@ def mix(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     order = Window.partitionBy("source").orderBy("u", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     last = join_sources(inside, wanted, n_sources).withColumn("upto", F.col("before") + F.sum("size").over(order))
     last = last.filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("missing"))
-    edge = F.struct("u", "doc_id", "size")
-    edges = cut_lineage(last.groupBy("source").agg(F.max(edge).alias("edge")))
+    edges = cut_lineage(last.groupBy("source").agg(F.max(F.struct("u", "doc_id", "size")).alias("edge")))
     limits = sources
     for more in (*bounds, edges):
         limits = join_sources(limits.withColumn("doc_id", F.lit(0)), more, n_sources).drop("doc_id")
-    limits = cut_lineage(limits)
+    return cut_lineage(limits)
+
+
+def take(docs: DataFrame, limits: DataFrame, n_sources: int) -> DataFrame:
+    """docs with their source's size, target and rate, and their ``copies``; nothing but limits is shuffled."""
+    base, edge = F.floor(F.col("rate") + 1e-9), F.struct("u", "doc_id", "size")
     a, b = F.substring("u", 1, 3), F.substring("u", 4, 3)
     below = (
         F.when(F.col("slice0").isNull() | (a < F.col("slice0")), True)
@@ -141,13 +144,23 @@ def mix(docs: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     return join_sources(docs, limits, n_sources).withColumn("copies", copies).drop("slice0", "slice1", "edge")
 
 
+def sized(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with each row's size in words and its place ``u`` in a random order."""
+    return df.withColumns({"size": word_count(text), "u": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+
+
 def balance_sources(
-    df: DataFrame, text: str = "text", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0
+    df: DataFrame, text: str = "text", weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, source, size, u, source_size, weight, target, rate and copies of every row of df."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    docs = cut_lineage(df.select("doc_id", "source", word_count(text).alias("size"), order.alias("u")))
+    """doc_id, source, size, u, source_size, weight, target, rate and copies of every row of df.
+
+    keep: more columns of df to return; with any, df's rows are read once more instead of being stored.
+    """
+    slim = sized(df, text).select("doc_id", "source", "size", "u")
+    docs = cut_lineage(slim)
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = cut_lineage(cycle_weights(totals, weights))
     sources = cut_lineage(balance(set_targets(sources, share, cap)))
-    return mix(docs, sources, sources.count())
+    n_sources = sources.count()
+    limits = find_limits(docs, sources, n_sources)
+    return take(sized(df, text).select(*slim.columns, *keep) if keep else docs, limits, n_sources)

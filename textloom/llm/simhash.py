@@ -54,16 +54,18 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fp (a long with the fingerprint's 64 bits) of every row."""
+    """doc_id, fp (a long with the fingerprint's 64 bits) and text_hash of every row."""
     arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "text_hash"])
 
     kind = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = df.select("doc_id", text, F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, fp long, text_hash long")
 
 
 def cuts(bits: int, length: int = 64) -> list[tuple[int, int]]:
@@ -151,13 +153,14 @@ def link(distinct: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable, itself included) of every row."""
+    """doc_id, fp, text_hash, component_id (the smallest doc_id reachable, itself included) and component (the
+    least fingerprint of the component, which also tells apart components without an id) of every row."""
     docs = cut_lineage(fingerprints(df, text, width))
     distinct = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link(distinct, bits))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    classes = joined.select("fp", "root").join(smallest, "root").select("fp", "component_id", F.col("root").alias("component"))
     return attach(docs, classes)
 
 
@@ -166,4 +169,14 @@ def attach(docs: DataFrame, classes: DataFrame, salts: int = 32) -> DataFrame:
     row is copied to the salts that its own rows use, so no task holds them all."""
     salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     used = salted.select("fp", "salt").distinct()
-    return salted.join(used.join(classes, "fp"), ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return salted.join(used.join(classes, "fp"), ["fp", "salt"]).drop("salt")
+
+
+def keep_one(df: DataFrame, text: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
+    """df with one row of each component: that of the smallest doc_id (nulls last; ties by the text's hash)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    found = near_duplicates(df, text, width, bits).groupBy("component").agg(F.min(order).alias("o"))
+    chosen = found.select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    hashed = df.join(chosen, same, "left_semi")
+    return hashed.withColumn("_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
