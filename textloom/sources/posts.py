@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -46,15 +46,13 @@ def read_posts_strict(spark: SparkSession, path: str) -> DataFrame:
     return checked.filter("_ok").select(F.col("user")[0].alias("user"), T.clean_markup(F.col("event")[0]["string"]).alias("text"))
 
 
-def file_name(extension: str = "xml") -> F.Column if False else object:
+def file_name(extension: str = "xml") -> Column:
     """The name of the row's file without its extension: the external name of a user's file."""
     return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*?)(\.{extension})?$", 1)
 
 
 def user_names(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, user): names of the files of a folder, numbered by name."""
-    from pyspark.sql import Window
-
     names = spark.read.format("binaryFile").load(path).select(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*?)(\.xml)?$", 1).alias("user"))
     distinct = names.distinct()
     return distinct.select(F.row_number().over(Window.orderBy("user")).cast("long").alias("user_id"), "user")
@@ -66,8 +64,6 @@ def locate_posts(posts: DataFrame, users: DataFrame) -> DataFrame:
     Spans of a file don't overlap, so a post's span is the last that began before it: spans and posts are ordered
     together and the last user is carried on, in slices of a file of about a million offsets.
     """
-    from pyspark.sql import Window
-
     width = 1_000_000
     piece = F.floor(F.col("start") / width).cast("long")
     marks = users.select(
