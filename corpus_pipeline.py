@@ -48,8 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     path, pattern = public_tokenizers.path(vocabulary), public_tokenizers.PATTERN
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, keep_text=False)
-    decoded = bpe.decode(coded, path, pattern)
+    decoded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, pattern)
     return decoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from textloom.llm.bpe import decode, encode, load
+from textloom.llm.bpe import decode, encode, load, round_trip
 from textloom.llm.queries import op4_byte_bpe
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -37,6 +37,8 @@ def test_like_tiktoken(spark, reference):
         assert r.ids == reference.encode_ordinary(text), repr(text)[:80]
         assert bytes(r.decoded).decode() == text
     assert encode(df.limit(0), PATH, P.PATTERN).count() == 0
+    once = {r.doc_id: (r.ids, bytes(r.decoded)) for r in round_trip(df, PATH, P.PATTERN).collect()}
+    assert once == {r.doc_id: (r.ids, bytes(r.decoded)) for r in got}
 
 
 def test_cache_may_overflow(monkeypatch, reference):

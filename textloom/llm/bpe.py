@@ -5,9 +5,9 @@ number). Every node holds the leftmost position of its least rank, so the root n
 changes the ranks of at most three positions (the merged token, its left neighbour, the token it swallowed) and
 each change climbs the tree once: a piece of n bytes costs O(n log n).
 
-Texts are cut at single spaces into chunks that the split pattern treats independently; chunks are encoded
-once while they stay in a worker's bounded cache, and a batch's new short pieces climb their trees together in
-numpy (one row a piece). Texts with runs of white space around a space are split as a whole.
+Texts are cut at single spaces into chunks that the split pattern treats independently; chunks and their pieces
+are encoded once while they stay in a worker's bounded cache, and a batch's new short pieces climb their trees
+together in numpy (one row a piece). Texts with runs of white space around a space are split as a whole.
 
 A null text counts as empty: no ids, no bytes. Texts are never shortened. Repeated rows are encoded one by
 one; extra columns pass through, those named like an output are replaced. An empty table gives no rows.
@@ -16,7 +16,9 @@ one; extra columns pass through, those named like an output are replaced. An emp
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -30,11 +32,17 @@ from .common import arrow_batches
 
 #: Pieces of more bytes are encoded one by one in Python lists.
 SHORT = 64
-#: Chunks that a worker remembers; beyond that it forgets all and starts anew.
+#: Chunks and pieces in the younger of two generations that a worker remembers. When it is full it becomes the
+#: older one, whose entries go unless they are met again before the next turn.
 CACHE_CHUNKS = 200_000
 NONE = 1 << 30
 
 
+def _key(piece: str) -> str:
+    """Chunks are kept under what follows their space; those without one, or with more, after a space."""
+    return piece[1:] if piece[:1] == " " and " " not in piece[1:] else " " + piece
+
+
 class ByteBpe:
     """Ranks of a byte-level BPE; ``encode`` gives ids of texts, ``decode`` the bytes of ids."""
 
@@ -44,6 +52,7 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern)
+        self.keeps_words = r"| ?\p{L}+|" in f"|{pattern}|"
         self.crowded = regex.compile(r"\s \s|\s \Z")
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.size = len(self.bytes_of)
@@ -57,6 +66,7 @@ class ByteBpe:
         self.pair_keys = np.array([k for k, _ in pairs] + [1 << 62], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs] + [NONE], np.int64)
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     # one long piece -------------------------------------------------------------------------------------
 
@@ -117,43 +127,47 @@ class ByteBpe:
         for first in (1 << k for k in range(width.bit_length() - 2, -1, -1)):
             a, b = tree[:, 2 * first : 4 * first : 2], tree[:, 2 * first + 1 : 4 * first : 2]
             tree[:, first : 2 * first] = np.where(np.take_along_axis(rank, a, 1) <= np.take_along_axis(rank, b, 1), a, b)
-
-        def update(rows: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> None:
-            rank[rows, at] = ranks
-            node = (at + width) >> 1
+        live = column < lengths[:, None]
+        # Flat views: a cell of row r is at r * width + its column.
+        flat_ids, flat_ends, flat_before, flat_rank = ids.ravel(), ends.ravel(), before.ravel(), rank.ravel()
+        flat_tree, flat_live = tree.ravel(), live.ravel()
+
+        def update(row: np.ndarray, at: np.ndarray, ranks: np.ndarray | int) -> None:
+            flat_rank[row + at] = ranks
+            node, top = (at + width) >> 1, 2 * row
             for _ in range(width.bit_length() - 1):
-                a, b = tree[rows, 2 * node], tree[rows, 2 * node + 1]
-                tree[rows, node] = np.where(rank[rows, a] <= rank[rows, b], a, b)
+                below = top + 2 * node
+                a, b = flat_tree[below], flat_tree[below + 1]
+                flat_tree[top + node] = np.where(flat_rank[row + a] <= flat_rank[row + b], a, b)
                 node >>= 1
 
-        rows = np.arange(m)
+        row, stop = np.arange(m) * width, lengths
         while True:
-            i = tree[rows, 1]
-            live = rank[rows, i] < NONE
-            rows, i = rows[live], i[live]
-            if not len(rows):
+            i = flat_tree[2 * row + 1]
+            found = flat_rank[row + i]
+            going = found < NONE
+            row, stop, i, found = row[going], stop[going], i[going], found[going]
+            if not len(row):
                 break
-            j = ends[rows, i]
-            end = ends[rows, j]
-            ids[rows, i] = rank[rows, i]
-            ends[rows, i] = end
-            inner = end < lengths[rows]
-            before[rows[inner], end[inner]] = i[inner]
-            update(rows, j, np.full(len(rows), NONE))
-            after = np.full(len(rows), NONE)
-            after[inner] = self._pair_rank(ids[rows[inner], i[inner]], ids[rows[inner], end[inner]])
-            update(rows, i, after)
-            left = before[rows, i]
+            j = flat_ends[row + i]
+            end = flat_ends[row + j]
+            flat_ids[row + i] = found
+            flat_ends[row + i] = end
+            flat_live[row + j] = False
+            inner = end < stop
+            begun, at, then = row[inner], i[inner], end[inner]
+            flat_before[begun + then] = at
+            update(row, j, NONE)
+            after = np.full(len(row), NONE)
+            after[inner] = self._pair_rank(found[inner], flat_ids[begun + then])
+            update(row, i, after)
+            left = flat_before[row + i]
             has = left >= 0
-            update(rows[has], left[has], self._pair_rank(ids[rows[has], left[has]], ids[rows[has], i[has]]))
-        out = []
-        for r, n in enumerate(lengths.tolist()):
-            own, stop, i, got = ids[r].tolist(), ends[r].tolist(), 0, []
-            while i < n:
-                got.append(own[i])
-                i = stop[i]
-            out.append(got)
-        return out
+            begun, left = row[has], left[has]
+            update(begun, left, self._pair_rank(flat_ids[begun + left], found[has]))
+        got = flat_ids[flat_live].tolist()
+        upto = np.cumsum(live.sum(1)).tolist()
+        return [got[a:b] for a, b in zip([0, *upto], upto)]
 
     def merge(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
         """The ids of each distinct piece."""
@@ -177,24 +191,41 @@ class ByteBpe:
         parts = []
         for text in texts:
             if self.crowded.search(text):
-                parts.append([text])
+                parts.append([" " + text])
             else:
-                first, *rest = text.split(" ")
-                parts.append([first, *(" " + x for x in rest)])
-        distinct = set(chain.from_iterable(parts))
-        new = distinct - self.chunks.keys()
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
-            self.chunks.clear()
-            new = distinct
-        cut = {c: [p.encode() for p in self.split.findall(c)] for c in new}
-        ids = self.merge(chain.from_iterable(cut.values()))
+                own = text.split(" ")
+                own[0] = " " + own[0]
+                parts.append(own)
+        new = self._unknown(set(chain.from_iterable(parts)))
+        # A space and ASCII letters are one piece of the pattern only if it says so; then they needn't be split.
+        plain = {k for k in new if k.isalpha() and k.isascii()} if self.keeps_words else set()
+        cut = {k: (" " + k,) for k in plain}
+        cut.update((k, self.split.findall(k[1:] if k[:1] == " " else " " + k)) for k in new - plain)
+        pieces = {p: _key(p) for p in set(chain.from_iterable(cut.values()))}
+        known = self.chunks
+        unknown = self._unknown(set(pieces.values()), make_room=False)
+        raw = {p: p.encode() for p, k in pieces.items() if k in unknown}
+        merged = self.merge(raw.values())
+        own_ids = {p: tuple(merged[b]) for p, b in raw.items()}
+        known.update((pieces[p], ids) for p, ids in own_ids.items() if len(p) <= SHORT)
+        own_ids.update((p, known[k]) for p, k in pieces.items() if p not in own_ids)
         large: dict[str, tuple[int, ...]] = {}
-        for c, pieces in cut.items():
-            (self.chunks if len(c) <= SHORT else large)[c] = tuple(chain.from_iterable(map(ids.__getitem__, pieces)))
-        of = lambda c: self.chunks[c] if len(c) <= SHORT else large[c]
-        find = self.chunks.__getitem__ if not large else of
+        for k, own in cut.items():
+            ids = own_ids[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(own_ids.__getitem__, own)))
+            (known if len(k) <= SHORT else large)[k] = ids
+        find = (lambda k: large[k] if k in large else known[k]) if large else known.__getitem__
         return [np.fromiter(chain.from_iterable(map(find, own)), np.int32) for own in parts]
 
+    def _unknown(self, wanted: set[str], make_room: bool = True) -> set[str]:
+        """What of wanted no generation knows; what the older one knows moves to the younger."""
+        new = wanted - self.chunks.keys()
+        if make_room and len(self.chunks) + len(new) > CACHE_CHUNKS:
+            self.older, self.chunks = self.chunks, {}
+            new = set(wanted)
+        moved = new & self.older.keys()
+        self.chunks.update((c, self.older[c]) for c in moved)
+        return new - moved
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
@@ -216,6 +247,30 @@ def _schema(df: DataFrame, name: str, kind: T.DataType, without: str = "") -> T.
     return T.StructType([f for f in df.schema if f.name not in (name, without)] + [T.StructField(name, kind)])
 
 
+def _coded(bpe: ByteBpe, batch: pa.RecordBatch, text: str, ids: str, without: str) -> pa.RecordBatch:
+    found = bpe.encode([x or "" for x in batch.column(text).to_pylist()])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
+    values = np.concatenate(found) if found else np.empty(0, np.int32)
+    return _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), without)
+
+
+def _decoded(bpe: ByteBpe, batch: pa.RecordBatch, ids: str, out: str) -> pa.RecordBatch:
+    whole = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in batch.column(ids)]
+    return _with(batch, out, pa.array(whole, pa.binary()))
+
+
+@contextmanager
+def _no_cycle_search() -> Iterator[None]:
+    """The caches hold very many small objects and no cycles; searching these for cycles again and again is a waste."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """df with the array ``ids``. vocabulary: the rank file's path, the same on every executor."""
     arrow_batches(df.sparkSession)
@@ -223,11 +278,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary, pattern)
-        for batch in batches:
-            found = bpe.encode([x or "" for x in batch.column(text).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), without)
+        with _no_cycle_search():
+            for batch in batches:
+                yield _coded(bpe, batch, text, ids, without)
 
     return df.mapInArrow(run, _schema(df, ids, T.ArrayType(T.IntegerType()), without))
 
@@ -239,8 +292,23 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary, pattern)
         for batch in batches:
-            column = batch.column(ids)
-            whole = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in column]
-            yield _with(batch, out, pa.array(whole, pa.binary()))
+            yield _decoded(bpe, batch, ids, out)
 
     return df.mapInArrow(run, _schema(df, out, T.BinaryType()))
+
+
+def round_trip(
+    df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep_text: bool = False
+) -> DataFrame:
+    """df with ``ids`` and with ``out``, the bytes decoded from these ids, in one pass: ids travel once."""
+    arrow_batches(df.sparkSession)
+    without = "" if keep_text else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary, pattern)
+        with _no_cycle_search():
+            for batch in batches:
+                yield _decoded(bpe, _coded(bpe, batch, text, ids, without), ids, out)
+
+    coded = _schema(df, ids, T.ArrayType(T.IntegerType()), without)
+    return df.mapInArrow(run, T.StructType([*(f for f in coded if f.name != out), T.StructField(out, T.BinaryType())]))

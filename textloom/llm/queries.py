@@ -147,7 +147,7 @@ FROM o GROUP BY conv_id
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     path, pattern = public_tokenizers.path(vocabulary), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path, pattern, keep_text=False), path, pattern)
+    coded = bpe.round_trip(docs, path, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
