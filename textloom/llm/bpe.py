@@ -35,6 +35,8 @@ SHORT = 64
 #: Chunks and pieces in the younger of two generations that a worker remembers. When it is full it becomes the
 #: older one, whose entries go unless they are met again before the next turn.
 CACHE_CHUNKS = 200_000
+#: Texts of a batch (of 8 MB at most): the more, the more chunks and merges they share.
+BATCH_ROWS = 2048
 NONE = 1 << 30
 
 
@@ -273,7 +275,7 @@ def _no_cycle_search() -> Iterator[None]:
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """df with the array ``ids``. vocabulary: the rank file's path, the same on every executor."""
-    arrow_batches(df.sparkSession)
+    arrow_batches(df.sparkSession, BATCH_ROWS)
     without = "" if keep_text else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +289,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with ``out``: the bytes of the array of ids (null: none)."""
-    arrow_batches(df.sparkSession)
+    arrow_batches(df.sparkSession, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary, pattern)
@@ -301,7 +303,7 @@ def round_trip(
     df: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep_text: bool = False
 ) -> DataFrame:
     """df with ``ids`` and with ``out``, the bytes decoded from these ids, in one pass: ids travel once."""
-    arrow_batches(df.sparkSession)
+    arrow_batches(df.sparkSession, BATCH_ROWS)
     without = "" if keep_text else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
