@@ -160,16 +160,16 @@ def near_duplicates(df: DataFrame, text: str = "text", width: int = 4, bits: int
     roots = components(link(distinct, bits))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.select("fp", "root").join(smallest, "root").select("fp", "component_id", F.col("root").alias("component"))
-    return attach(docs, classes)
+    classes = attach(joined.select("fp", "root"), smallest, "root", "fp").select("fp", "component_id", F.col("root").alias("component"))
+    return attach(docs, classes, "fp", "doc_id")
 
 
-def attach(docs: DataFrame, classes: DataFrame, salts: int = 32) -> DataFrame:
-    """docs joined with their fingerprint's class. A fingerprint that very many rows share is salted: its class
-    row is copied to the salts that its own rows use, so no task holds them all."""
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    used = salted.select("fp", "salt").distinct()
-    return salted.join(used.join(classes, "fp"), ["fp", "salt"]).drop("salt")
+def attach(rows: DataFrame, classes: DataFrame, key: str, spread: str, salts: int = 32) -> DataFrame:
+    """rows joined with the class of their key. A key that very many rows share is salted by the column spread: its
+    class row is copied to the salts that its own rows use, so no task holds them all."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    used = salted.select(key, "salt").distinct()
+    return salted.join(used.join(classes, key), [key, "salt"]).drop("salt")
 
 
 def keep_one(df: DataFrame, text: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
