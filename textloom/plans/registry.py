@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.sources.files import table
+from textloom.sources.files import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None) -> Callable:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as posts: post_id, user, lang, words."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return docs.select(F.col("doc_id").alias("post_id"), F.col("source").alias("user"), "lang", T.words("text").alias("words"))
 
 

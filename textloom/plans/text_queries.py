@@ -11,7 +11,7 @@ from textloom.operators import moods as M
 from textloom.operators import sentences as S
 from textloom.operators import vocabulary as V
 from textloom.sources import files
-from textloom.sources.files import table
+from textloom.sources.files import spread, table
 from textloom.sources.posts import locate_posts
 from textloom.session import shared_folder
 from textloom.streaming.moods import mood_windows
@@ -38,12 +38,12 @@ def t02_clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("page_id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("clean_md5"))
 
 
-@query(rf"""SELECT doc_id, CAST(len(n) AS BIGINT) AS n_numbers, round(list_sum(list_transform(n, lambda x: TRY_CAST(regexp_replace(x, '\.$', '') AS DOUBLE))), 3) AS total FROM (
+@query(rf"""SELECT doc_id, CAST(len(n) AS BIGINT) AS n_numbers, list_sum(list_transform(n, lambda x: TRY_CAST(regexp_replace(x, '\.$', '') AS DOUBLE))) AS total FROM (
   SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}'), lambda x: regexp_matches(x, '^-?[0-9]')) AS n FROM documents) WHERE len(n) > 0""")
 def t08_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(T.tagged_tokens("text"), lambda x: x["kind"] == "num").alias("n"))
     total = F.aggregate("n", F.lit(0.0), lambda s, x: s + x["num"])
-    return docs.filter(F.size("n") > 0).select("doc_id", F.size("n").cast("long").alias("n_numbers"), F.round(total, 3).alias("total"))
+    return docs.filter(F.size("n") > 0).select("doc_id", F.size("n").cast("long").alias("n_numbers"), total.alias("total"))
 
 
 @query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS posted_at FROM events")
@@ -55,7 +55,8 @@ def t09_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + POSTS + """ SELECT post_id, CAST(len(r) AS BIGINT) AS n_tokens, CAST(len(words) AS BIGINT) AS n_words, md5(array_to_string(words, ' ')) AS words_md5
 FROM posts JOIN raw USING (post_id)""")
 def t10_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), T.words("text").alias("w"), T.raw_tokens("text").alias("r"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").alias("post_id"), T.words("text").alias("w"), T.raw_tokens("text").alias("r"))
     return docs.select("post_id", F.size("r").cast("long").alias("n_tokens"), F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 

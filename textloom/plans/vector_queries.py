@@ -17,7 +17,7 @@ from textloom.operators import semantic as Q
 from textloom.operators import sentences as S
 from textloom.operators import vocabulary as V
 from textloom.operators import weighting as W
-from textloom.sources.files import table
+from textloom.sources.files import spread, table
 
 from .registry import SENTENCE_VECTORS, TOK, VECTORS, labelled, posts, query, vocabulary_sql
 from .text_queries import MOODS
@@ -288,7 +288,7 @@ SEARCHES = ("time", '"of the"', "wor*", "+the -and", "user:news* OR time", "the
 
 
 def search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return K.analysed(docs.select(F.col("doc_id").alias("post_id"), F.col("text").alias("ptext"), F.col("source").alias("user")))
 
 

@@ -13,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files give fewer tasks than there are cores, as one small file does.
+
+    Large inputs have more parts than that and stay as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_moods(spark: SparkSession, path: str, header: bool = True, line_end: str = "\r") -> DataFrame:
     """(mood_id, mood, level, parent_id, parent) or (mood_id, mood), by how many columns the file has.
 
