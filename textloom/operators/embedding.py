@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 from textloom.functions.columns import sample_share
+from textloom.session import cut_lineage
 
 #: A matrix of word vectors up to this size is broadcast; larger ones are joined.
 BROADCAST_BYTES = 256 << 20
@@ -97,7 +98,8 @@ def _batched(rows: DataFrame, held: tuple[list[str], np.ndarray], words: str) ->
 
 def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:
     dim = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
-    marked = rows.withColumn("_row", F.monotonically_increasing_id())
+    # Written once: the row numbers are met again in the last join, and must be the same there.
+    marked = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     bag = marked.select("_row", F.explode(words).alias("word")).groupBy("_row", "word").agg(F.count("*").alias("cnt"))
     parts = bag.join(vectors.select("word", "vector"), "word")
     sums = parts.groupBy("_row").agg(*(F.sum(F.col("cnt") * F.get("vector", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dim)))
