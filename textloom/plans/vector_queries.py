@@ -320,7 +320,7 @@ def k03_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k02_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms, phrases, prefixes, fields and signs; tests compare it with a scan in Python."""
+    """Terms, phrases, prefixes, fields and signs; tests check such searches on hand-worked cases."""
     return K.search_batch(search_table(spark, sf_dir), list(SEARCHES), 10).select("query_id", "post_id", "score", "rank")
 
 
