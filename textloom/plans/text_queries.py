@@ -310,6 +310,14 @@ def j04_sentence_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(users, "post_id").select("post_id", "sent", "user", T.user_url("user").alias("url"))
 
 
+@query(SENTS + """ SELECT post_id, sent, "user", 'http://' || "user" || '.example.org/' AS url FROM sents""")
+def j04_sentence_users_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user of every sentence, however short."""
+    rows = S.sentences(posts(spark, sf_dir).select("post_id", "words")).select("post_id", "sent")
+    users = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("user"))
+    return rows.join(users, "post_id").select("post_id", "sent", "user", T.user_url("user").alias("url"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN c_name END AS "user" FROM orders o
 LEFT JOIN (SELECT *, c_custkey * 10 AS a, c_custkey * 10 + 6 AS b FROM customer) c ON o_custkey * 10 + o_orderkey % 10 BETWEEN a AND b AND c_custkey % 4 = o_custkey % 4""")
 def j06_posts_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,6 +270,12 @@ def w05_square_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.square_root(bow).select("post_id", "word", F.round("weight", 6).alias("weight"))
 
 
+@query("WITH " + TOK + " SELECT post_id, w AS word, round(sqrt(count(*)), 6) AS weight FROM tok GROUP BY ALL")
+def w05_square_root_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of every post."""
+    return W.square_root(X.bag_of_words(posts(spark, sf_dir), ["post_id"])).select("post_id", "word", F.round("weight", 6).alias("weight"))
+
+
 @query("WITH " + TOK + """, bow AS (SELECT post_id, w AS word, count(*) AS cnt FROM tok GROUP BY ALL), n AS (SELECT count(DISTINCT post_id) AS n FROM bow WHERE post_id % 4 <> 0),
 idf AS (SELECT word, ln(any_value(n.n)::DOUBLE) - ln(count(*)::DOUBLE) AS idf FROM bow, n WHERE post_id % 4 <> 0 GROUP BY word)
 SELECT post_id, word, round(cnt * coalesce(idf, 0.0), 6) AS weight FROM bow LEFT JOIN idf USING (word)""")
