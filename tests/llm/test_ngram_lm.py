@@ -108,3 +108,22 @@ def test_query(spark):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(w), model.tokens)
         assert abs(r.base_score - base) < 1e-6
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_order_four_smooths_with_trigrams(spark):
+    texts = ["the cat sat on the mat", "a cat sat on a mat", "the cat sat on it", "the dog sat on the mat", "dog cat sat by the mat"]
+    trie = N.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order=4, mass=2.0, tokens_per_shard=10)
+    model = Plain(texts, 4, 2.0)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in N.score(rows, trie).collect():
+        w = words(texts[r.doc_id])
+        assert abs(r.score - sum(math.log10(model.prob(w, i)) for i in range(len(w)))) < 1e-3 * len(w)
+
+
+def test_query_counts_trigrams(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    model = Plain([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3, 1000.0)
+    for r in op1_ngram_lm(spark, sf).collect():
+        w = words(docs[r.doc_id])
+        assert abs(r.score - sum(math.log10(model.prob(w, i)) for i in range(len(w)))) < 1e-3 * len(w)

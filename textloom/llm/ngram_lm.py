@@ -179,6 +179,11 @@ class Shard:
         begin = self.pointers.access(rank).astype(np.int64)
         return (self.next.access(local) - self._base(begin)).astype(np.int64)
 
+    def contexts(self, local: np.ndarray) -> np.ndarray:
+        """The context (a node of the level below) of each node."""
+        rank = self.pointers.successor(local.astype(U) + U(1), np.zeros(len(local), np.int64), np.full(len(local), self.pointers.n)) - 1
+        return self.keys.access(rank).astype(np.int64)
+
 
 def _shard_of(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
     return (_mix(context.astype(U) * FACTOR + word.astype(U)) % U(shards)).astype(np.int64)
@@ -245,6 +250,24 @@ class Trie(NamedTuple):
             out[own] = self.shard(level, int(k)).words(nodes[own] - firsts[k])
         return out
 
+    def node_contexts(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The contexts of global nodes: nodes of the level below."""
+        firsts = np.array([f for _, f in self.levels[level - 1]])
+        dealt = np.searchsorted(firsts, nodes, side="right") - 1
+        out = np.empty(len(nodes), np.int64)
+        for k in np.unique(dealt):
+            own = dealt == k
+            out[own] = self.shard(level, int(k)).contexts(nodes[own] - firsts[k])
+        return out
+
+    def later_words(self, level: int, nodes: np.ndarray) -> list[np.ndarray]:
+        """The words of global nodes without the first one."""
+        words: list[np.ndarray] = []
+        for k in range(level, 1, -1):
+            words.insert(0, self.node_words(k, nodes))
+            nodes = self.node_contexts(k, nodes) if k > 2 else nodes
+        return words
+
     def node_counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
         firsts = np.array([f for _, f in self.levels[level - 1]])
         dealt = np.searchsorted(firsts, nodes, side="right") - 1
@@ -272,6 +295,17 @@ class Trie(NamedTuple):
             out[known[there]] = p[inverse][there]
         return nodes, out, counts
 
+    def after(self, before: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        """log10 p of words after the words before them, which stood together in the training texts, level by level."""
+        lower = self.word_probs(_word_counts(self, word))
+        for level in range(2, len(before) + 2):
+            context, *rest = before[len(before) + 1 - level :]
+            counts = _word_counts(self, context)
+            for k, w in enumerate(rest, 2):
+                context, _, counts = self.find(k, context, w)
+            _, lower, _ = self.probs(level, context, counts, word, lower)
+        return lower
+
     def walk(self, hashes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Level by level: (nodes, log10 p, counts, words) of every token with the longest contexts so far."""
         distinct, inverse = np.unique(hashes, return_inverse=True)
@@ -418,10 +452,7 @@ def _add_level(texts: DataFrame, trie: Trie, folder: str, level: int, shards: in
         ends = word[first + sizes - 1] + 1
         base = np.concatenate([[0], np.cumsum(ends)[:-1]])
         values = word + np.repeat(base, sizes)
-        lower = trie.word_probs(_word_counts(trie, word))
-        if level > 2:  # p of the word after the context's last word
-            before = trie.node_words(level - 1, context)
-            _, lower, _ = trie.probs(2, before, _word_counts(trie, before), word, lower)
+        lower = trie.after(trie.later_words(level - 1, context), word)  # p of the word after the shorter context
         total = np.repeat(trie.node_counts(level - 1, context[first]), sizes)
         probs = np.log10((counts + trie.mass * 10**lower) / (total + trie.mass))
         arrays = (

@@ -66,7 +66,7 @@ FROM q
 def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(ngram_lm.remainder() == 2, F.lit(False))
-    trie = ngram_lm.train(docs.filter(~held_out).select("text"))
+    trie = ngram_lm.train(docs.filter(~held_out).select("text"), order=3)
     return ngram_lm.score(docs, trie).select(
         "doc_id",
         held_out.alias("held_out"),
