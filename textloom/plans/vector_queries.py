@@ -30,7 +30,7 @@ BATCH = ("the [2] and", ("the", "of [3] and"), "in [-1] to the")
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, vector) of the words with word_id = vec_id + 1. There are as many as embeddings; they are kept."""
-    vocabulary = V.build(posts(spark, sf_dir), most=5000)
+    vocabulary = V.build(posts(spark, sf_dir), most=None)
     given = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("word_id"), F.col("embedding").cast("array<double>").alias("vector"))
     return vocabulary.join(given, "word_id").select("word", "vector").persist()
 
@@ -117,7 +117,7 @@ def q04_query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query over a reproducible three tenths of the posts, with their own vocabulary."""
     own = posts(spark, sf_dir).filter(F.col("post_id") % 10 < 3)
     given = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("word_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    vectors = V.build(own, most=5000).join(given, "word_id").select("word", "vector").persist()
+    vectors = V.build(own, most=None).join(given, "word_id").select("word", "vector").persist()
     rows = E.sentence_vectors(S.sentences(own).select("post_id", "sent", "words", "n_words"), vectors)
     return _shown(Q.search(rows, vectors, [FLAGSHIP], 20, min_words=0))
 
