@@ -52,3 +52,11 @@ def test_redaction(spark):
         assert (r.spans, r.cell) == ("?", 3)
     empty = spark.createDataFrame([], SCHEMA)
     assert redact(empty).count() == 0 and scan_secrets(empty).count() == 0
+
+
+def test_a_part_does_not_vouch_for_itself(spark):
+    alone = ["see https://site.org/2024/05/some-long-article-title for more", "client_id=abc123def456abc123def456abc1"]
+    beside = "https://site.org/2024/05/some-long-article-title login=alice"
+    rows = spark.createDataFrame([(i, t, "?", 3) for i, t in enumerate([*alone, beside])], SCHEMA)
+    assert {r.doc_id: r.text for r in redact(rows).collect()} == {0: alone[0], 1: alone[1], 2: "[SECRET] [SECRET]"}
+    assert {r.doc_id: [s["kind"] for s in r.spans] for r in scan_secrets(rows).collect()} == {0: [], 1: [], 2: ["endpoint", "opaque", "login"]}

@@ -3,7 +3,7 @@
 Strong parts (always reported): ``assign`` (a secret-like name with a value of 8 or more characters),
 ``access`` (a cloud access key id) and ``hex`` (32 or more lower-case hex digits).
 Weak parts are reported only when a complementary part lies in the same scope, that is within ``reach``
-characters in the same text: ``login`` (a named identifier) needs a secret near it; ``opaque`` (a long mixed
+characters in the same text and apart from it, so that no part vouches for itself: ``login`` (a named identifier) needs a secret near it; ``opaque`` (a long mixed
 token) needs an identifier or an endpoint; ``endpoint`` (a URL or an IPv4 address) needs an identifier or a
 secret. The linking is an interval semi-join: parts are dealt to cells of one scope's length, joined on text
 and cell under the interval condition, and only their existence is asked for, so no pairs are made.
@@ -126,7 +126,7 @@ def link(spans: DataFrame, parts: tuple[Part, ...] = PARTS, reach: int = 200) ->
     )
     near = (
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("cell") == F.col("c"))
-        & (F.col("role") != F.col("r")) & (F.col("s") <= F.col("end") + reach) & (F.col("start") <= F.col("e") + reach)
+        & (F.col("role") != F.col("r")) & ((F.col("s") >= F.col("end")) | (F.col("e") <= F.col("start"))) & (F.col("s") <= F.col("end") + reach) & (F.col("start") <= F.col("e") + reach)
     )
     linked = left.join(right, near, "left_semi").drop("cell").distinct()
     return strong.unionByName(linked).drop("role")
