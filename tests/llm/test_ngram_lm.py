@@ -33,15 +33,35 @@ def words(text):
 
 def test_token_hashes_are_of_words():
     texts = ["a b", "", None, "B\tA a", "  ", "é É ab", "xa", "a", "x" * 5000, " b", "b "]
-    hashes, lengths = N.token_hashes(pa.array(texts))
+    distinct, codes, lengths = N.tokens(pa.array(texts))
+    hashes = distinct[codes]
     flat = [w for t in texts for w in words(t)]
     assert lengths.tolist() == [len(words(t)) for t in texts]
     of = {}
     for w, h in zip(flat, hashes.tolist()):
         assert of.setdefault(w, h) == h
     assert len(set(of.values())) == len(of)
-    sliced, _ = N.token_hashes(pa.array(texts).slice(3, 2))
-    assert sliced.tolist() == hashes[5:10].tolist()
+    distinct, codes, _ = N.tokens(pa.array(texts).slice(3, 2))
+    assert distinct[codes].tolist() == hashes[5:10].tolist()
+
+
+@pytest.mark.parametrize("length", [1 << 10, 1 << 11, 1 << 12])
+def test_words_that_polynomial_hashes_mix_up(length):
+    first = "".join("ab"[bin(k).count("1") % 2] for k in range(length))
+    other = first.translate(str.maketrans("ab", "ba"))
+    assert len(N.tokens(pa.array([f"{first} {other}"]))[0]) == 3
+
+
+def test_hot_contexts_are_spread(spark):
+    """One word stands before every other: its n-grams cross several shards and are all found."""
+    texts = [" ".join(f"the w{k}" for k in range(i * 40, i * 40 + 40)) for i in range(20)]
+    trie = N.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), order=3, mass=2.0, tokens_per_shard=160)
+    bounds = trie.index(2)["bounds"].tolist()
+    assert len(bounds) > len(set(bounds))
+    model = Plain(texts, 3, 2.0)
+    for r in N.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trie).collect():
+        w = words(texts[r.doc_id])
+        assert abs(r.score - sum(math.log10(model.prob(w, i)) for i in range(len(w)))) < 1e-3 * len(w)
 
 
 class Plain:
@@ -99,14 +119,15 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
-    model = Plain([t for i, t in docs.items() if not held[i]], 2, 1.0)
+    model = Plain([t for i, t in docs.items() if not held[i]], 3, 1000.0)
     got = op1_ngram_lm(spark, sf).collect()
     assert len(got) == len(docs)
     for r in got:
         w = words(docs[r.doc_id])
         base = sum(math.log10((model.counts[(x,)] + 1) / (model.tokens + model.vocabulary + 1)) for x in w)
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(w), model.tokens)
-        assert abs(r.base_score - base) < 1e-6
+        assert abs(r.base_score - base) < 1e-6 and r.n_known == sum(model.counts[(x,)] > 0 for x in w)
+        assert abs(r.score - sum(math.log10(model.prob(w, i)) for i in range(len(w)))) < 1e-3 * len(w)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
@@ -118,12 +139,3 @@ def test_order_four_smooths_with_trigrams(spark):
     for r in N.score(rows, trie).collect():
         w = words(texts[r.doc_id])
         assert abs(r.score - sum(math.log10(model.prob(w, i)) for i in range(len(w)))) < 1e-3 * len(w)
-
-
-def test_query_counts_trigrams(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    model = Plain([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3, 1000.0)
-    for r in op1_ngram_lm(spark, sf).collect():
-        w = words(docs[r.doc_id])
-        assert abs(r.score - sum(math.log10(model.prob(w, i)) for i in range(len(w)))) < 1e-3 * len(w)

@@ -6,27 +6,27 @@ serves both selects. All queries take arrays.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 U = np.uint64
+_ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Position of the r-th set bit of a byte, at [r * 256 + byte].
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for r in range(8) for b in range(256)], np.int64)
 
 
-def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, zeros: bool) -> np.ndarray:
-    """Position of the rank-th (from 0) one, or zero, of the bit vector. before: ones ahead of each word."""
-    counts = (np.arange(len(before), dtype=np.int64) * 64 - before) if zeros else before
-    at = np.searchsorted(counts, rank, side="right") - 1
-    rest = (rank - counts[at]).astype(np.int64)
-    word = words[at]
-    if zeros:
-        word = ~word
-    place = np.zeros(len(at), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & U((1 << step) - 1)).astype(np.int64)
-        go = rest >= low
-        rest = np.where(go, rest - low, rest)
-        word = np.where(go, word >> U(step), word)
-        place = np.where(go, place + step, place)
-    return at * 64 + place
+def _in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Position of the rank-th (from 0) set bit of each word: the byte by sums of bytes, then the bit by table."""
+    sums = word - ((word >> U(1)) & U(0x5555555555555555))
+    sums = (sums & U(0x3333333333333333)) + ((sums >> U(2)) & U(0x3333333333333333))
+    sums = ((sums + (sums >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    rank = rank.astype(U)
+    place = np.bitwise_count((((rank * _ONES) | _TOPS) - sums) & _TOPS).astype(U) << U(3)
+    place = np.minimum(place, U(56))
+    before = ((sums << U(8)) >> place) & U(255)
+    byte = (word >> place) & U(255)
+    return place.astype(np.int64) + _IN_BYTE[(((rank - before) & U(7)) << U(8) | byte).astype(np.int64)]
 
 
 class EliasFano:
@@ -53,11 +53,26 @@ class EliasFano:
             lows = values & U((1 << low_bits) - 1)
             start = np.arange(n, dtype=np.int64) * low_bits
             word, shift = start >> 6, (start & 63).astype(U)
-            np.bitwise_or.at(packed, word, lows << shift)
+            # Words are filled in order, so each one's parts are neighbours.
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            packed[word[first]] = np.bitwise_or.reduceat(lows << shift, first)
             spill = np.flatnonzero((start & 63) + low_bits > 64)
-            np.bitwise_or.at(packed, word[spill] + 1, lows[spill] >> (U(64) - shift[spill]))
+            packed[word[spill] + 1] |= lows[spill] >> (U(64) - shift[spill])
         return cls({"meta": np.array([n, low_bits], np.int64), "low": packed, "high": words, "before": before})
 
+    @cached_property
+    def zeros_before(self) -> np.ndarray:
+        return np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+
+    def _one(self, rank: np.ndarray) -> np.ndarray:
+        """Position of the rank-th one of the high bits."""
+        at = np.searchsorted(self.before, rank, side="right") - 1
+        return at * 64 + _in_word(self.high[at], rank - self.before[at])
+
+    def _zero(self, rank: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.zeros_before, rank, side="right") - 1
+        return at * 64 + _in_word(~self.high[at], rank - self.zeros_before[at])
+
     def _low(self, index: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(index), U)
@@ -72,22 +87,37 @@ class EliasFano:
         index = np.asarray(index, np.int64)
         if not len(index):
             return np.empty(0, U)
-        high = (_select(self.high, self.before, index, False) - index).astype(U)
+        high = (self._one(index) - index).astype(U)
         return (high << U(self.low_bits)) | self._low(index)
 
+    def pair(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at index and index + 1: the second one's high bit mostly stands in the same word."""
+        index = np.asarray(index, np.int64)
+        if not len(index):
+            return np.empty(0, U), np.empty(0, U)
+        one = self._one(index)
+        word = one >> 6
+        # Shifting twice also clears the bit itself where it is the word's last.
+        rest = (self.high[word] >> (one & 63).astype(U)) >> U(1)
+        after = one + 1 + np.bitwise_count((rest & (~rest + U(1))) - U(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            after[far] = self._one(index[far] + 1)
+        values = ((p - i).astype(U) << U(self.low_bits) | self._low(i) for p, i in ((one, index), (after, index + 1)))
+        return tuple(values)
+
     def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first index in [lo, hi) whose value is at least ``value``, else hi."""
         value = np.asarray(value, U)
         if not len(value) or not self.n:
             return np.minimum(np.asarray(lo, np.int64), hi)
         high = (value >> U(self.low_bits)).astype(np.int64)
-        last = self.n + 0 * high
         top = int(len(self.high) * 64 - self.n) - 1
         inside = high <= top
         safe = np.minimum(high, top)
-        begin = np.where(safe > 0, _select(self.high, self.before, np.maximum(safe - 1, 0), True) - (safe - 1), 0)
-        stop = _select(self.high, self.before, safe, True) - safe
-        begin, stop = np.where(inside, begin, last), np.where(inside, stop, last)
+        begin = np.where(safe > 0, self._zero(np.maximum(safe - 1, 0)) - (safe - 1), 0)
+        stop = self._zero(safe) - safe
+        begin, stop = np.where(inside, begin, self.n), np.where(inside, stop, self.n)
         a, b = np.clip(begin, lo, hi), np.clip(stop, lo, hi)
         want = value & U((1 << self.low_bits) - 1)
         while True:  # the low bits of one high part are sorted

@@ -2,28 +2,37 @@
 
 Levels. Level 1 is the sorted 64-bit hashes of the distinct tokens (a token's id is its rank) with its counts as
 an Elias-Fano sequence of running sums. Level k holds, for every context (a node of level k - 1), the ids of its
-successors: contexts, pointers to their ranges and successors (relative to the end of the range before) are
-Elias-Fano sequences; each n-gram has its smoothed log10 probability in 16 bits. A lookup finds the context,
-reads its range and searches the successor there.
+successors: the pointers to the contexts' ranges and the successors (relative to the end of the range before) are
+Elias-Fano sequences; each n-gram has its smoothed log10 probability in 16 bits. A lookup reads its context's
+range and searches the successor there.
 
 Smoothing. p1(w) = (c(w) + 1) / (N + V + 1);  pk(w | ctx) = (c(ctx w) + mass * pk-1(w | shorter ctx)) / (c(ctx) + mass),
 a Dirichlet prior, which sums to one over the vocabulary and an unknown token. An unseen n-gram backs off with
 mass / (c(ctx) + mass). A text's end is a token, and the context of the next text's first one.
 
-Spread. Tasks count their own n-grams in numpy and emit one sorted run a shard, so counts are combined before
-the shuffle. Words are dealt by hash range, n-grams by a hash of the whole n-gram: a frequent context is spread
-over all shards. A shard becomes one file in the shared folder, mapped by every scoring task; only paths travel.
-All counts are kept, however rare. ``tokens_per_shard`` bounds a building task.
+Spread. Words are dealt to shards by hash range. The n-grams of a level are dealt by ranges of contexts that hold
+about ``tokens_per_shard`` occurrences each, found from marks that the level below leaves at every eighth of that;
+a context that crosses marks, however frequent, is spread over all shards that it crosses by its words' ids. Tasks
+emit their distinct n-grams with counts as sorted runs, so counts are combined before the shuffle. An n-gram
+travels with its word's probability after the shorter context, which the counting task has looked up already, so
+building needs no other shard. A shard becomes one file in the shared folder. All counts are kept, however rare.
+
+Memory. Counting and scoring tasks map the files (about 5 bytes an n-gram in all; the pages they touch are
+shared by a machine's workers and may be dropped at any time). Where the shared folder is no file system that can
+be mapped, a worker reads them into memory instead, at most ``OPEN_FILES`` of them. The driver holds three numbers
+and eight marks a shard, which it writes to the folder as an index that tasks map too.
+
+Tokens are told apart by their XXH3 hash of 64 bits. Among V distinct ones two collide with odds of about
+V * V / 3.7e19 (one in 37,000 for thirty million words); they would then count as one word.
 
 A null or empty text is its end token alone. Null ids are trained on. Repeated rows count as often as they
-occur. Extra columns are ignored. Without any training text every token is unknown.
+occur. Extra columns are ignored. Without any training text every token is unknown. A text is held whole by its
+task, with about 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,71 +40,47 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_folder
-from .common import arrow_batches
+from .common import arrow_batches, pooled, split_words
 from .elias_fano import EliasFano, U
 
-#: Fixed values of the token hash: an odd factor, and the mixer's constants.
-FACTOR, MIX1, MIX2 = U(0x9E6C63D0876A9A35), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], U)
-_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 STEPS = 4096.0  # quantisation: 1/4096 of a decimal digit
-FLUSH = 3_000_000  # tokens that a counting task gathers before it combines them
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * MIX1
-    x = (x ^ (x >> U(27))) * MIX2
-    return x ^ (x >> U(31))
-
-
-END = _mix(np.array([0x5EED], U))[0]
-
-
-def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of a batch of texts, each text's end included, and each text's number of tokens."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    column = column.fill_null("")
-    n = len(column)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]  # a text's first byte begins a word, whatever stood before it
-    begins[firsts] = inside[firsts]
-    starts = np.flatnonzero(begins)
-    own = np.flatnonzero(inside)
-    word_of_byte = np.cumsum(begins)[own] - 1
-    lengths = np.bincount(word_of_byte, minlength=len(starts)) if len(own) else np.zeros(0, np.int64)
-    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
-    place = np.arange(len(own)) - np.repeat(heads, lengths)
-    powers = np.multiply.accumulate(np.concatenate([[U(1)], np.full(int(lengths.max(initial=1)), FACTOR)]))
-    terms = (_LOWER[data[own]] + U(1)) * powers[place]
-    words = _mix((np.add.reduceat(terms, heads) if len(starts) else np.zeros(0, U)) + lengths.astype(U) * MIX1)
-    text_of_word = np.searchsorted(offsets, starts, side="right") - 1
-    counts = np.bincount(text_of_word, minlength=n) if len(starts) else np.zeros(n, np.int64)
-    out = np.full(len(words) + n, END, U)
-    out[np.arange(len(words)) + text_of_word] = words
-    return out, counts + 1
+POOL = 12 << 20  # bytes of text that a task looks up together
+OPEN_FILES = 8192
+#: The end of a text: no word has a space.
+END = U(xxhash.xxh3_64_intdigest(b" end"))
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's distinct token hashes, ascending, the place of each token among them, and each text's number of
+    tokens; a text's end is its last token."""
+    words, codes, lengths = split_words(column)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U, len(words))
+    distinct, place = np.unique(np.append(hashes, END), return_inverse=True)
+    out = np.full(len(codes) + len(lengths), place[-1])
+    text_of_word = np.repeat(np.arange(len(lengths)), lengths)
+    out[np.arange(len(codes)) + text_of_word] = place[codes]
+    return distinct, out, lengths + 1
 
 
 # files ----------------------------------------------------------------------------------------------------
 
 
-def _store(folder: str, arrays: dict[str, np.ndarray]) -> str:
-    """Write arrays to a new file of the folder (a URI): 8-byte aligned, with a directory at the end."""
+def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays to a file of the folder (a URI): 8-byte aligned, with a directory at the end.
+
+    The file gets its name when it is complete; attempts of one task write the same bytes.
+    """
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    name = f"{uuid.uuid4().hex}.level"
+    own = f"{root}/{uuid.uuid4().hex}.part"
     directory, at = {}, 0
-    with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+    with store.open_output_stream(own, compression=None) as out:
         for key, array in arrays.items():
             body = np.ascontiguousarray(array).tobytes()
             directory[key] = (at, array.dtype.str, len(array))
@@ -103,21 +88,21 @@ def _store(folder: str, arrays: dict[str, np.ndarray]) -> str:
             at += len(body) + -len(body) % 8
         tail = json.dumps(directory).encode()
         out.write(tail + len(tail).to_bytes(8, "little"))
-    return f"{folder}/{name}"
+    store.move(own, f"{root}/{name}")
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=OPEN_FILES)
 def _open(uri: str) -> dict[str, np.ndarray]:
-    """Map a file's arrays; a store that can't be mapped is copied to this worker's temporary folder once."""
+    """A file's arrays: mapped, or read where the store can't be mapped."""
     store, path = fs.FileSystem.from_uri(uri)
-    if not isinstance(store, fs.LocalFileSystem):
-        copy = os.path.join(tempfile.mkdtemp(), os.path.basename(path))
-        fs.copy_files(path, copy, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        path = copy
-    whole = np.memmap(path, np.uint8, "r")
+    if isinstance(store, fs.LocalFileSystem):
+        whole = np.memmap(path, np.uint8, "r")
+    else:
+        with store.open_input_stream(path) as source:
+            whole = np.frombuffer(source.read(), np.uint8)
     size = int.from_bytes(whole[-8:].tobytes(), "little")
     directory = json.loads(whole[-8 - size : -8].tobytes())
-    return {k: whole[at : at + n * np.dtype(d).itemsize].view(d) for k, (at, d, n) in directory.items()}
+    return {k: np.asarray(whole[at : at + n * np.dtype(d).itemsize]).view(d) for k, (at, d, n) in directory.items()}
 
 
 def _packed(name: str, sequence: EliasFano) -> dict[str, np.ndarray]:
@@ -132,25 +117,20 @@ def _sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
 
 
 class Shard:
-    """One file of a level; ``first`` is the global number of its first node."""
+    """One file of a level. Its nodes are numbered from 0, its contexts by ``first_context`` and up."""
 
-    def __init__(self, uri: str, first: int, level: int):
-        arrays, self.first, self.level = _open(uri), first, level
-        self.keys = _sequence(arrays, "keys")
+    def __init__(self, uri: str):
+        arrays = _open(uri)
         self.sums = _sequence(arrays, "sums") if "sums.meta" in arrays else None
-        if level > 1:
+        if "keys.meta" in arrays:
+            self.keys = _sequence(arrays, "keys")
+        else:
             self.pointers, self.next = _sequence(arrays, "pointers"), _sequence(arrays, "next")
-            self.probs = arrays["probs"]
+            self.probs, self.first_context = arrays["probs"], int(arrays["first_context"][0])
 
     def counts(self, local: np.ndarray) -> np.ndarray:
-        return (self.sums.access(local + 1) - self.sums.access(local)).astype(np.int64)
-
-    def _base(self, begin: np.ndarray) -> np.ndarray:
-        """What the successors of a range are relative to: one more than the value before it."""
-        found = np.zeros(len(begin), U)
-        later = begin > 0
-        found[later] = self.next.access(begin[later] - 1) + U(1)
-        return found
+        before, after = self.sums.pair(local)
+        return (after - before).astype(np.int64)
 
     def find_key(self, key: np.ndarray) -> np.ndarray:
         """Index of each key, or -1."""
@@ -162,316 +142,314 @@ class Shard:
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Local index of each n-gram, or -1: successor search within the context's range."""
         out = np.full(len(context), -1)
-        rank = self.find_key(context.astype(U))
-        known = np.flatnonzero(rank >= 0)
-        rank = rank[known]
-        begin, stop = (self.pointers.access(rank + k).astype(np.int64) for k in (0, 1))
-        target = self._base(begin) + word[known].astype(U)
-        at = self.next.successor(target, begin, stop)
-        there = at < stop
-        there[there] = self.next.access(at[there]) == target[there]
-        out[known[there]] = at[there]
+        rank = context - self.first_context
+        rows = np.flatnonzero((rank >= 0) & (rank < self.pointers.n - 1))
+        begin, stop = (x.astype(np.int64) for x in self.pointers.pair(rank[rows]))
+        some = begin < stop
+        rows, begin, stop = rows[some], begin[some], stop[some]
+        # Words are relative to one more than the value before the range; most ranges end with their first value.
+        before, value = self.next.pair(np.maximum(begin - 1, 0))
+        before, value = np.where(begin > 0, before + U(1), U(0)), np.where(begin > 0, value, before)
+        target = before + word[rows].astype(U)
+        here = value == target
+        out[rows[here]] = begin[here]
+        more = np.flatnonzero((value < target) & (stop - begin > 1))
+        at = self.next.successor(target[more], begin[more] + 1, stop[more])
+        there = at < stop[more]
+        there[there] = self.next.access(at[there]) == target[more][there]
+        out[rows[more[there]]] = at[there]
         return out
 
-    def words(self, local: np.ndarray) -> np.ndarray:
-        """The last word of each node."""
-        rank = self.pointers.successor(local.astype(U) + U(1), np.zeros(len(local), np.int64), np.full(len(local), self.pointers.n)) - 1
-        begin = self.pointers.access(rank).astype(np.int64)
-        return (self.next.access(local) - self._base(begin)).astype(np.int64)
 
-    def contexts(self, local: np.ndarray) -> np.ndarray:
-        """The context (a node of the level below) of each node."""
-        rank = self.pointers.successor(local.astype(U) + U(1), np.zeros(len(local), np.int64), np.full(len(local), self.pointers.n)) - 1
-        return self.keys.access(rank).astype(np.int64)
+@lru_cache(maxsize=OPEN_FILES)
+def _shard(uri: str) -> Shard:
+    return Shard(uri)
+
+
+@lru_cache(maxsize=16)
+def _index(uri: str) -> dict[str, np.ndarray]:
+    return _open(uri)
+
+
+def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its rows) of rows dealt to shards."""
+    order = np.argsort(shards, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(shards[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(shards[order[a]]), order[a:b]
 
 
-def _shard_of(context: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    return (_mix(context.astype(U) * FACTOR + word.astype(U)) % U(shards)).astype(np.int64)
+def _deal(bounds: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The shard of each n-gram: its context's, or by the word's id one of those that the context crosses."""
+    left, right = (np.searchsorted(bounds, context, side=s) for s in ("left", "right"))
+    return left + word % (right - left + 1)
+
+
+class Grams(NamedTuple):
+    """The distinct n-grams of a batch: node (or -1) and log10 probability of each, and each token's place among them.
+
+    Place 0 is that of tokens that have no n-gram of this length.
+    """
+
+    nodes: np.ndarray
+    probs: np.ndarray
+    codes: np.ndarray
 
 
 class Trie(NamedTuple):
-    """What scoring needs: (uri, first node) of each shard of each level, and the totals."""
+    """What scoring needs: the folder of the levels' files, the number of levels, and the totals.
 
-    levels: tuple[tuple[tuple[str, int], ...], ...]
+    A level's index has ``first`` (the global number of each shard's first node, and the number of nodes), and
+    ``bounds``: the contexts at which a level's shards meet.
+    """
+
+    folder: str
+    order: int
     tokens: int
     words: int
     mass: float
 
+    def index(self, level: int) -> dict[str, np.ndarray]:
+        return _index(f"{self.folder}/{level}.index")
+
     def shard(self, level: int, k: int) -> Shard:
-        return Shard(*self.levels[level - 1][k], level)
+        return _shard(f"{self.folder}/{level}-{k}.level")
 
     def find_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids (or -1) and counts of sorted hashes."""
-        shards = self.levels[0]
+        first = self.index(1)["first"]
         ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
-        width = 64 - (len(shards) - 1).bit_length()
-        edges = np.append(np.searchsorted(hashes, np.arange(len(shards), dtype=U) << U(min(width, 63))), len(hashes))
-        for k in range(len(shards)):
+        width = _width(len(first) - 1)
+        edges = np.append(np.searchsorted(hashes, np.arange(len(first) - 1, dtype=U) << U(min(width, 63))), len(hashes))
+        for k in range(len(first) - 1):
             a, b = int(edges[k]), int(edges[k + 1])
-            if a == b or not shards[k][0]:
+            if a == b or first[k] == first[k + 1]:
                 continue
             shard = self.shard(1, k)
             local = shard.find_key(hashes[a:b] & U((1 << width) - 1))
             known = np.flatnonzero(local >= 0)
-            ids[a + known] = local[known] + shard.first
+            ids[a + known] = local[known] + first[k]
             counts[a + known] = shard.counts(local[known])
         return ids, counts
 
-    def find(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Global node (or -1), log10 probability (0 if absent) and count (if the level has them) of each n-gram."""
-        shards = self.levels[level - 1]
-        nodes, probs, counts = np.full(len(context), -1), np.zeros(len(context)), np.zeros(len(context), np.int64)
-        dealt = _shard_of(context, word, len(shards))
-        order = np.argsort(dealt, kind="stable")
-        edges = np.searchsorted(dealt[order], np.arange(len(shards) + 1))
-        for k in range(len(shards)):
-            rows = order[edges[k] : edges[k + 1]]
-            if not len(rows) or not shards[k][0]:
+    def find(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Global node (or -1) and log10 probability (0 if absent) of each n-gram."""
+        first = self.index(level)["first"]
+        nodes, probs = np.full(len(context), -1), np.zeros(len(context))
+        for k, rows in _by_shard(_deal(self.index(level)["bounds"], context, word)):
+            if first[k] == first[k + 1]:
                 continue
             shard = self.shard(level, k)
             local = shard.find(context[rows], word[rows])
             there = local >= 0
             rows, local = rows[there], local[there]
-            nodes[rows] = local + shard.first
+            nodes[rows] = local + first[k]
             probs[rows] = shard.probs[local] / -STEPS
-            if shard.sums is not None:
-                counts[rows] = shard.counts(local)
-        return nodes, probs, counts
-
-    def node_words(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        """The last word of global nodes."""
-        if level == 1:
-            return nodes
-        firsts = np.array([f for _, f in self.levels[level - 1]])
-        dealt = np.searchsorted(firsts, nodes, side="right") - 1
-        out = np.empty(len(nodes), np.int64)
-        for k in np.unique(dealt):
-            own = dealt == k
-            out[own] = self.shard(level, int(k)).words(nodes[own] - firsts[k])
-        return out
-
-    def node_contexts(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        """The contexts of global nodes: nodes of the level below."""
-        firsts = np.array([f for _, f in self.levels[level - 1]])
-        dealt = np.searchsorted(firsts, nodes, side="right") - 1
-        out = np.empty(len(nodes), np.int64)
-        for k in np.unique(dealt):
-            own = dealt == k
-            out[own] = self.shard(level, int(k)).contexts(nodes[own] - firsts[k])
-        return out
-
-    def later_words(self, level: int, nodes: np.ndarray) -> list[np.ndarray]:
-        """The words of global nodes without the first one."""
-        words: list[np.ndarray] = []
-        for k in range(level, 1, -1):
-            words.insert(0, self.node_words(k, nodes))
-            nodes = self.node_contexts(k, nodes) if k > 2 else nodes
-        return words
-
-    def node_counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        firsts = np.array([f for _, f in self.levels[level - 1]])
-        dealt = np.searchsorted(firsts, nodes, side="right") - 1
-        out = np.empty(len(nodes), np.int64)
-        for k in np.unique(dealt):
-            own = dealt == k
-            out[own] = self.shard(level, int(k)).counts(nodes[own] - firsts[k])
+        return nodes, probs
+
+    def counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The counts of global nodes; 0 for -1."""
+        first = self.index(level)["first"]
+        out = np.zeros(len(nodes), np.int64)
+        known = np.flatnonzero(nodes >= 0)
+        for k, rows in _by_shard(np.searchsorted(first, nodes[known], side="right") - 1):
+            rows = known[rows]
+            out[rows] = self.shard(level, k).counts(nodes[rows] - first[k])
         return out
 
     def word_probs(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.words + 1))
 
-    def probs(self, level: int, context: np.ndarray, context_counts: np.ndarray, word: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nodes, log10 p, counts) of words after contexts; lower: log10 p after the shorter contexts."""
-        known = np.flatnonzero((context >= 0) & (word >= 0))
-        nodes, counts = np.full(len(word), -1), np.zeros(len(word), np.int64)
-        out = lower + np.log10(self.mass / (np.where(context >= 0, context_counts, 0) + self.mass))
-        if len(known):
-            pairs = np.stack([context[known], word[known]])
-            key = pairs[0].astype(U) * U(max(self.words, 1)) + pairs[1].astype(U)
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            n, p, c = self.find(level, pairs[0][first], pairs[1][first])
-            nodes[known], counts[known] = n[inverse], c[inverse]
-            there = n[inverse] >= 0
-            out[known[there]] = p[inverse][there]
-        return nodes, out, counts
-
-    def after(self, before: list[np.ndarray], word: np.ndarray) -> np.ndarray:
-        """log10 p of words after the words before them, which stood together in the training texts, level by level."""
-        lower = self.word_probs(_word_counts(self, word))
-        for level in range(2, len(before) + 2):
-            context, *rest = before[len(before) + 1 - level :]
-            counts = _word_counts(self, context)
-            for k, w in enumerate(rest, 2):
-                context, _, counts = self.find(k, context, w)
-            _, lower, _ = self.probs(level, context, counts, word, lower)
-        return lower
-
-    def walk(self, hashes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Level by level: (nodes, log10 p, counts, words) of every token with the longest contexts so far."""
-        distinct, inverse = np.unique(hashes, return_inverse=True)
+    def read(self, column: pa.Array) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """The words of a batch, each distinct one's count, and each text's number of tokens."""
+        distinct, codes, lengths = tokens(column)
         ids, counts = self.find_words(distinct)
-        words, counts = ids[inverse], counts[inverse]
-        nodes, probs = words, self.word_probs(counts)
-        yield nodes, probs, counts, words
-        begins = np.cumsum(lengths) - lengths
-        end_id, end_count = (x[0] for x in self.find_words(np.array([END])))
-        for level in range(2, len(self.levels) + 1):
-            context, context_counts = np.roll(nodes, 1), np.roll(counts, 1)
-            context[begins], context_counts[begins] = (end_id, end_count) if level == 2 else (-1, 0)
-            nodes, probs, counts = self.probs(level, context, context_counts, words, probs)
-            yield nodes, probs, counts, words
-
-
-# building -------------------------------------------------------------------------------------------------
-
-RUN = "shard int, keys binary, counts binary"
+        return Grams(np.append(-1, ids), np.append(0.0, self.word_probs(counts)), codes + 1), np.append(0, counts), lengths
+
+    def extend(self, words: Grams, shorter: Grams, lengths: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+        """Of the distinct n-grams of a level: context, word, lower log10 probability, number; and the tokens' places."""
+        context = np.roll(shorter.codes, 1)
+        # Every text ends with the same token, which is the context of the next one's first.
+        context[np.cumsum(lengths) - lengths] = words.codes[-1] if level == 2 else 0
+        key = np.where(context > 0, context << 32 | words.codes, 0)
+        distinct, at, codes, number = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        if distinct[0]:  # place 0 is that of tokens without such a context
+            distinct, at, codes, number = np.append(0, distinct), np.append(0, at), codes + 1, np.append(0, number)
+        grams = distinct[1:]
+        lower = shorter.probs[shorter.codes[at[1:]]]
+        return shorter.nodes[grams >> 32], words.nodes[grams & 0xFFFFFFFF], lower, number[1:], codes
+
+    def step(self, words: Grams, shorter: Grams, lengths: np.ndarray, level: int) -> Grams:
+        """The n-grams of a level in a batch, from those one word shorter."""
+        context, word, probs, _, codes = self.extend(words, shorter, lengths, level)
+        nodes = np.full(len(context), -1)
+        known = np.flatnonzero((context >= 0) & (word >= 0))
+        nodes[known], found = self.find(level, context[known], word[known])
+        there = nodes[known] >= 0
+        probs[known[there]] = found[there]
+        missing = np.flatnonzero(nodes < 0)
+        probs[missing] += np.log10(self.mass / (self.counts(level - 1, context[missing]) + self.mass))
+        return Grams(np.append(-1, nodes), np.append(0.0, probs), codes)
 
 
-def _combine(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def _width(shards: int) -> int:
+    """The bits of a word's hash below those that choose one of 2 ** n shards."""
+    return 64 - (shards - 1).bit_length()
 
 
-class _Runs:
-    """Combines a task's keys; ``rows`` are its sorted runs, one for each shard."""
+# building -------------------------------------------------------------------------------------------------
 
-    def __init__(self, shard_of):
-        self.shard_of, self.held, self.size = shard_of, [], 0
+RUN = "shard long, keys binary, counts binary, probs binary"
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(keys)
-        self.size += len(keys)
-        if self.size >= FLUSH:
-            yield from self.rows()
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
-        self.held, self.size = [], 0
-        shards = self.shard_of(keys)
-        order = np.argsort(shards, kind="stable")
-        keys, counts, shards = keys[order], counts[order].astype(np.uint32), shards[order]
-        edges = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1], [True]]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(shards[a])], pa.int32()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())],
-                names=["shard", "keys", "counts"],
-            )
+def _run(shard: int, keys: np.ndarray, counts: np.ndarray, probs: np.ndarray) -> pa.RecordBatch:
+    """A sorted run as one row: the keys' differences, byte by byte and without the leading zeros, which compress."""
+    steps = np.diff(keys, prepend=U(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    planes = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    parts = [np.ascontiguousarray(planes.T).tobytes(), counts.astype("<u4").tobytes(), probs.astype("<u2").tobytes()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], names=["shard", "keys", "counts", "probs"]
+    )
 
 
-def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), U)
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint32).astype(np.int64)
-    return _combine(keys, counts)
+def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a shard's runs, ascending, with their counts summed, and the quantised probabilities."""
+    keys, counts, probs = [], [], []
+    for k, c, p in zip(rows["keys"], rows["counts"], rows["probs"]):
+        number = np.frombuffer(c.as_buffer(), "<u4")
+        planes = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, len(number))
+        steps = np.zeros((len(number), 8), np.uint8)
+        steps[:, : len(planes)] = planes.T
+        keys.append(np.cumsum(steps.view("<u8").ravel(), dtype=U))
+        counts.append(number)
+        probs.append(np.frombuffer(p.as_buffer(), "<u2"))
+    key, count, prob = np.concatenate(keys), np.concatenate(counts), np.concatenate(probs)
+    del keys, counts, probs
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(count[order], first, dtype=np.int64), prob[order[first]]
 
 
-def _sums(counts: np.ndarray) -> EliasFano:
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    return EliasFano.build(sums, int(sums[-1]) + 1)
+def _quantised(log10: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(log10 * -STEPS), 65535).astype(np.uint16)
 
 
-BUILT = "shard int, path string, nodes long, tokens long"
+BUILT = "shard long, nodes long, tokens long, marks array<long>"
 
 
-def _built(shard: int, folder: str, arrays: dict[str, np.ndarray], nodes: int, tokens: int) -> pa.Table:
+def _built(shard: int, counts: np.ndarray, every: int) -> pa.Table:
+    """The shard's row for the driver; marks: the nodes that hold occurrence 0, every, 2 * every and so on."""
+    upto = np.cumsum(counts)
+    marks = np.searchsorted(upto, np.arange(0, int(upto[-1]), every), side="right")
     return pa.table(
-        {"shard": pa.array([shard], pa.int32()), "path": [_store(folder, arrays)], "nodes": pa.array([nodes], pa.int64()), "tokens": pa.array([tokens], pa.int64())}
+        {
+            "shard": pa.array([shard], pa.int64()),
+            "nodes": pa.array([len(counts)], pa.int64()),
+            "tokens": pa.array([int(upto[-1])], pa.int64()),
+            "marks": pa.array([marks.tolist()], pa.list_(pa.int64())),
+        }
     )
 
 
-def _manifest(built: DataFrame, shards: int) -> tuple[tuple[tuple[str, int], ...], int, int]:
-    """The level's (uri, first node) by shard, its nodes and its tokens: a row a shard for the driver."""
+def _sums(counts: np.ndarray) -> dict[str, np.ndarray]:
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    return _packed("sums", EliasFano.build(sums, int(sums[-1]) + 1))
+
+
+def _finish_level(built: DataFrame, folder: str, level: int, shards: int, bounds: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Write a level's index; its nodes and tokens, and the bounds of the next level's shards."""
     rows = {r["shard"]: r for r in cut_lineage(built).collect()}
-    level, first = [], 0
-    for k in range(shards):
-        level.append((rows[k]["path"], first) if k in rows else ("", first))
-        first += rows[k]["nodes"] if k in rows else 0
-    return tuple(level), first, sum(r["tokens"] for r in rows.values())
+    first = np.concatenate([[0], np.cumsum([rows[k]["nodes"] if k in rows else 0 for k in range(shards)])]).astype(np.int64)
+    _store(folder, f"{level}.index", {"first": first, "bounds": bounds.astype(np.int64)})
+    marks = [first[k] + np.array(rows[k]["marks"], np.int64) for k in sorted(rows)]
+    after = np.concatenate(marks)[8::8] if marks else np.zeros(0, np.int64)
+    return int(first[-1]), sum(r["tokens"] for r in rows.values()), after
 
 
-def train(texts: DataFrame, order: int = 2, mass: float = 1000.0, tokens_per_shard: int = 2_000_000, docs_per_word_shard: int = 40_000) -> Trie:
+def train(texts: DataFrame, order: int = 3, mass: float = 1000.0, tokens_per_shard: int = 4_000_000, docs_per_word_shard: int = 40_000) -> Trie:
     """texts: one string column. The trie's files stay in the shared folder.
 
     mass: the weight of the shorter context's distribution, in counts (on held-out text 1,000 did better than
-    0.5 to 500). Order 3 works alike; its n-grams are about as many as the tokens.
+    0.5 to 500). tokens_per_shard: about 60 bytes each is what a building task holds.
     """
-    spark = texts.sparkSession
-    arrow_batches(spark, 1024)
-    folder = shared_folder(spark, "trie")
-    word_shards = 1 << max(0, (texts.count() // docs_per_word_shard).bit_length())
-    width = 64 - (word_shards - 1).bit_length()
-    by_range = lambda keys: (keys >> U(min(width, 63))).astype(np.int64) if word_shards > 1 else np.zeros(len(keys), np.int64)
+    arrow_batches(texts.sparkSession, 1024)
+    folder = shared_folder(texts.sparkSession, "trie")
+    shards = 1 << max(0, (texts.count() // docs_per_word_shard).bit_length())
+    width, every = _width(shards), max(1, tokens_per_shard // 8)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(by_range)
-        for batch in batches:
-            yield from runs.add(token_hashes(batch.column(0))[0])
-        yield from runs.rows()
+        for batch in pooled(batches, POOL):
+            keys, codes, _ = tokens(batch.column(0))
+            counts = np.bincount(codes, minlength=len(keys))
+            keys, counts = keys[counts > 0], counts[counts > 0]
+            dealt = keys >> U(width) if shards > 1 else np.zeros(len(keys), U)
+            for k, rows in _by_shard(dealt.astype(np.int64)):
+                yield _run(k, keys[rows], counts[rows], np.zeros(len(rows)))
 
     def build_words(rows: pa.Table) -> pa.Table:
-        keys, counts = _merged(rows)
-        own = keys & U((1 << width) - 1)
-        arrays = _packed("keys", EliasFano.build(own, 1 << width)) | _packed("sums", _sums(counts))
-        return _built(rows["shard"][0].as_py(), folder, arrays, len(keys), int(counts.sum()))
+        shard = rows["shard"][0].as_py()
+        keys, counts, _ = _merged(rows)
+        _store(folder, f"1-{shard}.level", _packed("keys", EliasFano.build(keys & U((1 << width) - 1), 1 << width)) | _sums(counts))
+        return _built(shard, counts, every)
 
     built = texts.mapInArrow(count_words, RUN).groupBy("shard").applyInArrow(build_words, BUILT)
-    level, words, tokens = _manifest(built, word_shards)
-    trie = Trie((level,), tokens, words, mass)
-    for k in range(2, order + 1):
-        trie = _add_level(texts, trie, folder, k, max(1, tokens // tokens_per_shard), last=k == order)
+    words, total, bounds = _finish_level(built, folder, 1, shards, np.zeros(0))
+    trie = Trie(folder, 1, total, words, mass)
+    for level in range(2, order + 1):
+        bounds = _add_level(texts, trie, level, bounds, every, last=level == order)
+        trie = trie._replace(order=level)
     return trie
 
 
-def _add_level(texts: DataFrame, trie: Trie, folder: str, level: int, shards: int, last: bool) -> Trie:
-    words = max(trie.words, 1)
-
-    def split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (keys // U(words)).astype(np.int64), (keys % U(words)).astype(np.int64)
+def _add_level(texts: DataFrame, trie: Trie, level: int, bounds: np.ndarray, every: int, last: bool) -> np.ndarray:
+    """Count and build a level; bounds: the contexts where its shards meet."""
+    shards, span = len(bounds) + 1, max(trie.words, 1)
+    # A shard's contexts lie between two bounds, both included.
+    lowest, highest = np.append(0, bounds).astype(np.int64), np.append(bounds, trie.index(level - 1)["first"][-1]).astype(np.int64)
+    if shards and (int((highest - lowest).max()) + 1) * span >= 1 << 63:
+        raise ValueError("tokens_per_shard is too large for this vocabulary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = _Runs(lambda keys: _shard_of(*split(keys), shards))
-        for batch in batches:
-            hashes, lengths = token_hashes(batch.column(0))
-            *_, (nodes, _, _, ids) = trie.walk(hashes, lengths)
-            context = np.roll(nodes, 1)
-            begins = np.cumsum(lengths) - lengths
-            context[begins] = trie.find_words(np.array([END]))[0][0] if level == 2 else -1
-            use = context >= 0
-            yield from runs.add(context[use].astype(U) * U(words) + ids[use].astype(U))
-        yield from runs.rows()
+        for batch in pooled(batches, POOL):
+            words, _, lengths = trie.read(batch.column(0))
+            grams = words
+            for k in range(2, level):
+                grams = trie.step(words, grams, lengths, k)
+            context, word, lower, number, _ = trie.extend(words, grams, lengths, level)
+            for k, rows in _by_shard(_deal(bounds, context, word)):
+                keys = (context[rows] - lowest[k]).astype(U) * U(span) + word[rows].astype(U)
+                order = np.argsort(keys, kind="stable")
+                rows = rows[order]
+                yield _run(k, keys[order], number[rows], _quantised(lower[rows]))
 
     def build(rows: pa.Table) -> pa.Table:
-        keys, counts = _merged(rows)
-        context, word = split(keys)
+        shard = rows["shard"][0].as_py()
+        keys, counts, lower = _merged(rows)
+        context, word = (keys // U(span)).astype(np.int64), (keys % U(span)).astype(np.int64)
+        del keys
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        sizes = np.diff(np.append(first, len(keys)))
+        sizes = np.diff(np.append(first, len(context)))
+        begin = int(context[0])
+        ranges = np.zeros(int(context[-1]) - begin + 1, np.int64)
+        ranges[context[first] - begin] = sizes
         # Each range starts one above the last value of the range before.
-        ends = word[first + sizes - 1] + 1
-        base = np.concatenate([[0], np.cumsum(ends)[:-1]])
+        base = np.concatenate([[0], np.cumsum(word[first + sizes - 1] + 1)[:-1]])
         values = word + np.repeat(base, sizes)
-        lower = trie.after(trie.later_words(level - 1, context), word)  # p of the word after the shorter context
-        total = np.repeat(trie.node_counts(level - 1, context[first]), sizes)
-        probs = np.log10((counts + trie.mass * 10**lower) / (total + trie.mass))
+        total = np.repeat(trie.counts(level - 1, context[first] + lowest[shard]), sizes)
+        probs = np.log10((counts + trie.mass * 10 ** (lower / -STEPS)) / (total + trie.mass))
         arrays = (
-            _packed("keys", EliasFano.build(context[first], int(context[-1]) + 1))
-            | _packed("pointers", EliasFano.build(np.append(first, len(keys)), len(keys) + 1))
+            {"first_context": np.array([begin + lowest[shard]], np.int64), "probs": _quantised(probs)}
+            | _packed("pointers", EliasFano.build(np.concatenate([[0], np.cumsum(ranges)]), len(context) + 1))
             | _packed("next", EliasFano.build(values, int(values[-1]) + 1))
-            | {"probs": np.minimum(np.rint(-probs * STEPS), 65535).astype(np.uint16)}
-            | ({} if last else _packed("sums", _sums(counts)))
+            | ({} if last else _sums(counts))
         )
-        return _built(rows["shard"][0].as_py(), folder, arrays, len(keys), int(counts.sum()))
+        _store(trie.folder, f"{level}-{shard}.level", arrays)
+        return _built(shard, counts, every)
 
     built = texts.mapInArrow(count, RUN).groupBy("shard").applyInArrow(build, BUILT)
-    manifest, _, _ = _manifest(built, shards)
-    return trie._replace(levels=(*trie.levels, manifest))
-
-
-def _word_counts(trie: Trie, ids: np.ndarray) -> np.ndarray:
-    distinct, inverse = np.unique(ids, return_inverse=True)
-    return trie.node_counts(1, distinct)[inverse]
+    return _finish_level(built, trie.folder, level, shards, bounds)[2]
 
 
 # scoring --------------------------------------------------------------------------------------------------
@@ -482,16 +460,17 @@ def score(df: DataFrame, trie: Trie, text: str = "text") -> DataFrame:
     arrow_batches(df.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes, lengths = token_hashes(batch.column(1))
-            begins = np.cumsum(lengths) - lengths
-            steps = list(trie.walk(hashes, lengths))
-            base, final = (np.add.reduceat(s[1], begins) for s in (steps[0], steps[-1]))
-            known = np.add.reduceat((steps[0][2] > 0).astype(np.int64), begins)
+        for batch in pooled(batches, POOL):
+            words, counts, lengths = trie.read(batch.column(1))
+            begins, grams = np.cumsum(lengths) - lengths, words
+            final = words.probs[words.codes]
+            for level in range(2, trie.order + 1):
+                grams = trie.step(words, grams, lengths, level)
+                final = np.where(grams.codes > 0, grams.probs[grams.codes], final)
+            known = np.add.reduceat((counts > 0).astype(np.int64)[words.codes], begins)
+            base = np.add.reduceat(words.probs[words.codes], begins)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *map(pa.array, (lengths.astype(np.int64), known, base, final))],
+                [batch.column(0), *map(pa.array, (lengths.astype(np.int64), known, base, np.add.reduceat(final, begins)))],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
