@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from textloom.llm.mixing import balance_sources
 
 SCHEMA = "doc_id long, source string, text string, size int, u int"
@@ -34,3 +36,41 @@ def test_targets_and_copies(spark):
     key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.copies)
     assert sorted(map(key, again)) == sorted(map(key, got))
     assert balance_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_rates(sizes, target, cap=2.0):
+    """The dual by halving, without Newton's steps."""
+    sizes = np.array(sizes, float)
+    scale = sizes[sizes > 0].mean()
+    rates = lambda lam: np.minimum(cap, np.exp(np.minimum(lam * sizes / scale, 100)))
+    lo, hi = -1e4, 1e4
+    for _ in range(200):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if (sizes * rates(middle)).sum() < target else (lo, middle)
+    return rates(lo)
+
+
+def test_rates_solve_the_dual(spark):
+    rnd = random.Random(3)
+    size = {"thin": lambda: rnd.randrange(1, 80), "tail": lambda: int(rnd.paretovariate(1.1)), "grow": lambda: rnd.randrange(1, 9), "full": lambda: 1}
+    rows = [(i, s, "w " * min(size[s](), 4000), 1, 1) for i, s in enumerate([*["thin"] * 900, *["tail"] * 700, *["grow"] * 500, *["full"] * 50])]
+    got = balance_sources(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    for source in size:
+        own = [g for g in got if g.source == source]
+        if own[0].target >= 2 * own[0].source_size:
+            assert {g.rate for g in own} == {2.0}
+            continue
+        want = plain_rates([g.size for g in own], own[0].target)
+        assert max(abs(g.rate - w) for g, w in zip(own, want)) < 1e-5
+        assert len({round(g.rate, 4) for g in own}) > 5
+        assert abs(sum(g.rate * g.size for g in own) / own[0].target - 1) < 1e-4
+        assert all(g.copies in (int(g.rate), int(g.rate) + 1) for g in own)
+        assert abs(sum(g.copies * g.size for g in own) - own[0].target) <= max(g.size for g in own)
+
+
+def test_targets_with_many_sources_at_their_caps(spark):
+    rows = [(i, f"s{i:04}", "w " * (i + 1), 1, 1) for i in range(60)]
+    got = {g.source: g for g in balance_sources(spark.createDataFrame(rows, SCHEMA)).collect()}
+    names = sorted(got)
+    want = water([got[n].source_size for n in names], [[3.0, 1.0, 2.0][i % 3] for i in range(len(names))])
+    assert all(abs(got[n].target - t) < 1e-6 for n, t in zip(names, want))

@@ -168,12 +168,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS u
   FROM documents
 ), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, avg(size) FILTER (size > 0) AS scale FROM d GROUP BY source
 ), w AS (
   SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM s
 ), f AS (  -- in the order of size by weight, the first sources stop at twice their size
@@ -186,17 +186,34 @@ WITH d AS (
   SELECT first((total - used) / rest ORDER BY k) AS level, first(k ORDER BY k) AS k0
   FROM f WHERE (total - used) / rest * weight <= 2.0 * source_size
 ), t AS (
-  SELECT source, source_size, CASE WHEN k0 IS NULL OR k < k0 THEN 2.0 * source_size ELSE level * weight END AS target
+  SELECT source, source_size, scale, CASE WHEN k0 IS NULL OR k < k0 THEN 2.0 * source_size ELSE level * weight END AS target
   FROM f, l
+), h AS (
+  SELECT source, size, count(*)::DOUBLE AS n FROM d WHERE size > 0 GROUP BY source, size
+), b AS (  -- sum(size * min(2, exp(lam * size / scale))) = target: lam lies between bounds that are halved 90 times
+  SELECT source, 0 AS k, -4096.0::DOUBLE AS lo, 4096.0::DOUBLE AS hi FROM t WHERE source_size > 0
+  UNION ALL
+  SELECT source, k + 1, CASE WHEN taken < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN taken < target THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT b.source, b.k, any_value(b.lo) AS lo, any_value(b.hi) AS hi, any_value(t.target) AS target,
+               sum(h.n * h.size * least(2.0, exp(least(100.0, (b.lo + b.hi) / 2 * h.size / t.scale)))) AS taken
+        FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source JOIN h ON h.source IS NOT DISTINCT FROM b.source
+        WHERE b.k < 90 GROUP BY b.source, b.k)
+), y AS (
+  SELECT source, round((lo + hi) / 2, 9) AS lam FROM b WHERE k = 90
+), r AS (
+  SELECT d.*, t.source_size, t.target,
+         CASE WHEN d.size = 0 THEN 0.0 WHEN t.target >= 2.0 * t.source_size THEN 2.0
+              ELSE round(least(2.0, exp(least(100.0, y.lam * d.size / t.scale))) * 1048576) / 1048576 END AS rate,
+         (('0x' || substr(u, 1, 12))::BIGINT + 1)::DOUBLE / 281474976710656 AS v
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source
 ), x AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         floor(t.target / greatest(t.source_size, 1) + 1e-9) AS base,
-         t.target - floor(t.target / greatest(t.source_size, 1) + 1e-9) * t.source_size AS missing,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT *, target - sum(size * floor(rate)) OVER (PARTITION BY source) AS missing,
+         sum(CASE WHEN rate > floor(rate) THEN size ELSE 0 END) OVER (
+           PARTITION BY source ORDER BY floor(v / (v + rate - floor(rate)) * 281474976710655), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM r
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-       CAST(size * (base + CASE WHEN 2 * upto - size <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (floor(rate) + CASE WHEN rate > floor(rate) AND 2 * upto - size <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM x
 """
 
