@@ -2,6 +2,9 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from textloom.llm import warc
 
 SCHEMA = "page_id long, url string, html string, path string, data int"
@@ -15,7 +18,9 @@ def test_round_trip(spark):
     archives, folder = warc.archive_pages(spark, df)
     chunks = warc.read_archives(archives, folder, chunk_bytes=1000).cache()
     got = warc.records(chunks).collect()
-    assert len(got) == len(pages) and all(r.intact for r in got)
+    assert len(got) == len(pages)
+    tasks = chunks.select(F.spark_partition_id().alias("t"), "path").distinct().groupBy("t").count().collect()
+    assert len(tasks) == archives.count() and all(r["count"] == 1 for r in tasks)
     first = {None: None}
     for i, _, html, _, _ in pages:
         if i is not None:
@@ -41,3 +46,25 @@ def test_small_payloads_and_empty_table(spark):
     assert got == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
     archives, folder = warc.archive_pages(spark, df.limit(0))
     assert warc.records(warc.read_archives(archives, folder)).count() == 0
+
+
+def test_broken_records_are_errors(spark):
+    df = spark.createDataFrame([(1, "u", "abc" * 1000, "", 0), (2, "u", "xyz", "", 0)], SCHEMA).coalesce(1)
+    archives, folder = warc.archive_pages(spark, df)
+    chunks = warc.read_archives(archives, folder, chunk_bytes=1000)
+    assert warc.records(chunks).count() == 2
+    for spoilt in (
+        chunks.filter("chunk_no <> 1"),
+        chunks.filter("NOT (page_id = 1 AND chunk_no = 2)"),
+        chunks.withColumn("declared_digest", F.lit("A" * 32)),
+        chunks.withColumn("declared_bytes", F.col("declared_bytes") + 1),
+    ):
+        with pytest.raises(Exception, match="broken record"):
+            warc.records(spoilt).collect()
+
+
+def test_salts_grow_with_copies(spark):
+    """One payload on all pages, in more salts than the least number."""
+    df = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url", "'same' AS html")
+    got = warc.assign_records(df, rows_per_salt=10).collect()
+    assert len(got) == 400 and {r.first for r in got} == {0}

@@ -80,7 +80,7 @@ def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, folder = warc.archive_pages(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    read = warc.records(warc.read_archives(archives, folder, with_data=False))
+    read = warc.records(warc.read_archives(archives, folder))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

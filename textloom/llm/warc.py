@@ -6,9 +6,14 @@ it and carry the original's HTTP header, but no payload. Every task writes one a
 and returns its path; only archives in that (checkpointed) list are read, so what a lost attempt left behind is
 never seen.
 
-Reading. An archive is streamed; a payload comes out as rows (path, record_no, chunk_no) of at most
-``chunk_bytes`` each, with the SHA-1 of all bytes so far, so the last chunk's is the payload's. No whole record
-is ever held by the reader.
+Reading. Every partition of the list is read by a task of its own (the list has one for each writer). An archive
+is streamed; a payload comes out as rows (path, record_no, chunk_no) of at most ``chunk_bytes`` each, with the
+SHA-1 of all bytes so far, so the last chunk's is the payload's. No whole record is ever held by the reader. A
+record whose bytes or digest aren't the declared ones is an error.
+
+Hot payloads. The rows of one payload are dealt to as many salts as a table of its size needs, and only the least
+page_id of each salt meets the others; rows that repeat page_id and url as well share a salt, and are split by
+adaptive execution only.
 
 A null html is an empty payload, a null url an empty one; line breaks in a url are percent-encoded. Null
 page_ids come after all others (a group with none else has null for its response). Rows that repeat the
@@ -51,14 +56,16 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*four)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def assign_records(pages: DataFrame, html: str = "html", min_revisit_bytes: int = 0, salts: int = 16) -> DataFrame:
+def assign_records(pages: DataFrame, html: str = "html", min_revisit_bytes: int = 0, rows_per_salt: int = 20_000) -> DataFrame:
     """page_id, url, payload, digest, first: the page_id of the response with this payload.
 
     The least page_id of a digest is combined before the shuffle, and handed to the salts that the digest's own
-    rows use, so copies of one payload don't meet in one task.
+    rows use, so copies of one payload don't meet in one task: about rows_per_salt of them do, however many there are.
     """
+    salts = max(16, pages.count() // rows_per_salt)
     payload = text_or_empty(html).cast("binary")
-    salt = F.when(F.length(payload) >= min_revisit_bytes, F.pmod(F.xxhash64("page_id"), F.lit(salts))).otherwise(-1 - F.abs(F.xxhash64("page_id")))
+    dealt = F.xxhash64("page_id", text_or_empty("url"))
+    salt = F.when(F.length(payload) >= min_revisit_bytes, F.pmod(dealt, F.lit(salts))).otherwise(-1 - F.pmod(dealt, F.lit(1 << 62)))
     rows = pages.select("page_id", text_or_empty("url").alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), salt.alias("salt"))
     alone = F.col("salt") < 0
     some = rows.filter(~alone).groupBy("digest", "salt").agg(F.min("page_id").alias("least"))
@@ -163,8 +170,8 @@ def stream_records(source, chunk_bytes: int) -> Iterator[tuple]:
         record_no += 1
 
 
-def read_archives(archives: DataFrame, folder: str, chunk_bytes: int = 1 << 20, with_data: bool = True) -> DataFrame:
-    """The chunk table of the archives that ``write_archives`` listed. with_data False leaves the bytes null."""
+def read_archives(archives: DataFrame, folder: str, chunk_bytes: int = 1 << 15) -> DataFrame:
+    """The chunk table of the archives that ``write_archives`` listed."""
     names = [c.split()[0] for c in CHUNKS.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[c.split()[1]]) for n, c in zip(names, CHUNKS.split(", "))])
@@ -179,7 +186,7 @@ def read_archives(archives: DataFrame, folder: str, chunk_bytes: int = 1 << 20,
                 held, size = [], 0
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as source:
                     for row in stream_records(source, chunk_bytes):
-                        held.append((path, *(row if with_data else (*row[:-1], None))))
+                        held.append((path, *row))
                         size += row[-3]
                         if size > 4 * chunk_bytes or len(held) >= 2000:
                             yield table_of(held)
@@ -187,24 +194,28 @@ def read_archives(archives: DataFrame, folder: str, chunk_bytes: int = 1 << 20,
                 if held:
                     yield table_of(held)
 
-    return archives.select("path").repartition("path").mapInArrow(run, CHUNKS)
+    return archives.select("path").mapInArrow(run, CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """One row a record: its payload's length and digest, streamed for responses, as declared for revisits."""
+    """One row a record: its payload's length and digest, from the chunks of responses, as declared for revisits."""
     own = F.col("record_type") == "response"
     same = [F.first(c).alias(c) for c in ("page_id", "url", "record_type", "refers_to", "declared_digest", "declared_bytes")]
     whole = chunks.groupBy("path", "record_no").agg(
-        *same, F.sum("n_bytes").alias("read_bytes"), F.max_by("digest_so_far", "chunk_no").alias("read_digest")
+        *same,
+        F.sum(F.length("data")).cast("long").alias("read_bytes"),
+        F.max_by("digest_so_far", "chunk_no").alias("read_digest"),
+        (F.count("*") - F.max("chunk_no")).alias("complete"),
     )
+    intact = (F.col("read_digest") == F.col("declared_digest")) & (F.col("read_bytes") == F.col("declared_bytes")) & (F.col("complete") == 1)
+    broken = F.raise_error(F.concat_ws(" ", F.lit("broken record"), "record_no", F.lit("of"), "path"))
     return whole.select(
         "page_id",
         "url",
-        F.when(own, F.col("read_bytes")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+        F.when(own, F.when(intact, F.col("read_bytes")).otherwise(broken.cast("long"))).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
         F.when(own, F.col("read_digest")).otherwise(F.col("declared_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
-        (~own | ((F.col("read_digest") == F.col("declared_digest")) & (F.col("read_bytes") == F.col("declared_bytes")))).alias("intact"),
     )
 
 
