@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
 from textloom.llm import lz_fingerprint as L
 from textloom.llm.queries import op10_lz_fingerprint
@@ -16,18 +17,38 @@ def plain(text):
     return seen
 
 
-def check(rows, got, per=None):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
-    want = []
+# The 64 permutations, as the method fixes them: seed 20, odd factors, then shifts, modulo 2 ** 64.
+_rng = np.random.default_rng(20)
+FACTORS = [int(x) | 1 for x in _rng.integers(1, 1 << 63, 64, dtype=np.uint64)]
+SHIFTS = [int(x) for x in _rng.integers(0, 1 << 63, 64, dtype=np.uint64)]
+
+
+def plain_signature(text):
+    hashes = [xxhash.xxh3_64_intdigest(p.encode()) for p in plain(text)]
+    return [min(((h * f + s) % (1 << 64) for h in hashes), default=(1 << 64) - 1) % (1 << 32) for f, s in zip(FACTORS, SHIFTS)]
+
+
+def shown(signature):
+    return b"".join(x.to_bytes(4, "little") for x in signature).hex()
+
+
+def same(a, b):
+    return sum(x == y for x, y in zip(a, b)) / 64
+
+
+def check(rows, got):
+    """Every row against a plain parse and plain signatures; rows of one id come in any order of their texts' hashes."""
+    of, signatures = {}, {}
+    sign = lambda t: signatures.setdefault(t, plain_signature(t)) if len(t) < 5000 else plain_signature(t)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0), reverse=True)
+    assert len({r[0] for r in rows}) == len(rows) or len(rows) < 3, "ids differ here"
     for k, (i, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][1] or ""
-        t = t or ""
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(t) // 3
         edited = t[: len(t) - n] + after[:n]
-        a, b, c = (L.text_signature(x) for x in (t, edited, after))
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), L.likeness(a, b), L.likeness(a, c)))
-    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
-    assert sorted(got, key=key) == sorted(want, key=key)
+        a, b, c = (sign(x) for x in (t, edited, after))
+        of[i] = (i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), same(a, b), same(a, c))
+    assert len(got) == len(rows) and {r[0]: r for r in got} == of
 
 
 def test_query_against_brute_force(spark):
@@ -42,6 +63,7 @@ def test_query_against_brute_force(spark):
 
 def test_blocks_nulls_and_ties(spark):
     texts = [None, "", "a", "ab" * 500, "é😀", "the cat sat", "x" * 40000, "the cat sat on"] * 6
+    texts[6::8] = ["x" * (2000 + k) for k in range(len(texts[6::8]))]
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(None, "no id")]
     df = spark.createDataFrame([(i, t, "?", 1) for i, t in rows], "doc_id long, text string, fingerprint string, block int")
     for per in (1, 5, 1000):
@@ -50,6 +72,10 @@ def test_blocks_nulls_and_ties(spark):
     got = L.edited_pairs(twice, per_block=1).collect()
     assert [r.doc_id for r in got].count(1) == 2 and len(got) == 3
     assert L.edited_pairs(df.limit(0)).count() == 0
+    names = spark.createDataFrame([(None if i is None else f"d{i:04}é", t) for i, t in rows], "doc_id string, text string")
+    got = [tuple(r) for r in L.edited_pairs(names.repartition(3), per_block=2).collect()]
+    ids = {None if i is None else f"d{i:04}é": i for i, _ in rows}
+    check(rows, [(ids[r[0]], *r[1:]) for r in got])
     one = L.edited_pairs(df.filter("doc_id = 0")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
@@ -60,3 +86,21 @@ def test_likeness_tracks_shared_phrases():
     exact = len(a & b) / len(a | b)
     got = L.likeness(*(L.signature(L.minima(sorted(x))) for x in (a, b)))
     assert abs(got - exact) < 0.2
+
+
+def test_runs_of_one_id_cross_blocks(spark):
+    """Half of all rows repeat one id and text, others one id or none: each has a next row, and few see another text."""
+    rows = [(5, "copied text " * 5)] * 400 + [(None, "lost text " * 5)] * 200 + [(7, f"text {k}") for k in range(100)] + [(k, f"other {k}") for k in range(10, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for per in (20, 64):
+        blocks = L.neighbours(df, per_block=per)
+        sizes = [r["count"] for r in blocks.filter("NOT guest").groupBy("block").count().collect()]
+        assert sum(sizes) == len(rows) and max(sizes) < 5 * per + 100
+        assert blocks.filter("guest").groupBy("block").count().filter("count <> 1").count() == 0
+        got = L.edited_pairs(df, per_block=per).collect()
+        assert len(got) == len(rows)
+        assert sum(r.near_next < 1 for r in got if r.doc_id == 5) == 1 and sum(r.near_next < 1 for r in got if r.doc_id is None) == 1
+        text, after = "copied text " * 5, "lost text " * 5
+        edited = [text[:-20] + x for x in (text[:20], after[:20])]
+        want = {hashlib.sha256(x.encode()).hexdigest() for x in edited}
+        assert {r.edited_sha256 for r in got if r.doc_id == 5} == want

@@ -5,13 +5,20 @@ end is a phrase seen before). The set of phrases is hashed, and the minimum of e
 the signature; two signatures' share of equal minima estimates the Jaccard likeness of their phrase sets, which
 stays high where one text helps to compress the other.
 
+Neighbours. Documents are ordered by descending id (any type that sorts), ties by a hash of the text, null ids last.
+A range partitioning of ids and hashes alone finds where blocks of that order begin; then each text is shuffled
+once, to its block, and a block's first row also to the block before. Rows that repeat both id and text are alike,
+so where blocks begin within such a run, its rows are dealt over them at random. What the driver holds and sends
+is the first id and hash of each block: three a core, or one per ``per_block`` rows where that is more.
+
 A null text counts as empty and has the empty signature (all ones); two empty texts have likeness 1, an empty
-and another one 0. Whole texts are parsed. Repeated rows are neighbours in the order used by ``edited_pairs``
-(ties by text, null ids last); with one row, it is its own neighbour. Extra columns are ignored.
+and another one 0. Whole texts are parsed. Repeated rows are neighbours; with one row, it is its own neighbour.
+Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -21,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import arrow_batches, text_or_empty
 
 SLOTS = 64
@@ -78,48 +86,57 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.select("doc_id", text).mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, {out} string")
 
 
-#: Beyond so many blocks, blocks hold more rows; they are streamed, so only their time grows.
-MAX_BLOCKS = 2_000
-
-
-def _blocks(df: DataFrame, per_block: int) -> list:
-    """Upper bounds of doc_id for blocks of about per_block rows, ascending: at most MAX_BLOCKS numbers."""
-    n = df.agg(F.count("doc_id")).first()[0]
-    count = min(MAX_BLOCKS, max(1, n // per_block))
-    shares = [k / count for k in range(1, count)]
-    found = df.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else []
-    return sorted(set(found or []))
+def _leads(df: DataFrame, text: str, per_block: int) -> list[tuple]:
+    """(has an id, id, hash) of the first row of each block, descending."""
+    spark = df.sparkSession
+    keys = df.select(F.col("doc_id").isNotNull().alias("k"), "doc_id", F.xxhash64(text_or_empty(text)).alias("h"))
+    n = df.count()
+    blocks = max(1, n // per_block, min(n // 100, 3 * spark.sparkContext.defaultParallelism))
+    # The row's number splits long runs of one id and text.
+    order = [F.col(c).desc() for c in ("k", "doc_id", "h")] + [F.monotonically_increasing_id()]
+    ranged = cut_lineage(keys.repartitionByRange(blocks, *order).withColumn("part", F.spark_partition_id()))
+    firsts = ranged.groupBy("part").agg(F.max(F.struct("k", "doc_id", "h")).alias("o")).collect()
+    return [tuple(r["o"]) for r in sorted(firsts, key=lambda r: r["part"])]
 
 
-def neighbours(df: DataFrame, text: str = "text", per_block: int = 1_000) -> DataFrame:
-    """Rows dealt to blocks of consecutive doc_ids, each sorted by descending doc_id, and followed by a guest: the
-    first row of the next block (after the last, of the first). Each text is shuffled once; guests are few.
+def neighbours(df: DataFrame, text: str = "text", per_block: int = 50_000) -> DataFrame:
+    """Rows dealt to blocks that are consecutive in the order of neighbours, one a partition and sorted, and each
+    followed by a guest: the first row of the next block (after the last, of the first).
 
     Columns: block, doc_id, text, guest. Within a block every row's next document is the next row.
     """
-    bounds = _blocks(df, per_block)
-    rows = df.select("doc_id", text_or_empty(text).alias("text"))
-    # Descending ids, so block 0 holds the largest; null ids come last.
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("doc_id"))) if bounds else F.lit(0)
-    block = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(above).cast("int")
-    rows = rows.withColumn("block", block)
-    order = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", F.xxhash64("text").alias("h"))
-    first = rows.groupBy("block").agg(F.max(order).alias("o"))
-    firsts = sorted((r["block"], tuple(r["o"])) for r in first.collect())
-    if not firsts:
-        return rows.withColumn("guest", F.lit(False)).select("block", "doc_id", "text", "guest")
+    leads = _leads(df, text, per_block)
+    rows = df.select("doc_id", text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    if not leads:
+        return rows.select(F.lit(0).alias("block"), "doc_id", "text", F.lit(False).alias("guest"))
+    ascending = leads[::-1]
+
+    def place(ids: pa.Array, hashes: pa.Array, numbers: pa.Array) -> pa.Array:
+        """The block of each row: the last one that begins at it or before; any of those if many begin with its like."""
+        out = []
+        for i, h, number in zip(ids.to_pylist(), hashes.to_pylist(), numbers.to_pylist()):
+            key = (i is not None, i, h)
+            above = len(ascending) - bisect.bisect_right(ascending, key)  # blocks that begin before the row's like
+            last = max(len(ascending) - bisect.bisect_left(ascending, key) - 1, 0)
+            low = min(above, last)
+            out.append(low + (number * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % (last - low + 1))
+        return pa.array(out, pa.int32())
+
+    block = F.arrow_udf(place, "int")(F.col("doc_id"), F.col("h"), F.monotonically_increasing_id())
+    own = rows.select(block.alias("block"), "doc_id", "text", F.lit(False).alias("guest"))
     # Each block's first row is also the guest of the block before it; there are as many as blocks.
-    leads = df.sparkSession.createDataFrame(
-        [(b, o[1], o[2], firsts[k - 1][0]) for k, (b, o) in enumerate(firsts)], f"block int, d {dict(df.dtypes)['doc_id']}, h long, before int"
-    )
-    same = (F.col("rows.block") == F.col("leads.block")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
-    lead = rows.alias("rows").join(F.broadcast(leads).alias("leads"), same)
-    guests = lead.select(F.col("before").alias("block"), "doc_id", "text", F.lit(True).alias("guest")).dropDuplicates(["block"])
-    own = rows.select("block", "doc_id", "text", F.lit(False).alias("guest"))
-    return own.unionByName(guests)
-
-
-def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 1_000) -> DataFrame:
+    spark, kind = df.sparkSession, dict(df.dtypes)["doc_id"]
+    firsts = spark.createDataFrame([(o[1], o[2], (k - 1) % len(leads)) for k, o in enumerate(leads)], f"d {kind}, h2 long, block int")
+    # One row stands for all of its like, before the copies for several blocks.
+    like = firsts.groupBy("d", "h2").agg(F.collect_list("block").alias("blocks"))
+    lead = rows.join(F.broadcast(like), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("h2")))
+    one = lead.groupBy("d", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("blocks").alias("blocks"))
+    guests = one.select(F.explode("blocks").alias("block"), "doc_id", "text", F.lit(True).alias("guest"))
+    dealt = own.unionByName(guests).repartitionById(len(leads), F.col("block"))
+    return dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
+
+
+def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 50_000) -> DataFrame:
     """For every row: its and its edited text's signature (hex), and their likeness; that of the next document.
 
     The edited text has its last third replaced by the next document's beginning. The parse of the part that
@@ -128,9 +145,10 @@ def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 1_000) -> D
     arrow_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row whose next one hasn't come yet
+        last = ids = None  # the row whose next one hasn't come yet
         for batch in batches:
             out: list[tuple] = []
+            ids = batch.column(1).type
             for block, doc_id, body, guest in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 cut = len(body) - len(body) // 3
                 phrases: set[str] = set()
@@ -148,10 +166,7 @@ def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 1_000) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     kind = dict(df.dtypes)["doc_id"]
-    ids = {"bigint": pa.int64(), "int": pa.int32()}[kind]
-    blocks = neighbours(df, text, per_block).repartition("block")
-    blocks = blocks.sortWithinPartitions("block", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
-    return blocks.mapInArrow(
+    return neighbours(df, text, per_block).mapInArrow(
         run,
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
