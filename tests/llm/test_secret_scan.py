@@ -1,5 +1,7 @@
 import re
+import time
 
+from textloom.llm import secret_scan as S
 from textloom.llm.secret_scan import PARTS, redact, scan_secrets
 
 SCHEMA = "doc_id long, text string, spans string, cell int"
@@ -12,7 +14,7 @@ def brute(text):
         for m in re.finditer(p.pattern, text):
             if len(m.group(p.group) or "") >= p.least and all(re.search(x, m.group(0)) for x in p.also):
                 found.append((m.start(), rank, p.kind, m.end()))
-    near = lambda a, b: b[0] <= a[3] + REACH and a[0] <= b[3] + REACH
+    near = lambda a, b: b[0] <= a[3] + REACH and a[0] <= b[3] + REACH and (b[0] >= a[3] or b[3] <= a[0])
     keep = [a for a in found if not PARTS[a[1]].weak or any(PARTS[a[1]].role != PARTS[b[1]].role and near(a, b) for b in found)]
     return sorted(keep)
 
@@ -60,3 +62,18 @@ def test_a_part_does_not_vouch_for_itself(spark):
     rows = spark.createDataFrame([(i, t, "?", 3) for i, t in enumerate([*alone, beside])], SCHEMA)
     assert {r.doc_id: r.text for r in redact(rows).collect()} == {0: alone[0], 1: alone[1], 2: "[SECRET] [SECRET]"}
     assert {r.doc_id: [s["kind"] for s in r.spans] for r in scan_secrets(rows).collect()} == {0: [], 1: [], 2: ["endpoint", "opaque", "login"]}
+
+
+def test_redaction_of_many_spans_with_clashing_names(spark, monkeypatch):
+    """50,000 spans in one text, among é and emoji; columns named like the operator's own."""
+    body = "é😀 token=abcdefgh1\n" * 50_000
+    schema = "doc_id string, text string, _d int, _h int, _cuts int, spans int, rank int, first_byte int"
+    df = spark.createDataFrame([("a", body, 1, 2, 3, 4, 5, 6), ("b", "nothing", 1, 2, 3, 4, 5, 6), (None, "secret: hunter2hunter2", 1, 2, 3, 4, 5, 6)], schema)
+    for limit in (1 << 26, 0):
+        monkeypatch.setattr(S, "BROADCAST_BYTES", limit)
+        began = time.time()
+        got = {r.doc_id: r for r in redact(df).collect()}
+        assert time.time() - began < 60
+        assert got["a"].text == "é😀 [SECRET]\n" * 50_000
+        assert got["b"].text == "nothing" and got[None].text == "[SECRET]"
+        assert all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6) for r in got.values())

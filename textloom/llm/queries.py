@@ -250,13 +250,27 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: kind, role, weak, least characters, of which group, what a match must contain, pattern: said again for the SQL, in its own words.
+_OP9_PARTS = (
+    ("assign", "secret", False, 8, 2, (),
+     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", "identifier", False, 16, 0, (), r"AKIA[A-Z0-9]+"),
+    ("hex", "secret", False, 32, 0, (), r"[0-9a-f]+"),
+    ("login", "identifier", True, 3, 2, (),
+     r"""([uU][sS][eE][rR]_?[nN][aA][mM][eE]|[lL][oO][gG][iI][nN]|[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][eE][sS][sS]_?[kK][eE][yY]_?[iI][dD])["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)"""),
+    ("opaque", "secret", True, 24, 0, ("[0-9]", "[A-Za-z]"), r"[A-Za-z0-9+/_-]{24,}={0,2}"),
+    ("endpoint", "endpoint", True, 1, 0, (),
+     r"""https?://[^\x00-\x20"'<>]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(:[0-9]{1,5})?"""),
+)
+
+
 def _op9_sql(reach: int = 200) -> str:
     quoted = lambda p: p.replace("'", "''")
     found = " UNION ALL ".join(
-        f"""SELECT doc_id, {i} AS rank, '{p.kind}' AS kind, '{p.role}' AS role, {str(p.weak).lower()} AS weak, {p.least} AS least,
-        regexp_extract_all(text, '{quoted(p.pattern)}') AS ms, regexp_extract_all(text, '{quoted(p.pattern)}', {p.group}) AS vs,
-        string_split_regex(text, '{quoted(p.pattern)}') AS gs, [{", ".join(f"'{x}'" for x in p.also)}]::VARCHAR[] AS also FROM d"""
-        for i, p in enumerate(secret_scan.PARTS)
+        f"""SELECT doc_id, {i} AS rank, '{kind}' AS kind, '{role}' AS role, {str(weak).lower()} AS weak, {least} AS least,
+        regexp_extract_all(text, '{quoted(pattern)}') AS ms, regexp_extract_all(text, '{quoted(pattern)}', {group}) AS vs,
+        string_split_regex(text, '{quoted(pattern)}') AS gs, [{", ".join(f"'{x}'" for x in also)}]::VARCHAR[] AS also FROM d"""
+        for i, (kind, role, weak, least, group, also, pattern) in enumerate(_OP9_PARTS)
     )
     return f"""
 WITH d AS (
@@ -273,7 +287,7 @@ WITH d AS (
 ), k AS (
   SELECT * FROM s WHERE NOT weak OR EXISTS (
     SELECT 1 FROM s AS o WHERE o.doc_id = s.doc_id AND o.role <> s.role
-      AND o.start <= s.stop + {reach} AND s.start <= o.stop + {reach})
+      AND o.start <= s.stop + {reach} AND s.start <= o.stop + {reach} AND (o.start >= s.stop OR o.stop <= s.start))
 )
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
        count(*) FILTER (kind = 'hex') AS n_hex,

@@ -10,20 +10,21 @@ and cell under the interval condition, and only their existence is asked for, so
 
 Positions are code points, end exclusive. Per kind, matches are leftmost and don't overlap; spans of different
 kinds may. A null text counts as empty. Rows of one doc_id and one text share their spans, repeated rows keep
-their own row. Extra columns are ignored. An empty table gives no rows.
+their own row. Rows without a match are in no shuffle. Extra columns are ignored by ``scan_secrets`` and kept by
+``redact``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import bind, text_or_empty
+from .common import bind, free_names, text_or_empty
 
 
 class Part(NamedTuple):
@@ -67,11 +68,14 @@ PARTS = (
     ),
 )
 
-_MATCH = "array<struct<gap:int,width:int,ok:boolean>>"
+_MATCH = "array<struct<gap:int,width:int,gap_bytes:int,bytes:int,ok:boolean>>"
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Spans of up to so many bytes in all (16 a span, 48 a text) are broadcast to the texts; beyond that, texts are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def _matches(text: Column, part: Part) -> Column:
-    """All matches as (characters since the last match, width, whether it counts)."""
+    """All matches as (characters since the last match, width, both in bytes, whether it counts)."""
     pattern = F.lit(part.pattern)
 
     def measured(pair: Column) -> Column:
@@ -80,6 +84,8 @@ def _matches(text: Column, part: Part) -> Column:
             lambda m, i: F.struct(
                 F.length(F.get(pair["between"], i)).alias("gap"),
                 F.length(m).alias("width"),
+                F.octet_length(F.get(pair["between"], i)).alias("gap_bytes"),
+                F.octet_length(m).alias("bytes"),
                 reduce(and_, (m.rlike(x) for x in part.also), F.length(F.get(pair["value"], i)) >= part.least).alias("ok"),
             ),
         )
@@ -98,18 +104,23 @@ def scan(df: DataFrame, text: str = "text", parts: tuple[Part, ...] = PARTS) ->
     return df.select("doc_id", F.xxhash64(whole).alias("text_hash"), *(_matches(whole, p).alias(p.kind) for p in parts))
 
 
+def _some(parts: tuple[Part, ...]) -> Column:
+    return reduce(or_, (F.size(p.kind) > 0 for p in parts))
+
+
 def locate(scanned: DataFrame, parts: tuple[Part, ...] = PARTS) -> DataFrame:
-    """doc_id, text_hash, rank (the kind's place in parts), kind, start, end of each match that counts."""
+    """doc_id, text_hash, rank (the kind's place in parts), kind, start, end and the same in bytes of each match that counts."""
     kinds = F.array(*(F.struct(F.lit(i).alias("rank"), F.col(p.kind).alias("found")) for i, p in enumerate(parts)))
-    some = F.greatest(*(F.size(p.kind) for p in parts)) > 0
-    one = scanned.filter(some).dropDuplicates(["doc_id", "text_hash"])
+    one = scanned.filter(_some(parts)).dropDuplicates(["doc_id", "text_hash"])
     rows = one.select("doc_id", "text_hash", F.explode(kinds).alias("k")).select(
         "doc_id", "text_hash", F.col("k.rank").alias("rank"), F.posexplode("k.found").alias("pos", "m")
     )
     upto = Window.partitionBy("doc_id", "text_hash", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("end", F.sum(F.col("m.gap") + F.col("m.width")).over(upto).cast("int")).filter("m.ok")
+    end, last_byte = F.sum(F.col("m.gap") + F.col("m.width")).over(upto), F.sum(F.col("m.gap_bytes") + F.col("m.bytes")).over(upto)
+    placed = rows.withColumns({"end": end.cast("int"), "last_byte": last_byte.cast("int")}).filter("m.ok")
     kind = F.get(F.array(*(F.lit(p.kind) for p in parts)), F.col("rank"))
-    return placed.select("doc_id", "text_hash", "rank", kind.alias("kind"), (F.col("end") - F.col("m.width")).alias("start"), "end")
+    start, first_byte = F.col("end") - F.col("m.width"), F.col("last_byte") - F.col("m.bytes")
+    return placed.select("doc_id", "text_hash", "rank", kind.alias("kind"), start.alias("start"), "end", first_byte.alias("first_byte"), "last_byte")
 
 
 def link(spans: DataFrame, parts: tuple[Part, ...] = PARTS, reach: int = 200) -> DataFrame:
@@ -139,41 +150,41 @@ def scan_secrets(df: DataFrame, text: str = "text", parts: tuple[Part, ...] = PA
     listed = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
     listed = listed.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    rows = scanned.select("doc_id", "text_hash").join(listed, same, "left").drop("_d", "_h")
-    return rows.withColumn("spans", F.coalesce("spans", none))
+    none = F.array().cast(_SPANS)
+    some = scanned.filter(_some(parts)).select("doc_id", "text_hash").join(listed, same, "left").drop("_d", "_h")
+    clean = scanned.filter(~_some(parts)).select("doc_id", "text_hash", none.alias("spans"))
+    return clean.unionByName(some.withColumn("spans", F.coalesce("spans", none)))
+
+
+def cuts(spans: DataFrame) -> DataFrame:
+    """doc_id, text_hash and ``cuts``: the union of a text's spans as disjoint ranges of bytes, ascending. Ranges that touch are one."""
+    upto = Window.partitionBy("doc_id", "text_hash").orderBy("first_byte", "last_byte")
+    reached = F.max("last_byte").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("opens", F.when(reached.isNull() | (F.col("first_byte") > reached), 1).otherwise(0))
+    runs = opens.withColumn("run", F.sum("opens").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("first_byte").alias("first"), F.max("last_byte").alias("last"))
+    return whole.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"))
 
 
 def redact(df: DataFrame, text: str = "text", parts: tuple[Part, ...] = PARTS, reach: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """df with every reported span of ``text`` replaced by mark; overlapping spans become one mark.
 
-    Rows without a span, and all other columns, stay as they are. Only texts with spans are cut up.
+    Rows without a span, and all other columns, stay as they are. A text is cut at bytes, in one pass, however many
+    its spans. Texts aren't shuffled while the spans are few enough to be broadcast.
     """
-    found = scan_secrets(df, text, parts, reach).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans"))
+    d, h, c = free_names(df, "_d", "_h", "_cuts")
+    found = cut_lineage(cuts(link(cut_lineage(locate(cut_lineage(scan(df, text, parts)), parts)), parts, reach)))
+    size = found.agg(F.coalesce(F.sum(48 + 16 * F.size("cuts").cast("long")), F.lit(0))).first()[0]
+    found = found.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("cuts").alias(c))
     whole = text_or_empty(text)
 
-    def cut(spans: Column) -> Column:
-        """The spans' union as disjoint [start, end): a span opens one when it starts after all earlier ends."""
-        ends = lambda k: F.array_max(F.transform(F.slice(spans, 1, k), lambda s: s["end"]))
-        opens = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda k: (k == 0) | (F.get(spans, k)["start"] > ends(k)))
-        return bind(
-            opens,
-            lambda o: F.transform(
-                o, lambda k, j: F.struct(F.get(spans, k)["start"].alias("start"), ends(F.coalesce(F.get(o, j + 1), F.size(spans))).alias("end"))
-            ),
-        )
-
-    def rebuilt(runs: Column) -> Column:
-        before = F.transform(
-            runs,
-            lambda r, j: F.substring(
-                whole, F.coalesce(F.get(runs, j - 1)["end"], F.lit(0)) + 1, r["start"] - F.coalesce(F.get(runs, j - 1)["end"], F.lit(0))
-            ),
-        )
-        tail = F.substring(whole, F.get(runs, F.size(runs) - 1)["end"] + 1, F.length(whole))
-        return F.array_join(F.concat(before, F.array(tail)), mark)
+    def rebuilt(body: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(F.col(c), k)["last"], F.lit(0))
+        piece = lambda a, n: F.substring(body, a + 1, n).cast("string")
+        before = F.transform(F.col(c), lambda r, j: piece(after(j - 1), r["first"] - after(j - 1)))
+        end = after(F.size(c) - 1)
+        return F.array_join(F.concat(before, F.array(piece(end, F.length(body) - end))), mark)
 
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(whole) == F.col("_h"))
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(bind(bind(F.col("_spans"), cut), rebuilt))
-    return df.join(found, same, "left").withColumn(text, clean).drop("_d", "_h", "_spans")
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64(whole) == F.col(h))
+    clean = F.when(F.col(c).isNull(), F.col(text)).otherwise(bind(whole.cast("binary"), rebuilt))
+    return df.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, same, "left").withColumn(text, clean).drop(d, h, c)
