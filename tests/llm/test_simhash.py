@@ -1,11 +1,13 @@
 import random
+import time
 
 import numpy as np
+import pytest
 import xxhash
 
 from textloom.llm.components import components
 from textloom.llm.queries import op8_simhash
-from textloom.llm.simhash import link, near_duplicates
+from textloom.llm.simhash import keep_one, link, near_duplicates, sweep, variants
 
 
 def plain_fingerprint(text):
@@ -60,8 +62,8 @@ def test_nulls_ties_and_empty(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_links_of_planted_fingerprints(spark):
-    rnd = random.Random(1)
+def planted(seed):
+    rnd = random.Random(seed)
     fps = set()
     for _ in range(60):  # chains and crowds of fingerprints up to 5 bits apart
         f = rnd.getrandbits(64)
@@ -72,9 +74,16 @@ def test_links_of_planted_fingerprints(spark):
                 g ^= 1 << rnd.randrange(64)
             f = rnd.choice([f, g])
             fps.add(g)
+    return fps
+
+
+@pytest.mark.parametrize("hot", [None, 64])
+def test_links_of_planted_fingerprints(spark, hot):
+    """hot 64: every key met twice in the sample is cut before the shuffle."""
+    fps = planted(1)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long").repartition(3)
-    links = link(df)
+    links = link(df, hot=hot)
     for a, b in links.collect():
         assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
     got = {r.node: r.root for r in components(links).collect()}
@@ -83,3 +92,42 @@ def test_links_of_planted_fingerprints(spark):
     for f in fps:
         by.setdefault(label[f], set()).add(got.get(signed(f), signed(f)))
     assert all(len(x) == 1 for x in by.values()) and len({min(x) for x in by.values()}) == len(by)
+
+
+def test_sweep_of_a_crowd_under_one_key():
+    """100,000 unrelated fingerprints that share a segment, and some near ones among them."""
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2) & ~np.uint64((1 << 21) - 1) | np.uint64(0x12345)
+    near = fps[:500].copy()
+    for k in range(4):
+        near ^= np.uint64(1) << rng.integers(21, 64, 500, dtype=np.uint64)
+    near[::2] ^= np.uint64(1)  # the wildcard's place
+    near[::2] ^= np.uint64(1) << np.uint64(63)
+    key = variants(fps[:1], 4)[0, 0]
+    every = np.sort(np.concatenate([fps, near]))
+    began = time.time()
+    a, b = sweep(np.full(len(every), key), every, 4)
+    assert time.time() - began < 10
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+    linked = set(zip(a.tolist(), b.tolist())) | set(zip(b.tolist(), a.tolist()))
+    want = [(int(x), int(y)) for x, y in zip(fps[:500], near) if int(x ^ y).bit_count() <= 4 and x != y]
+    assert len(want) > 200 and all(p in linked for p in want)
+
+
+def test_sweep_of_near_copies_is_not_quadratic():
+    fps = np.unique(np.array([sum(1 << b for b in random.Random(k).sample(range(30, 60), 2)) for k in range(3000)], np.uint64))
+    a, _ = sweep(np.full(len(fps), np.uint64(0)), fps, 4)
+    assert len(a) < 40 * len(fps)
+
+
+def test_keep_one_with_clashing_names_and_ids_of_text(spark, monkeypatch):
+    schema = "doc_id string, text string, _id int, _hash int, component int, fp int, _stays int, n int"
+    words = " ".join(f"w{k}" for k in range(400))
+    rows = [("a", words), ("b", words), ("b", words), ("c", words + " more"), ("d", "other text here"), ("d", "other text here"), (None, None), (None, None), (None, "lone text of its own")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], schema)
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr("textloom.llm.simhash.BROADCAST_ROWS", limit)
+        got = keep_one(df).collect()
+        assert sorted((repr(r.doc_id), r.text or "") for r in got) == [("'a'", words), ("'d'", "other text here"), ("None", ""), ("None", "lone text of its own")]
+        assert all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6) for r in got)
+    assert keep_one(df.limit(0)).count() == 0

@@ -8,13 +8,17 @@ so that of two linked ones at least one segment differs by at most one bit; each
 its variants with one bit as a wildcard, and linked fingerprints meet under an equal variant, where they are
 verified. Only distinct fingerprints are indexed: copies collapse before anything is joined.
 
-Within a variant's group links aren't paired off: a group of more than eight yields a spanning forest of its
-verified links (fewer links than members), which keeps every component and nothing of quadratic size. Groups
-are swept in numpy, the small ones of a batch of sorted rows together. A group is large only where fingerprints
-crowd, that is among near copies; there each member that joins the forest leaves the rest to compare.
-
-A null text counts as empty. Repeated doc_ids link like any rows and share the smallest id. A null doc_id has
-its fingerprint and, if no other id is reachable, a null component. Extra columns are ignored.
+Within a variant's group links aren't paired off: a group that has more than twice as many links as members
+yields a spanning forest of them instead, which keeps every component and nothing of quadratic size. Groups are swept
+in numpy, all groups of a batch of sorted rows together. A group also holds fingerprints that share a segment by
+chance (one in two million of all). One of more than ``LARGE`` members is therefore cut again: linked members are
+equal in at least one of bits + 1 pieces of their other segments, and only those that are get compared. Keys of more
+than ``HOT`` members (known from a sample of 1 in 64, which steers only who meets where) are cut in the same way
+before the shuffle, so that no task holds such a group.
+
+A null text counts as empty. Repeated doc_ids link like any rows and share the smallest id. Ids may be of any type
+that sorts. A null doc_id has its fingerprint and, if no other id is reachable, a null component. Extra columns are
+ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import arrow_batches
-from .components import components
+from .common import arrow_batches, free_names
+from .components import attach, components
+
+LARGE, HOT = 64, 200_000
+#: Up to so many rows that don't simply stay are broadcast by ``keep_one``; beyond that, texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+HASHED = np.uint64(1 << 63)
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -103,52 +112,119 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def sweep(groups: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """groups: sorted keys. Pairs of fps that link within their group: small groups shift by shift, large ones as a forest."""
-    n = len(fps)
-    begins = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if n else np.empty(0, np.int64)
-    sizes = np.diff(np.append(begins, n))
-    left, right = [], []
-    for a, m in zip(begins[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
-        x, y = forest(fps[a : a + m], bits)
-        left.append(fps[a + np.array(x, np.int64)])
-        right.append(fps[a + np.array(y, np.int64)])
-    for shift in range(1, 8):
-        at = np.concatenate([begins[(sizes > k + shift) & (sizes <= 8)] + k for k in range(8 - shift)]) if n else begins
+def pieces(fps: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    """A row of bits + 1 keys for each member of a group: its pieces of the bits outside the group's segment.
+
+    place: the wildcard's place of the group, which tells the segment. Members at most ``bits`` bits apart share a key.
+    """
+    keys = np.empty((len(fps), bits + 1), np.uint64)
+    for first, count in cuts(bits):
+        own = np.flatnonzero((place >= first) & (place < first + count))
+        # The other bits, drawn together.
+        low = fps[own] & np.uint64((1 << first) - 1)
+        high = (fps[own] >> np.uint64(first + count)) if first + count < 64 else np.zeros(len(own), np.uint64)
+        rest, left = low | (high << np.uint64(first)), 64 - count
+        edges = [left * i // (bits + 1) for i in range(bits + 2)]
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            keys[own, i] = np.uint64(i << 56) | ((rest >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1))
+    return keys
+
+
+def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of sorted keys begin, and their sizes."""
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return begins, np.diff(np.append(begins, len(keys)))
+
+
+def _pairs(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within groups, compared shift by shift; a group with more links than twice its members, or of more than
+    1,024 members, gives a forest."""
+    out, count, crowd = [], np.zeros(len(begins), np.int64), sizes > 1024
+    for shift in range(1, int(sizes[~crowd].max(initial=1))):
+        groups = np.flatnonzero(~crowd & (sizes > shift))
+        if not len(groups):
+            break
+        n = sizes[groups] - shift
+        of = np.repeat(groups, n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n - begins[groups], n)
         near = np.bitwise_count(fps[at] ^ fps[at + shift]) <= bits
-        left.append(fps[at[near]])
-        right.append(fps[at[near] + shift])
-    return np.concatenate(left), np.concatenate(right)
+        if near.any():
+            out.append((fps[at[near]], fps[at[near] + shift]))
+            count += np.bincount(of[near], minlength=len(count))
+            crowd |= count > 2 * sizes
+    for g in np.flatnonzero(crowd).tolist():
+        own = fps[begins[g] : begins[g] + sizes[g]]
+        x, y = forest(own, bits)
+        out.append((own[np.array(x, np.int64)], own[np.array(y, np.int64)]))
+    return out
 
 
-def link(distinct: DataFrame, bits: int = 4) -> DataFrame:
+def sweep(groups: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """groups: sorted keys. Pairs of fps that link within their group, enough to connect all that do."""
+    begins, sizes = _starts(groups)
+    large = sizes > LARGE
+    out = _pairs(fps, begins[~large], sizes[~large], bits)
+    for a, m in zip(begins[large].tolist(), sizes[large].tolist()):
+        if groups[a] & HASHED:  # cut already
+            out += _pairs(fps[a : a + m], np.zeros(1, np.int64), np.array([m]), bits)
+            continue
+        keys = pieces(fps[a : a + m], np.full(m, int(groups[a]) >> 32), bits)
+        order = np.argsort(keys.ravel(), kind="stable")
+        members = fps[a + order // (bits + 1)]
+        out += _pairs(members, *_starts(keys.ravel()[order]), bits)
+    none = np.empty(0, np.uint64)
+    return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)])
+
+
+def _mix(keys: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """A key for each piece of a hot key."""
+    mixed = (keys[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ (piece * np.uint64(0xBF58476D1CE4E5B9))
+    return (mixed ^ (mixed >> np.uint64(29))) | HASHED
+
+
+def link(distinct: DataFrame, bits: int = 4, hot: int | None = None) -> DataFrame:
     """distinct (fp) to links (a, b) that connect every two fingerprints at most bits apart; bits from 2 to 62."""
     arrow_batches(distinct.sparkSession, 20_000)
+    hot = HOT if hot is None else hot
+    found = np.empty(0, np.uint64)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy().view(np.uint64)
             for k in range(0, len(every), 1000):
-                fps = every[k : k + 1000]
-                yield pa.RecordBatch.from_pydict(
-                    {"key": variants(fps, bits).ravel().view(np.int64), "fp": np.repeat(fps, 64).view(np.int64)}
-                )
-
-    def swept(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = sweep(keys, fps.view(np.uint64), bits)
+                keys, fps = variants(every[k : k + 1000], bits).ravel(), np.repeat(every[k : k + 1000], 64)
+                if len(found):
+                    cut = found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys
+                    more = _mix(keys[cut], pieces(fps[cut], (keys[cut] >> np.uint64(32)).astype(np.int64), bits)).ravel()
+                    keys, fps = np.append(keys[~cut], more), np.append(fps[~cut], np.repeat(fps[cut], bits + 1))
+                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "fp": fps.view(np.int64)})
+
+    def swept(keys: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = sweep(np.concatenate(keys).view(np.uint64), np.concatenate(fps).view(np.uint64), bits)
         return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sweep the groups that are complete; the last one waits for the next batch."""
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, fps = [], []
         for batch in batches:
-            keys, fps = np.append(keys, batch.column(0).to_numpy()), np.append(fps, batch.column(1).to_numpy())
-            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            yield swept(keys[:done], fps[:done])
-            keys, fps = keys[done:], fps[done:]
-        yield swept(keys, fps)
-
-    dealt = distinct.select("fp").mapInArrow(index, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            if keys and keys[0][0] == key[-1]:  # all of one group
+                keys.append(key), fps.append(fp)
+                continue
+            done = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            keys.append(key[:done]), fps.append(fp[:done])
+            yield swept(keys, fps)
+            keys, fps = [key[done:]], [fp[done:]]
+        if keys:
+            yield swept(keys, fps)
+
+    indexed = distinct.select("fp")
+    sample = indexed.filter(F.pmod(F.xxhash64("fp"), F.lit(64)) == 0).mapInArrow(index, "key long, fp long")
+    rows = sample.groupBy("key").count().filter(F.col("count") * 64 >= hot).select("key").collect()
+    found = np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+    dealt = indexed.mapInArrow(index, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -164,19 +240,21 @@ def near_duplicates(df: DataFrame, text: str = "text", width: int = 4, bits: int
     return attach(docs, classes, "fp", "doc_id")
 
 
-def attach(rows: DataFrame, classes: DataFrame, key: str, spread: str, salts: int = 32) -> DataFrame:
-    """rows joined with the class of their key. A key that very many rows share is salted by the column spread: its
-    class row is copied to the salts that its own rows use, so no task holds them all."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    used = salted.select(key, "salt").distinct()
-    return salted.join(used.join(classes, key), [key, "salt"]).drop("salt")
-
-
 def keep_one(df: DataFrame, text: str = "text", width: int = 4, bits: int = 4) -> DataFrame:
     """df with one row of each component: that of the smallest doc_id (nulls last; ties by the text's hash)."""
+    rows = cut_lineage(near_duplicates(df, text, width, bits))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    found = near_duplicates(df, text, width, bits).groupBy("component").agg(F.min(order).alias("o"))
-    chosen = found.select(F.col("o.doc_id").alias("_id"), F.col("o.text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    hashed = df.join(chosen, same, "left_semi")
-    return hashed.withColumn("_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    best = rows.groupBy("component").agg(F.min(order).alias("best"))
+    same = rows.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    told = attach(same, best, "component", "text_hash").withColumn("stays", F.col("best").eqNullSafe(order))
+    # Most rows stay as they are; the others are those that go, and repeated ones of which one stays.
+    others = cut_lineage(told.filter(~F.col("stays") | (F.col("n") > 1)).select("doc_id", "text_hash", "stays"))
+    few, repeated = others.count() <= BROADCAST_ROWS, not others.filter("stays").isEmpty()
+    d, h, stays, own = free_names(df, "_id", "_hash", "_stays", "_own")
+    others = others.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("stays").alias(stays))
+    found = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h))
+    marked = df.withColumn(own, F.xxhash64(text)).join(F.broadcast(others) if few else others, found, "left").drop(d, h)
+    kept = marked.filter(F.col(stays).isNull())
+    if repeated:
+        kept = kept.unionByName(marked.filter(F.col(stays)).dropDuplicates(["doc_id", own]))
+    return kept.drop(stays, own)
