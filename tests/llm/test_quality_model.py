@@ -1,5 +1,8 @@
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from textloom.llm import quality_model as Q
 from textloom.llm.queries import op7_quality_model
 
@@ -31,3 +34,38 @@ def test_nulls_repeats_and_no_labels(spark):
         got = Q.score(df, Q.fit(df, labels, label="y")).collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert Q.score(df.limit(0), Q.fit(df, none, label="y")).count() == 0
+
+
+def plain_sums(texts):
+    index, sums = Q.index_vectors(Q.BUCKETS, Q.DIM, 1), {}
+    for t in texts:
+        rows = [zlib.crc32(w.lower()) % Q.BUCKETS for w in (t or "").encode().split()]
+        for i, r in enumerate(rows):
+            for j in (*range(max(i - Q.WINDOW, 0), i), *range(i + 1, min(i + Q.WINDOW + 1, len(rows)))):
+                sums[r] = sums.get(r, 0) + index[rows[j]].astype(np.int64)
+    return sums
+
+
+def test_word_vectors_cover_all_documents(spark, monkeypatch):
+    texts = [None, "", "one", "A b", "the cat sat on the mat and the cat ran", "x y " * 300, " é\tÉ é\n q " * 7] * 3
+    want = plain_sums(texts)
+    monkeypatch.setattr(Q, "SLICE", 50)
+    sums = np.zeros((Q.BUCKETS, Q.DIM), np.int32)
+    Q._context_sums(pa.array(texts), sums, Q.index_vectors(Q.BUCKETS, Q.DIM, 1).astype(np.int8))
+    assert all((sums[r] == v).all() for r, v in want.items()) and np.count_nonzero(sums.any(1)) <= len(want)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    a, b = (Q.word_vectors(df.repartition(n), "text") for n in (1, 5))
+    assert (a == b).all()
+    row, v = max(want.items(), key=lambda r: np.linalg.norm(r[1]))
+    own = Q.index_vectors(Q.BUCKETS, Q.DIM, 1)[row] / np.sqrt(Q.NONZERO)
+    assert np.allclose(a[row], v / np.linalg.norm(v) + own, atol=1e-5)
+
+
+def test_ids_of_text_and_repeated_labelled_ids(spark):
+    """5,000 rows of one labelled id are learnt from once a label."""
+    rows = [("hot", f"good text {k}") for k in range(5000)] + [(f"d{k}", f"bad !!! {k} ###") for k in range(40)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([("hot", 1), ("hot", 1), *((f"d{k}", k % 2) for k in range(40)), (None, 1)], "doc_id string, y int")
+    model = Q.fit(df, labels, label="y")
+    assert Q.score(df, model).count() == len(rows)
+    assert abs(model.prior - 22 / 42) < 1e-9

@@ -1,20 +1,23 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small calibrated network.
 
-Word vectors. Words and word shapes are hashed to ``BUCKETS`` rows. Every row has a fixed sparse ternary index
-vector; a row's word vector is the normalised sum of the index vectors of its neighbours (``WINDOW`` words to
-either side), gathered over the training texts, plus its own index vector, so that rows never seen in training
-still have one. A document's vector is the mean over its words, the mean over its shapes, and a few ratios.
+Word vectors. Words and word shapes are hashed to ``BUCKETS`` rows (words that share one share a vector). Every row
+has a fixed sparse ternary index vector; a row's word vector is the normalised sum of the index vectors of its
+neighbours (``WINDOW`` words to either side), gathered over all documents, plus its own index vector. Tasks sum
+in integers; the partial sums are added in ``BLOCKS`` blocks of rows, streamed, so the vectors don't depend on how
+rows are dealt. A document's vector is the mean over its words, the mean over its shapes, and a few ratios.
 
 Network. Two layers in numpy (tanh, sigmoid), trained by Adam; a held-out fifth of the training rows sets the
 temperature by which logits are divided, so that scores are probabilities.
 
-Only training is bounded: at most ``max_labelled`` labelled rows, those of least hash, are learnt from (a
-documented parameter). Every document is scored, over its whole text, in Arrow batches; what is sent to the
-executors is the table of word vectors (BUCKETS x DIM floats, 4 MB) and the weights.
+Only the network's training is bounded: at most ``max_labelled`` labels, those of least hash, are learnt from (a
+documented parameter), each with one document: of several with its id, that of least text. Every document is
+scored, over its whole text, in Arrow batches; what is sent to the executors is the table of word vectors
+(BUCKETS x DIM floats, 17 MB) and the weights.
 
 A null or empty text has zero vectors and is scored like any other. Labels that are null are ignored; repeated
-labels count as often as they occur. Without any label of both classes every score is the share of label 1
-(0.5 if there is none). Extra columns pass through, those named like an output are replaced.
+labels count as often as they occur. Ids may be of any type that sorts. Without any label of both classes every
+score is the share of label 1 (0.5 if there is none). Extra columns pass through, those named like an output are
+replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import arrow_batches
+from .common import arrow_batches, pooled, split_words
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 6, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 16, 64, 6, 2
+BLOCKS = 16
+SLICE = 200_000  # words whose contexts are gathered at once
 SHAPES, SHAPE_DIM = 1 << 10, 32
 #: Character classes of a word's shape; other bytes stand for themselves.
 _CLASS = bytes(
@@ -56,7 +61,7 @@ def _words(text: str) -> list[bytes]:
 
 
 def _rows(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.lower()) for w in words), np.int64, len(words)) % BUCKETS
+    return (np.fromiter((zlib.crc32(w.lower()) for w in words), np.int64, len(words)) % BUCKETS).astype(np.uint16)
 
 
 class Model(NamedTuple):
@@ -96,30 +101,52 @@ def features(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def _context_sums(texts: list[str], sums: np.ndarray, index: np.ndarray) -> None:
-    for text in texts:
-        rows = _rows(_words(text))
-        for gap in range(1, WINDOW + 1):
-            np.add.at(sums, rows[gap:], index[rows[:-gap]])
-            np.add.at(sums, rows[:-gap], index[rows[gap:]])
-
-
-def word_vectors(sample: DataFrame, text: str, parts: int = 8) -> np.ndarray:
-    """The table of word vectors over the sample: each of ``parts`` tasks returns one partial sum."""
-    index = index_vectors(BUCKETS, DIM, 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((BUCKETS, DIM), np.float32)
-        own = index_vectors(BUCKETS, DIM, 1)
+def _context_sums(texts: pa.Array, sums: np.ndarray, index: np.ndarray) -> None:
+    """Add to each word's row the index vectors of its neighbours in the same text."""
+    words, codes, lengths = split_words(texts)
+    rows, text = _rows(words)[codes], np.repeat(np.arange(len(lengths)), lengths)
+    for begin in range(0, len(rows), SLICE):
+        stop = min(begin + SLICE, len(rows))
+        own, around = rows[begin:stop], np.zeros((stop - begin, DIM), np.int8)
+        for gap in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+            at = np.arange(max(begin, -gap), min(stop, len(rows) - max(gap, 0)))
+            at = at[text[at] == text[at + gap]]
+            around[at - begin] += index[rows[at + gap]]
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
+        sums[own[order[first]]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
+
+
+def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
+    """The table of word vectors over all documents: each task returns one partial sum, block by block."""
+    rows = BUCKETS // BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, index = np.zeros((BUCKETS, DIM), np.int32), index_vectors(BUCKETS, DIM, 1).astype(np.int8)
+        some = False
+        for batch in pooled(batches, 4 << 20):
+            _context_sums(batch.column(0), sums, index)
+            some = True
+        for k in range(BLOCKS if some else 0):
+            # Byte by byte: most sums are small, and equal bytes compress.
+            part = sums[k * rows : (k + 1) * rows].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "sums": pa.array([part], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block = np.zeros(rows * DIM, np.int64), None
         for batch in batches:
-            _context_sums([x or "" for x in batch.column(0).to_pylist()], sums, own)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tobytes()], pa.binary())})
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block = k
+                total += np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+        if block is not None:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
+    parts = docs.select(text).mapInArrow(count, "block int, sums binary").repartitionById(BLOCKS, F.col("block"))
     total = np.zeros((BUCKETS, DIM), np.float64)
-    for row in sample.select(text).repartition(parts).mapInArrow(run, "sums binary").toLocalIterator():
-        total += np.frombuffer(row["sums"], np.float32).reshape(BUCKETS, DIM)
+    for row in parts.mapInArrow(add, "block int, sums binary").collect():  # BLOCKS rows, 32 MB
+        total[row["block"] * rows : (row["block"] + 1) * rows] = np.frombuffer(row["sums"], np.int64).reshape(rows, DIM)
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return (total + index / np.sqrt(NONZERO)).astype(np.float32)
+    return (total + index_vectors(BUCKETS, DIM, 1) / np.sqrt(NONZERO)).astype(np.float32)
 
 
 def _logit(x: np.ndarray, weights: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -164,19 +191,21 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, e
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", max_labelled: int = 20_000) -> Model:
     """labels: doc_id and the label column; at most max_labelled of them (of least hash) are learnt from."""
     arrow_batches(docs.sparkSession)
-    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_labelled)
-    sample = cut_lineage(docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id"))
-    vectors = word_vectors(sample, "_text")
+    chosen = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
+    chosen = cut_lineage(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_labelled))
+    slim = docs.select("doc_id", F.col(text).alias("_text"))
+    one = slim.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_text").alias("_text"))
+    sample = one.join(F.broadcast(chosen), "doc_id")
+    vectors = word_vectors(slim, "_text")
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features([t or "" for t in batch.column(1).to_pylist()], vectors)
+            x = features([t or "" for t in batch.column(0).to_pylist()], shared.value)
             rows = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(2)], names=["doc_id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([rows, batch.column(1)], names=["x", "y"])
 
-    got = sample.select("doc_id", "_text", F.col("_y").cast("int")).mapInArrow(run, "doc_id long, x binary, y int").toPandas()
-    got = got.sort_values(["doc_id", "x", "y"])
+    got = sample.select("_text", "_y").mapInArrow(run, "x binary, y int").toPandas().sort_values(["x", "y"])
     width = DIM + SHAPE_DIM + RATIOS
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, width).astype(np.float64)
     return train(x, got["y"].to_numpy(np.float64), vectors)
