@@ -8,9 +8,9 @@ so that of two linked ones at least one segment differs by at most one bit; each
 its variants with one bit as a wildcard, and linked fingerprints meet under an equal variant, where they are
 verified. Only distinct fingerprints are indexed: copies collapse before anything is joined.
 
-Within a variant's group links aren't paired off: a group that has more than twice as many links as members
-yields a spanning forest of them instead, which keeps every component and nothing of quadratic size. Groups are swept
-in numpy, all groups of a batch of sorted rows together. A group also holds fingerprints that share a segment by
+Within a variant's group links aren't paired off: a group of more than eight that has a link yields a spanning
+forest (fewer links than members), which keeps every component and nothing of quadratic size. Groups are swept in
+numpy, all groups of a batch of sorted rows together. A group also holds fingerprints that share a segment by
 chance (one in two million of all). One of more than ``LARGE`` members is therefore cut again: linked members are
 equal in at least one of bits + 1 pieces of their other segments, and only those that are get compared. Keys of more
 than ``HOT`` members (known from a sample of 1 in 64, which steers only who meets where) are cut in the same way
@@ -137,22 +137,21 @@ def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs(fps: np.ndarray, begins: np.ndarray, sizes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links within groups, compared shift by shift; a group with more links than twice its members, or of more than
-    1,024 members, gives a forest."""
-    out, count, crowd = [], np.zeros(len(begins), np.int64), sizes > 1024
-    for shift in range(1, int(sizes[~crowd].max(initial=1))):
-        groups = np.flatnonzero(~crowd & (sizes > shift))
+    """Links within groups, compared shift by shift. A group of more than eight members that has a link gives a
+    forest of fewer links than members, as do groups of more than 1,024 members, which aren't compared before."""
+    out, linked = [], sizes > 1024
+    for shift in range(1, int(sizes[~linked].max(initial=1))):
+        groups = np.flatnonzero(~linked & (sizes > shift))
         if not len(groups):
             break
         n = sizes[groups] - shift
         of = np.repeat(groups, n)
         at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n - begins[groups], n)
-        near = np.bitwise_count(fps[at] ^ fps[at + shift]) <= bits
-        if near.any():
-            out.append((fps[at[near]], fps[at[near] + shift]))
-            count += np.bincount(of[near], minlength=len(count))
-            crowd |= count > 2 * sizes
-    for g in np.flatnonzero(crowd).tolist():
+        near = np.flatnonzero(np.bitwise_count(fps[at] ^ fps[at + shift]) <= bits)
+        linked[of[near][sizes[of[near]] > 8]] = True
+        near = at[near[sizes[of[near]] <= 8]]
+        out.append((fps[near], fps[near + shift]))
+    for g in np.flatnonzero(linked).tolist():
         own = fps[begins[g] : begins[g] + sizes[g]]
         x, y = forest(own, bits)
         out.append((own[np.array(x, np.int64)], own[np.array(y, np.int64)]))
