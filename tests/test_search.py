@@ -51,7 +51,11 @@ def test_both_ways_to_make_sentence_vectors_agree(spark, toy):
 def test_sum_over_queries(toy):
     rows, vectors = toy
     got = Q.multi_query(rows, vectors, ["a", "b"]).orderBy("rank").collect()
-    assert [(r["post_id"], r["score"]) for r in got] == [(1, 1.341641), (2, 1.0), (3, 0.0), (4, 0.0)]
+    assert [(r["post_id"], r["score"]) for r in got] == [(1, 1.341641), (2, 1.0), (3, 0.0)]  # equal scores count once
+    every = Q.multi_query(rows, vectors, ["a", "b"], dedupe=None).orderBy("rank").collect()
+    assert [(r["post_id"], r["score"]) for r in every] == [(1, 1.341641), (2, 1.0), (3, 0.0), (4, 0.0)]
+    words_only = Q.multi_query(rows.drop("vector"), vectors, ["a", "b"], ignore=1).orderBy("rank").collect()
+    assert [(r["post_id"], r["score"]) for r in words_only] == [(2, 1.0), (3, 0.0)]
     assert [r["post_id"] for r in Q.multi_query(rows, vectors, ["a", "b"], ignore=1, k=2).orderBy("rank").collect()] == [2, 3]
 
 

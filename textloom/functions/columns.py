@@ -16,4 +16,5 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def sample_share(key: str | Column, share: float, seed: int = 94720) -> Column:
     """Whether a key falls into a reproducible sample: the same rows on every run and any cluster."""
     column = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1_000_000)) < int(round(share * 1_000_000))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("")))), 1, 8)
+    return F.conv(digits, 16, 10).cast("long") < int(share * (1 << 32))

@@ -6,16 +6,18 @@ counted, divided by its length; a sentence whose sum is zero has a null vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 from textloom.functions.columns import sample_share
+from textloom.operators.vocabulary import join_words
 from textloom.session import cut_lineage
 
 #: A matrix of word vectors up to this size is broadcast; larger ones are joined.
@@ -77,23 +79,60 @@ def sentence_vectors(rows: DataFrame, vectors: DataFrame, words: str = "words",
     return _joined(rows, vectors, words) if held is None else _batched(rows, held, words)
 
 
-def _batched(rows: DataFrame, held: tuple[list[str], np.ndarray], words: str) -> DataFrame:
+def _sums(sentences: pa.Array, place: dict[str, int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sentences of a batch that have known words, and the sums of their vectors; a distinct word is looked up once."""
+    flat = sentences.flatten().dictionary_encode()
+    known = np.fromiter((place.get(w, -1) for w in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+    ids = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+    lengths = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(sentences)), lengths)[ids >= 0]
+    ids = ids[ids >= 0]
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    out = np.empty((len(first), table.shape[1]))
+    # Word vectors are gathered for some sentences at a time; a sentence's own words bound what that takes.
+    for k in range(0, len(first), 512):
+        begin, stop = first[k], first[k + 512] if k + 512 < len(first) else len(ids)
+        out[k : k + 512] = np.add.reduceat(table[ids[begin:stop]], first[k : k + 512] - begin, axis=0)
+    return owner[first], out
+
+
+def _per_sentence(held: tuple[list[str], np.ndarray], result: Callable[[np.ndarray], np.ndarray], words: Column, rows: DataFrame) -> Column:
+    """array<double> of each sentence: result of the unit sums; null where there is none."""
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
-    @F.pandas_udf("array<double>")
-    def unit_sum(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, table = shared.value
         place = {w: i for i, w in enumerate(known)}
         for batch in batches:
-            out: list = []
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                ids = [[place[w] for w in s if w in place] if s is not None else [] for s in part]
-                out += [table[i].sum(axis=0) if i else None for i in ids]
-            lengths = [0.0 if x is None else float(np.sqrt(x @ x)) for x in out]
-            yield pd.Series([x / n if n > 0 else None for x, n in zip(out, lengths, strict=True)], dtype=object)
+            owner, sums = _sums(batch, place, table)
+            n = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+            found = result(sums[n > 0] / n[n > 0, None])
+            has = np.zeros(len(batch), bool)
+            has[owner[n > 0]] = True
+            width = found.shape[1] if found.ndim == 2 else 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(has) * width]).astype(np.int32))
+            values = pa.array(np.ascontiguousarray(found).ravel())
+            yield pa.ListArray.from_arrays(offsets, values, mask=pa.array(~has))
+
+    return run(words)
+
+
+def _batched(rows: DataFrame, held: tuple[list[str], np.ndarray], words: str) -> DataFrame:
+    return rows.withColumn("vector", _per_sentence(held, lambda units: units, F.col(words), rows))
+
 
-    return rows.withColumn("vector", unit_sum(F.col(words)))
+def sentence_scores(rows: DataFrame, vectors: DataFrame, units: np.ndarray, words: str = "words", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with a column scores: the products of a sentence's vector with the columns of units, null without a vector.
+
+    Where the matrix of vectors can be broadcast, sums and products are made in one pass and no vector leaves it.
+    """
+    held = matrix(vectors, limit_bytes)
+    if held is not None:
+        return rows.withColumn("scores", _per_sentence(held, lambda x: x @ units, F.col(words), rows))
+    made = _joined(rows, vectors, words)
+    scores = F.array(*(V.dot_with(F.col("vector"), u) for u in units.T))
+    return made.withColumn("scores", F.when(F.col("vector").isNotNull(), scores)).drop("vector")
 
 
 def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:
@@ -101,7 +140,7 @@ def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:
     # Written once: the row numbers are met again in the last join, and must be the same there.
     marked = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
     bag = marked.select("_row", F.explode(words).alias("word")).groupBy("_row", "word").agg(F.count("*").alias("cnt"))
-    parts = bag.join(vectors.select("word", "vector"), "word")
+    parts = join_words(bag, vectors.select("word", "vector"))
     sums = parts.groupBy("_row").agg(*(F.sum(F.col("cnt") * F.get("vector", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dim)))
     raw = sums.select("_row", F.array(*(f"d{i}" for i in range(dim))).alias("raw"))
     unit = raw.withColumn("n", V.norm(F.col("raw"))).select("_row", F.when(F.col("n") > 0, V.scaled(F.col("raw"), 1 / F.col("n"))).alias("vector"))

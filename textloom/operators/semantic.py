@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
+from textloom.operators.embedding import sentence_scores, sentence_vectors
 
 #: Scores are equal when they agree to this many decimals.
 DIGITS = 6
@@ -89,6 +91,19 @@ def score(sentences: DataFrame, units: dict[int, np.ndarray], method: str = "bat
     return out
 
 
+def score_words(sentences: DataFrame, vectors: DataFrame, units: dict[int, np.ndarray]) -> DataFrame:
+    """As score, of sentences without their vectors: sums and products are made in one pass over the words."""
+    ids = list(units)
+    if not ids:
+        return score(sentences.withColumn("vector", F.lit(None).cast("array<double>")), units)
+    out = []
+    for block in (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)):
+        scored = sentence_scores(sentences, vectors, np.stack([units[k] for k in block]).T).filter("scores IS NOT NULL")
+        pairs = F.arrays_zip(F.array(*(F.lit(k).cast("long") for k in block)).alias("query_id"), F.col("scores").alias("score"))
+        out.append(scored.select(*sentences.columns, F.inline(pairs)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _columns(known: DataFrame, rest: list[str], units: dict[int, np.ndarray], ids: list[int]) -> DataFrame:
     scores = F.array(*(F.struct(F.lit(k).cast("long").alias("query_id"), V.dot_with(F.col("vector"), units[k]).alias("score")) for k in ids))
     return known.select(*rest, F.inline(scores))
@@ -152,9 +167,14 @@ def search(
     sentences: DataFrame, vectors: DataFrame, queries: Sequence[Query], k: int = 20, keys: Sequence[str] = ("post_id", "sent"),
     min_words: int = 15, exclude: str | None = None, how: str = "substring", dedupe: str | None = "post", method: str = "batch",
 ) -> DataFrame:
-    """The k nearest sentences of each query. sentences has keys, words, n_words and vector (see embedding)."""
+    """The k nearest sentences of each query. sentences has keys, words, n_words and, unless it is to be made, vector."""
     units = query_vectors(query_terms(sentences.sparkSession, queries), vectors)
-    return top_scores(score(sentences, units, method), k, keys, min_words, exclusion("words", exclude, how), dedupe)
+    if "vector" not in sentences.columns and method == "batch":
+        scored = score_words(sentences, vectors, units)
+    else:
+        made = sentences if "vector" in sentences.columns else sentence_vectors(sentences, vectors)
+        scored = score(made, units, method)
+    return top_scores(scored, k, keys, min_words, exclusion("words", exclude, how), dedupe)
 
 
 def plain_search(sentences: DataFrame, vectors: DataFrame, text: str, k: int = 20, keys: Sequence[str] = ("post_id", "sent")) -> DataFrame:
@@ -162,19 +182,26 @@ def plain_search(sentences: DataFrame, vectors: DataFrame, text: str, k: int = 2
     return search(sentences, vectors, [re.sub(r"\[[^\]]*\]", " ", text)], k, keys, min_words=0)
 
 
-def multi_query(sentences: DataFrame, vectors: DataFrame, queries: Sequence[Query], k: int = 20, keys: Sequence[str] = ("post_id", "sent"), ignore: int = 0) -> DataFrame:
-    """Sentences by the sum of their scores for all queries; a sentence without a vector scores 0; the first `ignore` go.
+def multi_query(
+    sentences: DataFrame, vectors: DataFrame, queries: Sequence[Query], k: int = 20, keys: Sequence[str] = ("post_id", "sent"), ignore: int = 0, dedupe: str | None = "post"
+) -> DataFrame:
+    """Sentences by the sum of their scores for all queries; a sentence without a vector scores 0. Equal scores count
+    once, and the first `ignore` of those that count go. sentences has words, or their vector.
 
     The scores of one sentence are added up in its row: the sum of products is the product with the queries' sum.
     """
     units = query_vectors(query_terms(sentences.sparkSession, queries), vectors)
     rest = [c for c in sentences.columns if c != "vector"]
-    if not units:
-        scored = sentences.select(*rest, F.lit(0).cast("long").alias("query_id"), F.lit(0.0).alias("score"))
-    else:
-        total = V.dot_with(F.col("vector"), np.sum(list(units.values()), axis=0))
-        scored = sentences.select(*rest, F.lit(0).cast("long").alias("query_id"), F.coalesce(total, F.lit(0.0)).alias("score"))
-    return top_scores(scored, k, keys, dedupe=None, offset=ignore).drop("query_id")
+    total = F.lit(0.0)
+    if units:
+        whole = np.sum(list(units.values()), axis=0)
+        if "vector" in sentences.columns:
+            total = V.dot_with(F.col("vector"), whole)
+        else:
+            sentences = sentence_scores(sentences, vectors, whole[:, None])
+            total = F.get("scores", F.lit(0))
+    scored = sentences.select(*rest, F.lit(0).cast("long").alias("query_id"), F.coalesce(total, F.lit(0.0)).alias("score"))
+    return top_scores(scored, k, keys, dedupe=dedupe, offset=ignore).drop("query_id")
 
 
 def merge_results(results: DataFrame, k: int = 1000, keys: Sequence[str] = ("post_id", "sent")) -> DataFrame:

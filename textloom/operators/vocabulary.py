@@ -11,6 +11,21 @@ from textloom.session import cut_lineage
 
 #: So many words may be ranked in one task.
 BOUNDED = 2_000_000
+#: Tables of up to so many words are broadcast to rows that are joined with them.
+BROADCAST_WORDS = 1_000_000
+SALTS = 32
+
+
+def join_words(rows: DataFrame, table: DataFrame, how: str = "inner", most: int = BROADCAST_WORDS) -> DataFrame:
+    """rows joined with a table that has one row a word. The table is made once and counted: small ones are broadcast,
+    so no row is shuffled; larger ones are copied to SALTS salts, over which the rows of a frequent word are spread."""
+    table = cut_lineage(table)
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), "word", how)
+    others = [c for c in rows.columns if c != "word"]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return salted.join(copies, ["word", "_salt"], how).drop("_salt")
 
 
 def count_words(posts: DataFrame, words: str = "words") -> DataFrame:
@@ -77,7 +92,7 @@ def top(vocabulary: DataFrame, n: int) -> DataFrame:
 
 def encode(tokens: DataFrame, vocabulary: DataFrame, keep_unknown: bool = False) -> DataFrame:
     """(…, word) rows with word_id; words outside the vocabulary go, or stay with a null word_id."""
-    return tokens.join(vocabulary.select("word", "word_id"), "word", "left" if keep_unknown else "inner")
+    return join_words(tokens, vocabulary.select("word", "word_id"), "left" if keep_unknown else "inner")
 
 
 def known_words(posts: DataFrame, vocabulary: DataFrame, key: str = "post_id", words: str = "words") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vocabulary import join_words
+
 
 def square_root(bow: DataFrame) -> DataFrame:
     return bow.withColumn("weight", F.sqrt("cnt"))
@@ -23,7 +25,7 @@ def inverse_frequency(train: DataFrame, n_posts: int | Column) -> DataFrame:
 
 def tfidf(bow: DataFrame, idf: DataFrame) -> DataFrame:
     """bow with weight = cnt * idf; 0 for words that training never saw."""
-    return bow.join(idf, "word", "left").withColumn("weight", F.col("cnt") * F.coalesce("idf", F.lit(0.0))).drop("idf")
+    return join_words(bow, idf, "left").withColumn("weight", F.col("cnt") * F.coalesce("idf", F.lit(0.0))).drop("idf")
 
 
 def one_hot(rows: DataFrame, label: str, labels: list) -> DataFrame:

@@ -66,7 +66,7 @@ def sentences_sql(tok: str = "tok") -> str:
 )"""
 
 
-def vocabulary_sql(most: int, tok: str = "tok") -> str:
+def vocabulary_sql(most: int = 1_000_000, tok: str = "tok") -> str:
     return f"""cnts AS (
   SELECT w AS word, count(*) AS cnt FROM {tok} GROUP BY w
 ), hist AS (
@@ -77,7 +77,7 @@ def vocabulary_sql(most: int, tok: str = "tok") -> str:
 
 
 SENTS = "WITH " + TOK + ", " + sentences_sql()
-VOCAB = "WITH " + TOK + ", " + vocabulary_sql(5000)
+VOCAB = "WITH " + TOK + ", " + vocabulary_sql()
 #: Words are bound to vectors by word_id = vec_id + 1.
 VECTORS = VOCAB + ", wv AS (SELECT word, embedding FROM vocab JOIN embeddings ON word_id = vec_id + 1)"
 SENTENCE_VECTORS = (

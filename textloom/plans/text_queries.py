@@ -159,9 +159,9 @@ def o05_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", upto.alias("upto"))
 
 
-@query("WITH " + TOK + ", " + vocabulary_sql(500) + " SELECT word, word_id, cnt FROM vocab")
+@query("WITH " + TOK + ", " + vocabulary_sql() + " SELECT word, word_id, cnt FROM vocab")
 def d04_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.build(posts(spark, sf_dir), most=500).select("word", "word_id", "cnt")
+    return V.build(posts(spark, sf_dir)).select("word", "word_id", "cnt")
 
 
 @query("WITH " + TOK + " SELECT w AS word, count(*) AS cnt FROM tok GROUP BY w")
@@ -172,11 +172,11 @@ def d04_merge_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.merge(*parts).select("word", F.col("cnt").cast("long").alias("cnt"))
 
 
-@query("WITH " + TOK + ", " + vocabulary_sql(500) + " SELECT post_id, count(word_id) AS known, count(*) - count(word_id) AS unknown FROM tok LEFT JOIN vocab ON w = word GROUP BY post_id")
+@query("WITH " + TOK + ", " + vocabulary_sql() + " SELECT post_id, count(word_id) AS known, count(*) - count(word_id) AS unknown FROM tok LEFT JOIN vocab ON w = word GROUP BY post_id")
 def d05_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = posts(spark, sf_dir)
     flat = own.select("post_id", F.explode("words").alias("word"))
-    coded = V.encode(flat, V.build(own, most=500), keep_unknown=True)
+    coded = V.encode(flat, V.build(own), keep_unknown=True)
     return coded.groupBy("post_id").agg(F.count("word_id").alias("known"), F.count_if(F.col("word_id").isNull()).alias("unknown"))
 
 
@@ -233,12 +233,12 @@ def f01_post_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.featurize_posts(labelled(spark, sf_dir))["bow"]
 
 
-@query("WITH " + TOK + ", " + _LABELLED + ", " + vocabulary_sql(300) + """, known AS (
+@query("WITH " + TOK + ", " + _LABELLED + ", " + vocabulary_sql() + """, known AS (
   SELECT post_id, "user", lang, w, row_number() OVER (PARTITION BY post_id ORDER BY pos) - 1 AS pos FROM tok JOIN lab USING (post_id) JOIN vocab ON w = word
 ), """ + sentences_sql("known") + " SELECT post_id, sent, n_words, md5(array_to_string(words[1:500], ' ')) AS words_md5 FROM sents")
 def f02_known_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of labelled posts, split after words outside the vocabulary have gone."""
-    vocabulary = V.build(posts(spark, sf_dir), most=300)
+    vocabulary = V.build(posts(spark, sf_dir))
     rows = X.featurize_sentences(labelled(spark, sf_dir), vocabulary)
     return rows.select("post_id", "sent", "n_words", F.md5(F.array_join("words", " ")).alias("words_md5"))
 
@@ -253,19 +253,19 @@ def a02_mood_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.featurize_posts(labelled(spark, sf_dir))["moods"].withColumn("mood", F.col("mood").cast("long"))
 
 
-@query("WITH " + TOK + ", " + vocabulary_sql(500) + """, c AS (SELECT post_id, count(*) AS a, count(word) AS b FROM tok LEFT JOIN vocab ON w = word GROUP BY post_id)
+@query("WITH " + TOK + ", " + vocabulary_sql() + """, c AS (SELECT post_id, count(*) AS a, count(word) AS b FROM tok LEFT JOIN vocab ON w = word GROUP BY post_id)
 SELECT 'before' AS stage, least(a, 100000) AS length, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'after', least(b, 100000), count(*) FROM c WHERE b > 0 GROUP BY ALL""")
 def a03_post_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = posts(spark, sf_dir).filter(F.size("words") > 0)
-    known = V.known_words(own, V.build(own, most=500))
+    known = V.known_words(own, V.build(own))
     sized = lambda rows, stage: S.length_histogram(rows, F.size("words"), 100_000).select(F.lit(stage).alias("stage"), "length", "n")
     return sized(own, "before").unionByName(sized(known, "after"))
 
 
-@query("WITH " + TOK + ", " + vocabulary_sql(500) + " SELECT word_id, any_value(word) AS word, count(*) AS total FROM tok JOIN vocab ON w = word GROUP BY word_id")
+@query("WITH " + TOK + ", " + vocabulary_sql() + " SELECT word_id, any_value(word) AS word, count(*) AS total FROM tok JOIN vocab ON w = word GROUP BY word_id")
 def a04_word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = posts(spark, sf_dir)
-    coded = V.encode(V.count_words(own), V.build(own, most=500))
+    coded = V.encode(V.count_words(own), V.build(own))
     return coded.select("word_id", "word", F.col("cnt").alias("total"))
 
 
@@ -370,9 +370,9 @@ def s08_word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("word", F.size("vector").cast("long").alias("dim"), F.round(total, 4).alias("total"))
 
 
-@query("WITH " + TOK + ", " + vocabulary_sql(500) + " SELECT word, word_id, cnt FROM vocab")
+@query("WITH " + TOK + ", " + vocabulary_sql() + " SELECT word, word_id, cnt FROM vocab")
 def s06_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary written in files of 100 rows at most and read again."""
+    """A vocabulary written in files of 5,000 rows at most and read again."""
     folder = shared_folder(spark, "vocabulary")
-    files.write_table(V.build(posts(spark, sf_dir), most=500), folder, rows_per_file=100)
+    files.write_table(V.build(posts(spark, sf_dir)), folder, rows_per_file=5_000)
     return spark.read.parquet(folder).select("word", "word_id", "cnt")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as VX
-from textloom.functions.columns import sample_share
 from textloom.operators import embedding as E
 from textloom.operators import features as X
 from textloom.operators import keyword as K
@@ -75,7 +75,7 @@ def _shown(hits: DataFrame) -> DataFrame:
 def _search(spark: SparkSession, sf_dir: str, queries, k: int, **options) -> DataFrame:
     vectors = options.pop("vectors", None)
     vectors = word_vectors(spark, sf_dir) if vectors is None else vectors
-    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words"), vectors)
+    rows = sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words")
     return _shown(Q.search(rows, vectors, queries, k, **options))
 
 
@@ -118,7 +118,7 @@ def q04_query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = posts(spark, sf_dir).filter(F.col("post_id") % 10 < 3)
     given = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("word_id"), F.col("embedding").cast("array<double>").alias("vector"))
     vectors = V.build(own, most=None).join(given, "word_id").select("word", "vector").persist()
-    rows = E.sentence_vectors(S.sentences(own).select("post_id", "sent", "words", "n_words"), vectors)
+    rows = S.sentences(own).select("post_id", "sent", "words", "n_words")
     return _shown(Q.search(rows, vectors, [FLAGSHIP], 20, min_words=0))
 
 
@@ -130,19 +130,20 @@ SELECT query_id, rank, post_id, sent, n_words, score, array_to_string(words, ' '
 def q06_merge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of two halves of the corpus, merged: the same as of the whole."""
     vectors = word_vectors(spark, sf_dir)
-    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words"), vectors)
+    rows = sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words")
     parts = [Q.search(rows.filter(F.col("post_id") % 2 == k), vectors, [FLAGSHIP], 40) for k in range(2)]
     return _shown(Q.merge_results(parts[0].unionByName(parts[1]), 40))
 
 
 @query(_SCORED + """, t AS (SELECT post_id, sent, round(sum(p / sn.n / qn.n), 6) AS score FROM dots d JOIN sn USING (post_id, sent) JOIN qn USING (query_id) WHERE sn.n > 0 GROUP BY ALL
 ), a AS (SELECT s.post_id, s.sent, s.n_words, s.words, coalesce(score, 0.0) AS score FROM sents s LEFT JOIN t ON s.post_id = t.post_id AND s.sent = t.sent
-), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, post_id, sent) - 5 AS rank FROM a)
+), f AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY post_id, sent) AS f FROM a
+), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, post_id, sent) - 5 AS rank FROM f WHERE f = 1)
 SELECT rank, post_id, sent, n_words, score, array_to_string(words, ' ') AS sentence FROM r WHERE rank BETWEEN 1 AND 25""")
 def q07_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of the scores of three queries; the first five rows are left out."""
+    """Sums of the scores of three queries, equal sums once; the first five rows are left out."""
     vectors = word_vectors(spark, sf_dir)
-    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words"), vectors)
+    rows = sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words")
     hits = Q.multi_query(rows, vectors, list(BATCH), 25, ignore=5)
     return hits.select("rank", "post_id", "sent", "n_words", "score", F.array_join("words", " ").alias("sentence"))
 
@@ -196,7 +197,7 @@ def j03_bag_times_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VECTORS + " SELECT vocab.word, word_id, round(coalesce(embedding[1]::DOUBLE, 0.0), 6) AS v0, embedding IS NOT NULL AS known FROM vocab LEFT JOIN wv ON vocab.word = wv.word")
 def j02_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = E.align(V.build(posts(spark, sf_dir), most=5000), word_vectors(spark, sf_dir), DIM)
+    aligned = E.align(V.build(posts(spark, sf_dir)), word_vectors(spark, sf_dir), DIM)
     known = F.exists("vector", lambda x: x != 0)
     return aligned.select("word", "word_id", F.round(F.col("vector")[0], 6).alias("v0"), known.alias("known"))
 
@@ -208,13 +209,14 @@ def a14_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE))
   / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score
-  FROM embeddings a, embeddings b WHERE a.vec_id < 5) SELECT a AS query_id, b AS vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p) WHERE rank <= 10""")
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT a AS query_id, b AS vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p) WHERE rank <= 10""")
 def o03_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of five vectors against all: the ten nearest of each."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = rows.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", F.lit(0).alias("n_words"), VX.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return Q.top_scores(scored, 10, ["vec_id"], dedupe=None).select("query_id", "vec_id", "score", "rank")
+    """Every vector whose id is divisible by 100 against all, in blocks of 256: the ten nearest of each."""
+    unit = VX.scaled(F.col("embedding"), 1 / F.nullif(VX.norm(F.col("embedding")), F.lit(0.0)))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).alias("n_words"), unit.alias("vector"))
+    asked = rows.filter("vec_id % 100 = 0 AND vector[0] IS NOT NULL").orderBy("vec_id").select("vec_id", "vector")
+    units = {r["vec_id"]: np.array(r["vector"]) for r in asked.toLocalIterator()}
+    return Q.top_scores(Q.score(rows, units), 10, ["vec_id"], dedupe=None).select("query_id", "vec_id", "score", "rank")
 
 
 @query("SELECT doc_id, n_chars, rank FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 10 AS rank FROM documents) WHERE rank BETWEEN 1 AND 20")
@@ -239,9 +241,9 @@ def o10_batch_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Weights and splits
 
 
-@query("WITH " + TOK + ", " + vocabulary_sql(1000) + " SELECT word, word_id FROM vocab WHERE word_id <= 50")
+@query("WITH " + TOK + ", " + vocabulary_sql() + " SELECT word, word_id FROM vocab WHERE word_id <= 50")
 def w01_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.top(V.build(posts(spark, sf_dir), most=1000), 50).select("word", "word_id")
+    return V.top(V.build(posts(spark, sf_dir)), 50).select("word", "word_id")
 
 
 @query("SELECT event_id, " + ", ".join(f"(event_type = '{m}')::INT AS \"y_{m}\"" for m in MOODS) + " FROM events")
@@ -290,7 +292,7 @@ def w06_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Keyword search
 
-SEARCHES = ("time", '"of the"', "wor*", "+the -and", "user:news* OR time", "the AND time")
+SEARCHES = ("time", '"time year"', "wor*", "+wor* -time", "user:src1* OR time", "the AND time")
 
 
 def search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +326,16 @@ def k03_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "post_id", "score", "rank")
 
 
-@query()
+@query(rf"""WITH p AS (SELECT doc_id AS post_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPS})) AS t,
+  list_filter(regexp_extract_all(lower(coalesce(source, '')), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPS})) AS u FROM documents
+), c AS (SELECT post_id, len(t) AS n, len(u) AS m, len(list_filter(t, lambda x: x = 'time')) AS a, len(list_filter(t, lambda x: starts_with(x, 'wor'))) AS b,
+  len(list_filter(u, lambda x: starts_with(x, 'src1'))) AS s, len(list_filter(range(1, len(t)), lambda i: t[i] = 'time' AND t[i + 1] = 'year')) AS f FROM p
+), d AS (SELECT count(*)::DOUBLE AS docs, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (s > 0) AS ds, count(*) FILTER (f > 0) AS df FROM c
+), w AS (SELECT *, sqrt(a::DOUBLE) * pow(1 + ln(docs / (da + 1)), 2) / sqrt(greatest(n, 1)::DOUBLE) AS wa, sqrt(b::DOUBLE) * pow(1 + ln(docs / (db + 1)), 2) / sqrt(greatest(n, 1)::DOUBLE) AS wb,
+  sqrt(s::DOUBLE) * pow(1 + ln(docs / (ds + 1)), 2) / sqrt(greatest(m, 1)::DOUBLE) AS ws, sqrt(f::DOUBLE) * pow(1 + ln(docs / (df + 1)), 2) / sqrt(greatest(n, 1)::DOUBLE) AS wf FROM c, d
+), h AS (SELECT 0 AS query_id, post_id, wa AS score FROM w WHERE a > 0 UNION ALL SELECT 1, post_id, wf FROM w WHERE f > 0 UNION ALL SELECT 2, post_id, wb FROM w WHERE b > 0
+  UNION ALL SELECT 3, post_id, wb FROM w WHERE b > 0 AND a = 0 UNION ALL SELECT 4, post_id, ws + wa FROM w WHERE s > 0 OR a > 0 UNION ALL SELECT 5, post_id, wa FROM w WHERE a > 0)
+SELECT CAST(query_id AS BIGINT) AS query_id, post_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, post_id) AS rank FROM h) WHERE rank <= 10""")
 def k02_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms, phrases, prefixes, fields and signs; tests check such searches on hand-worked cases."""
     return K.search_batch(search_table(spark, sf_dir), list(SEARCHES), 10).select("query_id", "post_id", "score", "rank")
@@ -488,11 +499,11 @@ def m10_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.select("user_id", *(vector_to_array("topicDistribution")[i].alias(f"t{i}") for i in range(3)))
 
 
-@query()
+@query("SELECT 'w' || a AS x, 'w' || b AS y, (a = b)::INT::DOUBLE AS value FROM range(5) AS s(a), range(5) AS t(b)")
 def m11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covariances of whitened counts: the identity."""
     white, _ = MS.whiten(_user_moods(spark, sf_dir), list(MOODS))
-    return MX.covariance(white, [f"w{i}" for i in range(len(MOODS))])
+    return MX.covariance(white, [f"w{i}" for i in range(len(MOODS))]).withColumn("value", F.round(F.abs("value"), 4))
 
 
 @query()
@@ -500,9 +511,9 @@ def m14_mood_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MS.build_map(_user_moods(spark, sf_dir), list(MOODS), rank=3, passes=6)
 
 
-@query()
+@query(SENTENCE_VECTORS + """ SELECT s.post_id, s.sent, s.n_words FROM sents s JOIN sn USING (post_id, sent)
+WHERE n > 0 AND ('0x' || substr(md5('94720:' || s.post_id), 1, 8))::BIGINT < 429496729""")
 def e05_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hashed tenth of the posts, as sentence vectors to keep in memory."""
-    own = posts(spark, sf_dir).filter(sample_share("post_id", 0.1))
-    rows = E.sentence_vectors(S.sentences(own).select("post_id", "sent", "words", "n_words"), word_vectors(spark, sf_dir))
-    return rows.filter("vector IS NOT NULL").select("post_id", "sent", "n_words")
+    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words"), word_vectors(spark, sf_dir))
+    return E.load_sample(rows, 0.1).filter("vector IS NOT NULL").select("post_id", "sent", "n_words")
