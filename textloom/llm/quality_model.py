@@ -12,7 +12,7 @@ temperature by which logits are divided, so that scores are probabilities.
 Only the network's training is bounded: at most ``max_labelled`` labels, those of least hash, are learnt from (a
 documented parameter), each with one document: of several with its id, that of least text. Every document is
 scored, over its whole text, in Arrow batches; what is sent to the executors is the table of word vectors
-(BUCKETS x DIM floats, 17 MB) and the weights.
+(BUCKETS x DIM floats, 8 MB) and the weights.
 
 A null or empty text has zero vectors and is scored like any other. Labels that are null are ignored; repeated
 labels count as often as they occur. Ids may be of any type that sorts. Without any label of both classes every
@@ -36,9 +36,9 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .common import arrow_batches, pooled, split_words
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 16, 64, 6, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 15, 64, 6, 2
 BLOCKS = 16
-SLICE = 200_000  # words whose contexts are gathered at once
+SLICE = 50_000  # words whose contexts are gathered at once
 SHAPES, SHAPE_DIM = 1 << 10, 32
 #: Character classes of a word's shape; other bytes stand for themselves.
 _CLASS = bytes(
@@ -124,7 +124,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, index = np.zeros((BUCKETS, DIM), np.int32), index_vectors(BUCKETS, DIM, 1).astype(np.int8)
         some = False
-        for batch in pooled(batches, 4 << 20):
+        for batch in pooled(batches, 2 << 20):
             _context_sums(batch.column(0), sums, index)
             some = True
         for k in range(BLOCKS if some else 0):
@@ -143,7 +143,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
 
     parts = docs.select(text).mapInArrow(count, "block int, sums binary").repartitionById(BLOCKS, F.col("block"))
     total = np.zeros((BUCKETS, DIM), np.float64)
-    for row in parts.mapInArrow(add, "block int, sums binary").collect():  # BLOCKS rows, 32 MB
+    for row in parts.mapInArrow(add, "block int, sums binary").collect():  # BLOCKS rows, 16 MB
         total[row["block"] * rows : (row["block"] + 1) * rows] = np.frombuffer(row["sums"], np.int64).reshape(rows, DIM)
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     return (total + index_vectors(BUCKETS, DIM, 1) / np.sqrt(NONZERO)).astype(np.float32)
