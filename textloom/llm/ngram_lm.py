@@ -50,7 +50,7 @@ from .common import arrow_batches, pooled, split_words
 from .elias_fano import EliasFano, U
 
 STEPS = 4096.0  # quantisation: 1/4096 of a decimal digit
-POOL = 12 << 20  # bytes of text that a task looks up together
+POOL = 10 << 20  # bytes of text that a task looks up together
 OPEN_FILES = 8192
 #: The end of a text: no word has a space.
 END = U(xxhash.xxh3_64_intdigest(b" end"))
@@ -173,12 +173,32 @@ def _index(uri: str) -> dict[str, np.ndarray]:
 
 def _by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, its rows) of rows dealt to shards."""
-    order = np.argsort(shards, kind="stable")
+    order = np.argsort(shards.astype(np.uint16) if len(shards) and shards.max() < 1 << 16 else shards, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(shards[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         yield int(shards[order[a]]), order[a:b]
 
 
+def _distinct(high: np.ndarray, low: np.ndarray, highs: int, lows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct pairs in ascending order: a place of each; the pair of every place; the number of each.
+
+    Pairs and places are sorted as one number where they fit into 64 bits, which is several times faster.
+    """
+    shift, place = U(max(1, lows.bit_length())), U(max(1, len(high).bit_length()))
+    key = (high.astype(U) << shift) | low.astype(U)
+    if highs.bit_length() + int(shift + place) <= 64:
+        key = np.sort((key << place) | np.arange(len(key), dtype=U))
+        order, key = (key & ((U(1) << place) - U(1))).astype(np.int64), key >> place
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    codes = np.empty(len(key), np.int64)
+    codes[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], codes, np.diff(np.append(first, len(key)))
+
+
 def _deal(bounds: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The shard of each n-gram: its context's, or by the word's id one of those that the context crosses."""
     left, right = (np.searchsorted(bounds, context, side=s) for s in ("left", "right"))
@@ -271,13 +291,14 @@ class Trie(NamedTuple):
         context = np.roll(shorter.codes, 1)
         # Every text ends with the same token, which is the context of the next one's first.
         context[np.cumsum(lengths) - lengths] = words.codes[-1] if level == 2 else 0
-        key = np.where(context > 0, context << 32 | words.codes, 0)
-        distinct, at, codes, number = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        if distinct[0]:  # place 0 is that of tokens without such a context
-            distinct, at, codes, number = np.append(0, distinct), np.append(0, at), codes + 1, np.append(0, number)
-        grams = distinct[1:]
-        lower = shorter.probs[shorter.codes[at[1:]]]
-        return shorter.nodes[grams >> 32], words.nodes[grams & 0xFFFFFFFF], lower, number[1:], codes
+        at, codes, number = _distinct(context, words.codes, len(shorter.nodes), len(words.nodes))
+        if not context[at[0]]:  # tokens without such a context share place 0, whatever their word
+            none = int(np.searchsorted(context[at], 1))
+            codes = np.maximum(codes - (none - 1), 0)
+            at, number = at[none:], number[none:]
+        else:
+            codes += 1
+        return shorter.nodes[context[at]], words.nodes[words.codes[at]], shorter.probs[shorter.codes[at]], number, codes
 
     def step(self, words: Grams, shorter: Grams, lengths: np.ndarray, level: int) -> Grams:
         """The n-grams of a level in a batch, from those one word shorter."""
