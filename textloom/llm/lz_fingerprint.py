@@ -99,7 +99,7 @@ def _leads(df: DataFrame, text: str, per_block: int) -> list[tuple]:
     return [tuple(r["o"]) for r in sorted(firsts, key=lambda r: r["part"])]
 
 
-def neighbours(df: DataFrame, text: str = "text", per_block: int = 50_000) -> DataFrame:
+def neighbours(df: DataFrame, text: str = "text", per_block: int = 10_000) -> DataFrame:
     """Rows dealt to blocks that are consecutive in the order of neighbours, one a partition and sorted, and each
     followed by a guest: the first row of the next block (after the last, of the first).
 
@@ -136,7 +136,7 @@ def neighbours(df: DataFrame, text: str = "text", per_block: int = 50_000) -> Da
     return dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
 
 
-def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 50_000) -> DataFrame:
+def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 10_000) -> DataFrame:
     """For every row: its and its edited text's signature (hex), and their likeness; that of the next document.
 
     The edited text has its last third replaced by the next document's beginning. The parse of the part that
