@@ -389,7 +389,7 @@ def _finish_level(built: DataFrame, folder: str, level: int, shards: int, bounds
     return int(first[-1]), sum(r["tokens"] for r in rows.values()), after
 
 
-def train(texts: DataFrame, order: int = 3, mass: float = 1000.0, tokens_per_shard: int = 4_000_000, docs_per_word_shard: int = 40_000) -> Trie:
+def train(texts: DataFrame, order: int = 3, mass: float = 1000.0, tokens_per_shard: int = 2_000_000, docs_per_word_shard: int = 40_000) -> Trie:
     """texts: one string column. The trie's files stay in the shared folder.
 
     mass: the weight of the shorter context's distribution, in counts (on held-out text 1,000 did better than
