@@ -118,19 +118,20 @@ POSTS = [
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ("fox", {1}),
-        ("fox*", {1, 3}),
-        ('"lazy dog"', {1}),
-        ('"lazy red dog"', {2}),
-        ("red -lazy", {3}),
-        ("red AND dog", {1, 2}),
-        ("fox OR sleeps", {1, 2}),
-        ("red NOT fox", {2, 3}),
-        ("user:ann", {1, 3}),
-        ("+user:ann +fox*", {1, 3}),
-        ("mood:7", {3}),
-        ("the", set()),
-        ("", set()),
+        ([K.part("fox")], {1}),
+        ([K.part("fox", prefix=True)], {1, 3}),
+        ([K.part("lazy dog")], {1}),
+        ([K.part("lazy red dog")], {2}),
+        ([K.part("red"), K.part("lazy", "not")], {3}),
+        ([K.part("red", "must"), K.part("dog", "must")], {1, 2}),
+        ([K.part("fox"), K.part("sleeps")], {1, 2}),
+        ([K.part("red"), K.part("fox", "not")], {2, 3}),
+        ([K.part("ann", field="user")], {1, 3}),
+        ([K.part("ann", "must", "user"), K.part("fox", "must", prefix=True)], {1, 3}),
+        ([K.part("7", field="mood")], {3}),
+        ([K.part("red", "not")], set()),
+        ([K.part("the")], set()),
+        ([], set()),
     ],
 )
 def test_keyword_search(spark, query, expected):
@@ -140,9 +141,9 @@ def test_keyword_search(spark, query, expected):
 
 def test_keyword_ranking_and_report(spark):
     posts = K.analysed(spark.createDataFrame(POSTS, "post_id long, ptext string, user string, mood int"))
-    hits = K.search(posts, "red", k=2)
+    hits = K.search(posts, [K.part("red")], k=2)
     assert [r["post_id"] for r in hits.orderBy("rank").collect()] == [3, 2]
     names = spark.createDataFrame([(7, "calm")], "mood_id int, mood string")
     assert {r["post_id"]: r["mood_name"] for r in K.report(hits, names).collect()} == {3: "calm", 2: "N/A"}
     with pytest.raises(ValueError, match="unknown field"):
-        K.search(posts, "color:red")
+        K.search(posts, [K.part("red", field="color")])

@@ -9,12 +9,12 @@ from tests.oracle import DATA
 
 
 def test_every_post_is_weighted(spark):
-    got = {r.post_id for r in plans.QUERIES["w05_square_root_all"](spark, DATA).select("post_id").distinct().collect()}
+    got = {r.post_id for r in plans.QUERIES["w05_square_root"](spark, DATA).select("post_id").distinct().collect()}
     assert got == {r.post_id for r in posts(spark, DATA).filter(F.size("words") > 0).select("post_id").collect()}
 
 
 def test_every_sentence_has_its_user(spark):
-    rows = plans.QUERIES["j04_sentence_users_all"](spark, DATA)
+    rows = plans.QUERIES["j04_sentence_users"](spark, DATA)
     assert rows.count() == plans.QUERIES["f02_sentences"](spark, DATA).count()
 
 

@@ -24,12 +24,17 @@ from textloom.session import cut_lineage
 BROADCAST_BYTES = 256 << 20
 
 
-def train_word2vec(posts: DataFrame, dim: int = 300, window: int = 10, least: int = 5, words: str = "words", partitions: int = 1, seed: int = 42) -> Word2VecModel:
-    """Skip-gram vectors of posts or sentences; one partition and a seed make reruns agree."""
+def train_word2vec(
+    posts: DataFrame, dim: int = 300, window: int = 10, least: int = 5, words: str = "words", partitions: int | None = None, passes: int = 1, seed: int = 42
+) -> Word2VecModel:
+    """Skip-gram vectors of posts or sentences. Each of the partitions (by default as many as posts has) trains on its
+    own posts and their vectors are combined after a pass; more passes make up for many partitions."""
+    rows = posts.filter(F.size(words) > 0).select(words)
     learner = Word2Vec(
-        vectorSize=dim, windowSize=window, minCount=least, inputCol=words, outputCol="vector", numPartitions=partitions, seed=seed, maxIter=1
-    )
-    return learner.fit(posts.filter(F.size(words) > 0).select(words))
+        vectorSize=dim, windowSize=window, minCount=least, inputCol=words, outputCol="vector",
+        numPartitions=partitions or max(1, rows.rdd.getNumPartitions()), seed=seed, maxIter=passes,
+    )
+    return learner.fit(rows)
 
 
 def model_vectors(model: Word2VecModel) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Fielded keyword search over posts: terms, phrases, prefixes, and, or, not, ranked by tf-idf.
+"""Fielded keyword search over posts: terms, phrases, prefixes, musts and exclusions, ranked by tf-idf.
 
-Query syntax: ``term``, ``"a phrase"``, ``prefix*``, ``field:…`` before any of them, ``+`` (must) or ``-`` (must not)
-before any of them, ``AND`` between two (both must), ``OR`` (the default). A query that has a must matches the posts
-with all its musts; otherwise one of its parts is enough. Empty queries match nothing.
+A query is a list of parts: words in a field, each of which must, may or must not occur. A query that has a must
+matches the posts with all its musts; otherwise one of its parts is enough. Queries without a must or a may match nothing.
 
 Score: for each term and prefix the sum of sqrt(tf) * (1 + ln(N / (df + 1)))^2 / sqrt(field length), phrases as if
 they were one term; equal scores go by key.
@@ -11,7 +10,8 @@ they were one term; equal scores go by key.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +26,20 @@ FIELDS = ("ptext", "user", "path", "url", "mood")
 
 @dataclass(frozen=True)
 class Part:
-    """One part of a query: its words in a field; kind is term, phrase or prefix; need is must, may or not."""
+    """One part of a query: its words in a field, as a term (or phrase, if there are several) or as a prefix."""
 
-    field: str
-    kind: str
     words: tuple[str, ...]
+    field: str = "ptext"
     need: str = "may"
+    prefix: bool = False
+
+
+def part(text: str, need: str = "may", field: str = "ptext", prefix: bool = False) -> Part | None:
+    """A part as the analyser reads its text; None if no word is left. need is must, may or not."""
+    if field not in FIELDS or need not in ("must", "may", "not"):
+        raise ValueError(f"unknown field {field!r} or need {need!r}; the fields are {FIELDS}")
+    words = tuple(w for w in re.findall(r"[^\W_]+", text.lower()) if w not in STOP_WORDS)
+    return Part(words, field, need, prefix) if words else None
 
 
 def analyse(text: str | Column) -> Column:
@@ -41,43 +49,13 @@ def analyse(text: str | Column) -> Column:
     return F.filter(found, lambda x: ~x.isin(*STOP_WORDS))
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(w for w in re.findall(r"[^\W_]+", text.lower()) if w not in STOP_WORDS)
-
-
-def parse(query: str, default: str = "ptext") -> list[Part]:
-    parts: list[Part] = []
-    both = False
-    for sign, field, phrase, bare in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))', query):
-        if bare in ("AND", "OR", "NOT") and not sign and not field:
-            both = bare == "AND"
-            if both and parts:
-                parts[-1] = Part(parts[-1].field, parts[-1].kind, parts[-1].words, "must")
-            sign_next = bare == "NOT"
-            if sign_next:
-                parts.append(Part("", "not", ()))
-            continue
-        if field and field not in FIELDS:
-            raise ValueError(f"unknown field {field!r}; the fields are {FIELDS}")
-        negated = bool(parts and parts[-1].kind == "not")
-        if negated:
-            parts.pop()
-        need = "not" if sign == "-" or negated else "must" if sign == "+" or both else "may"
-        both = False
-        prefix = not phrase and bare.endswith("*")
-        words = _words(phrase or bare.rstrip("*"))
-        if words:
-            kind = "prefix" if prefix else "phrase" if len(words) > 1 else "term"
-            parts.append(Part(field or default, kind, words, need))
-    return [p for p in parts if p.kind != "not"]
-
-
-def _count(tokens: Column, part: Part) -> Column:
-    """How often a part occurs in the tokens of its field."""
-    if part.kind == "term":
-        return F.size(F.filter(tokens, lambda x: x == part.words[0]))
-    if part.kind == "prefix":
+def _count(part: Part) -> Column:
+    """How often a part occurs in its field."""
+    tokens = F.col(f"tokens_{part.field}")
+    if part.prefix:
         return F.size(F.filter(tokens, lambda x: x.startswith(part.words[0])))
+    if len(part.words) == 1:
+        return F.size(F.filter(tokens, lambda x: x == part.words[0]))
     n = len(part.words)
     places = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
     wanted = F.array(*(F.lit(w) for w in part.words))
@@ -89,30 +67,31 @@ def analysed(posts: DataFrame, key: str = "post_id") -> DataFrame:
     return posts.select("*", *(analyse(f).alias(f"tokens_{f}") for f in FIELDS if f in posts.columns))
 
 
-def search(posts: DataFrame, query: str, k: int = 10, key: str = "post_id", default: str = "ptext") -> DataFrame:
+Query = Sequence[Part | None]
+
+
+def search(posts: DataFrame, query: Query, k: int = 10, key: str = "post_id") -> DataFrame:
     """The k best posts with score and rank. posts are analysed; the df of the parts is counted in one pass over them."""
-    parts = parse(query, default)
-    return _ranked(posts, {0: parts}, k, key).drop("query_id")
+    return search_batch(posts, [query], k, key).drop("query_id")
 
 
-def search_batch(posts: DataFrame, queries: list[str], k: int = 10, key: str = "post_id", default: str = "ptext") -> DataFrame:
+def search_batch(posts: DataFrame, queries: Sequence[Query], k: int = 10, key: str = "post_id") -> DataFrame:
     """search for each query, all in one pass: (query_id, …, score, rank)."""
-    return _ranked(posts, {i: parse(q, default) for i, q in enumerate(queries)}, k, key)
+    return _ranked(posts, {i: [p for p in q if p is not None] for i, q in enumerate(queries)}, k, key)
 
 
 def _ranked(posts: DataFrame, queries: dict[int, list[Part]], k: int, key: str) -> DataFrame:
     from pyspark.sql import Window
 
     shown = [c for c in posts.columns if not c.startswith("tokens_")]
-    parts = list(dict.fromkeys(p for q in queries.values() for p in q if p.need != "not"))
-    banned = list(dict.fromkeys(p for q in queries.values() for p in q if p.need == "not"))
-    if not parts:
+    asked = [p for q in queries.values() for p in q]
+    if all(p.need == "not" for p in asked):
         return posts.select(*shown, F.lit(0).cast("long").alias("query_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    number = {(p.field, p.kind, p.words): i for i, p in enumerate(dict.fromkeys(Part(p.field, p.kind, p.words) for p in (*parts, *banned)))}
-    of = lambda p: number[p.field, p.kind, p.words]
-    counts = [_count(F.col(f"tokens_{f}"), Part(f, kind, words)).alias(f"tf{i}") for (f, kind, words), i in number.items()]
-    lengths = [F.size(f"tokens_{f}").alias(f"n_{f}") for f in {p.field for p in (*parts, *banned)}]
-    counted = posts.select(*shown, *lengths, *counts)
+    # A part is counted once, whatever the queries need of it.
+    number = {p: i for i, p in enumerate(dict.fromkeys(replace(p, need="may") for p in asked))}
+    of = lambda p: number[replace(p, need="may")]
+    lengths = [F.size(f"tokens_{f}").alias(f"n_{f}") for f in {p.field for p in number}]
+    counted = posts.select(*shown, *lengths, *(_count(p).alias(f"tf{i}") for p, i in number.items()))
     df = counted.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in number.values()))
     rows = counted.crossJoin(F.broadcast(df))  # one row of counts
 
@@ -154,6 +133,6 @@ def report(hits: DataFrame, moods: DataFrame) -> DataFrame:
 
 
 def interactive(spark: SparkSession, posts: DataFrame, ask, show, k: int = 10) -> None:
-    """Ask for queries and show their hits until END."""
-    while (query := ask()) != "END":
+    """Ask for queries and show their hits until there is none."""
+    while (query := ask()) is not None:
         show(search(posts, query, k))

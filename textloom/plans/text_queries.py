@@ -303,16 +303,9 @@ def a13_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query(SENTS + """ SELECT post_id, sent, "user", 'http://' || "user" || '.example.org/' AS url FROM sents WHERE n_words >= 40""")
-def j04_sentence_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.sentences(posts(spark, sf_dir).select("post_id", "words")).filter("n_words >= 40").select("post_id", "sent")
-    users = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("user"))
-    return rows.join(users, "post_id").select("post_id", "sent", "user", T.user_url("user").alias("url"))
-
-
 @query(SENTS + """ SELECT post_id, sent, "user", 'http://' || "user" || '.example.org/' AS url FROM sents""")
-def j04_sentence_users_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The user of every sentence, however short."""
+def j04_sentence_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user of every sentence."""
     rows = S.sentences(posts(spark, sf_dir).select("post_id", "words")).select("post_id", "sent")
     users = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("user"))
     return rows.join(users, "post_id").select("post_id", "sent", "user", T.user_url("user").alias("url"))
