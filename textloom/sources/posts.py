@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import vocabulary as V
 from textloom.operators.features import single_mood
 
 #: One <posts> block: a user's activity. Tags that are absent are null.
@@ -51,11 +52,19 @@ def file_name(extension: str = "xml") -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*?)(\.{extension})?$", 1)
 
 
+def number_names(paths: DataFrame) -> DataFrame:
+    """(user_id, user): the distinct names at the end of paths (column path), without .xml, numbered from 1 by name.
+
+    Names are ranked in range partitions, so no task holds all of them.
+    """
+    named = paths.select(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"(?s)^(.*?)(\.xml)?$", 1).alias("word"))
+    numbered = V.number(named.distinct().withColumn("cnt", F.lit(1)))
+    return numbered.select(F.col("word_id").alias("user_id"), F.col("word").alias("user"))
+
+
 def user_names(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, user): names of the files of a folder, numbered by name."""
-    names = spark.read.format("binaryFile").load(path).select(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*?)(\.xml)?$", 1).alias("user"))
-    distinct = names.distinct()
-    return distinct.select(F.row_number().over(Window.orderBy("user")).cast("long").alias("user_id"), "user")
+    return number_names(spark.read.format("binaryFile").load(path).select("path"))
 
 
 def locate_posts(posts: DataFrame, users: DataFrame) -> DataFrame:
