@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, warc
+from . import bpe, chat_format, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, warc, whitening
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -301,7 +301,14 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = found.select("vec_id", "n", "deviation", "identity_error", F.inline("components"))
+    return rows.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op13_whitening": op13_whitening,
     "op10_lz_fingerprint": op10_lz_fingerprint,
     "op1_ngram_lm": op1_ngram_lm,
     "op2_warc": op2_warc,
