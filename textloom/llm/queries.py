@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, warc, whitening
+from . import bpe, chat_format, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, url_filter, warc, whitening
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -301,6 +301,41 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.edited_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The contract's rules, and words that mark a host for the block list.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+BAD_HOST_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, action string")
+    judged = url_filter.judge(pages, rules, url_filter.hosts_with(pages, BAD_HOST_WORDS))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+OP11_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r(host, path, action) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), b AS (
+  SELECT DISTINCT host FROM u WHERE len(list_filter(string_split_regex(host, '[.-]'), lambda x: x IN ('adult', 'ads', 'bets', 'casino', 'pills', 'spam'))) > 0
+), p AS (
+  SELECT DISTINCT host, path FROM u
+), f AS (
+  SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.action, length(r.host || r.path)) AS action
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.host, p.path
+), l AS (
+  SELECT h.host, arg_max(b.host, length(b.host)) AS listed
+  FROM (SELECT DISTINCT host FROM u) AS h JOIN b ON h.host = b.host OR ends_with(h.host, '.' || b.host) GROUP BY h.host
+)
+SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict, listed
+FROM u LEFT JOIN f ON u.host = f.host AND u.path = f.path LEFT JOIN l ON u.host = l.host
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     rows = found.select("vec_id", "n", "deviation", "identity_error", F.inline("components"))
@@ -308,6 +343,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op11_url_filter": op11_url_filter,
     "op13_whitening": op13_whitening,
     "op10_lz_fingerprint": op10_lz_fingerprint,
     "op1_ngram_lm": op1_ngram_lm,
@@ -322,6 +358,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_url_filter": OP11_SQL,
     "op2_warc": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op5_mixing": OP5_SQL,
