@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, url_filter, warc, whitening
+from . import bpe, chat_format, chat_repair, lz_fingerprint, mixing, ngram_lm, quality_model, secret_scan, simhash, url_filter, warc, whitening
 from .common import table
 from .quality_rules import RULES, STOP_WORDS, apply_rules
 
@@ -336,6 +336,84 @@ FROM u LEFT JOIN f ON u.host = f.host AND u.path = f.path LEFT JOIN l ON u.host
 """
 
 
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    fixed = chat_repair.repair(rows)
+    hashes = chat_repair.digest(fixed.rows).withColumnRenamed("conv_id", "_conv")
+    found = fixed.report.join(hashes, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    names = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    return found.select(*names, F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, half a byte at a time; the table of 16 follows from the polynomial."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    halves = f"list_transform(flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4])), lambda h: h::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, x: xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS m
+  FROM conversations
+), y AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+         CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM x WHERE m <> 0
+), o AS (
+  SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM y
+), f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY pos) || r AS pair
+  FROM o
+), n AS (
+  SELECT conv_id, count(*) AS rows, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM f GROUP BY conv_id
+), ins(s, t, said) AS (
+  VALUES (0, 0, []), (1, 1, []), (2, 2, []), (3, 3, []), (0, 2, ['user:']), (1, 2, ['user:']), (3, 2, ['user:']), (2, 3, ['assistant:']),
+         (0, 3, ['user:', 'assistant:']), (1, 3, ['user:', 'assistant:'])
+), step(s, t, want) AS (
+  VALUES (0, 1, 'system'), (0, 2, 'user'), (1, 2, 'user'), (3, 2, 'user'), (2, 3, 'assistant')
+), dp AS (
+  SELECT conv_id, 0 AS pos, 0 AS s, {{'c': 0, 'a': '', 'out': []::VARCHAR[]}} AS v FROM n
+  UNION ALL
+  SELECT conv_id, pos, s, v FROM (
+    SELECT dp.conv_id, f.pos::INT AS pos, e.t AS s,
+           min({{'c': dp.v.c + 3 * len(ins.said) + e.c, 'a': dp.v.a || repeat('I', len(ins.said)) || e.a, 'out': dp.v.out || ins.said || e.out}}) AS v
+    FROM dp JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.pos = dp.pos + 1 JOIN ins ON ins.s = dp.s,
+    LATERAL (
+      SELECT ins.t AS t, 4 AS c, 'D' AS a, []::VARCHAR[] AS out
+      UNION ALL
+      SELECT step.t, CASE WHEN f.fault = 't' THEN 3 ELSE 0 END + CASE WHEN f.r = left(want, 1) THEN 0 ELSE 3 END,
+             CASE WHEN f.r = left(want, 1) THEN 'K' ELSE 'R' END,
+             [CASE WHEN f.r = left(want, 1) THEN f.role ELSE want END || ':' || f.text]
+      FROM step WHERE step.s = ins.t AND f.fault NOT IN ('b', 'd') AND (want <> 'system' OR f.r = 's')
+    ) AS e
+    GROUP BY dp.conv_id, f.pos, e.t
+  )
+), z AS (
+  SELECT dp.conv_id, min({{'c': v.c + 3 * len(said), 'a': v.a || repeat('I', len(said)), 'out': v.out || said}}) AS v
+  FROM dp JOIN n ON dp.conv_id IS NOT DISTINCT FROM n.conv_id AND dp.pos = n.rows JOIN ins ON ins.s = dp.s
+  WHERE ins.t IN (0, 3) GROUP BY dp.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(z.v.c, 0)::BIGINT AS cost, coalesce(z.v.a, '') AS audit,
+       sha256(coalesce(array_to_string(z.v.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN n ON c.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     rows = found.select("vec_id", "n", "deviation", "identity_error", F.inline("components"))
@@ -344,6 +422,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_url_filter": op11_url_filter,
+    "op12_chat_repair": op12_chat_repair,
     "op13_whitening": op13_whitening,
     "op10_lz_fingerprint": op10_lz_fingerprint,
     "op1_ngram_lm": op1_ngram_lm,
@@ -359,6 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op11_url_filter": OP11_SQL,
+    "op12_chat_repair": OP12_SQL,
     "op2_warc": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op5_mixing": OP5_SQL,
