@@ -74,3 +74,54 @@ def test_targets_with_many_sources_at_their_caps(spark):
     names = sorted(got)
     want = water([got[n].source_size for n in names], [[3.0, 1.0, 2.0][i % 3] for i in range(len(names))])
     assert all(abs(got[n].target - t) < 1e-6 for n, t in zip(names, want))
+
+
+def sql_taken(rows):
+    """Words taken by source, by the query's SQL over the same rows."""
+    import duckdb
+    import pandas as pd
+
+    from textloom.llm.queries import OP5_SQL
+
+    frame = pd.DataFrame([r[:3] for r in rows], columns=["doc_id", "source", "text"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", frame)
+    return {s: (t, n) for s, t, n in con.execute(f"SELECT any_value(source), any_value(target), sum(taken) FROM ({OP5_SQL}) JOIN (SELECT DISTINCT doc_id, source FROM documents) AS d USING (doc_id) GROUP BY source").fetchall()}
+
+
+def taken(spark, rows, parts=4, **options):
+    got = balance_sources(spark.createDataFrame(rows, SCHEMA).repartition(parts), **options).collect()
+    assert len(got) == len(rows)
+    return {s: (max(g.target for g in got if g.source == s), sum(g.copies * g.size for g in got if g.source == s)) for s in {g.source for g in got}}, got
+
+
+def test_targets_are_met_on_null_and_repeated_ids(spark):
+    ten = "w " * 10
+    nulls = [(None, "a", ten, 1, 1)] * 1000
+    found, got = taken(spark, nulls)
+    assert found == {"a": (15_000.0, 15_000)} and {g.copies for g in got} <= {1, 2}
+    repeated = [(7, "a", ten, 1, 1)] * 1000 + [(k, "a", ten, 1, 1) for k in range(20, 30)]
+    found, _ = taken(spark, repeated)
+    assert found["a"][0] == 15_150 and abs(found["a"][1] - 15_150) <= 10
+    assert sql_taken(repeated) == {"a": (15_150.0, found["a"][1])}
+
+
+def test_repeats_in_several_sources_with_other_columns(spark):
+    rnd = random.Random(8)
+    rows = [(None if s == "b" else 5, s, f"x{rnd.randrange(3)} " * rnd.choice([4, 4, 4, 9]), 1, rnd.randrange(4)) for s in "abcd" * 150]
+    found, got = taken(spark, rows, keep=("text", "u"))
+    for target, words in found.values():
+        assert abs(words - target) <= 9
+    key = lambda g: (g.source, g.text, g.copies)
+    again = taken(spark, rows, 7, keep=("text", "u"))[1]
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
+def test_an_unsolved_source_is_an_error(spark, monkeypatch):
+    import pytest
+    from textloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "NEWTON_STEPS", 1)
+    rows = [(k, "ab"[k % 2], "w " * (1 + k % 17), 1, 1) for k in range(200)]
+    with pytest.raises(ValueError, match="doesn't|don't meet"):
+        balance_sources(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -145,7 +145,9 @@ def _block() -> Column:
 def block_costs(placed: DataFrame) -> DataFrame:
     """conv_id, block, symbols, and costs and audits of its 16 pairs of states."""
     symbols = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "symbol"))), lambda r: r["symbol"]), "")
-    blocks = placed.groupBy("conv_id", _block().alias("block")).agg(symbols.alias("symbols"))
+    # As many tasks as the texts have: symbols are few bytes, but each is worked on.
+    dealt = placed.repartition(max(1, placed.rdd.getNumPartitions()), "conv_id", _block())
+    blocks = dealt.groupBy("conv_id", _block().alias("block")).agg(symbols.alias("symbols"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = solver()

@@ -11,7 +11,7 @@ convex dual, whose gradient is sum(size * r) - target. Newton's steps are taken
 which is nearly straight in lambda. Every step is one distributed sum of size * r and its derivative over all
 documents (counted by source and size first, which both sums need only), for all sources at once; a step that
 leaves the bracket known so far is replaced by its middle. A source is solved once its sum is within 1e-9 of the
-target, and at the latest after ``NEWTON_STEPS`` steps. lambda is rounded to nine digits and rates to 2 ** -20, so
+target. lambda is rounded to nine digits and rates to 2 ** -20, so
 that sums in another order give the same copies. A target of cap times its source's words takes every document cap
 times. As documents count alike, however long, a source that is thinned loses long documents first, and one that
 is repeated repeats long documents first.
@@ -20,12 +20,14 @@ Copies. A document is taken floor(rate) times, and once more if it lies below it
 order of u / (u + rest), where u in (0, 1] is a random number from md5(doc_id) and rest the rate's fraction
 (sequential Poisson sampling: chances are near the fractions, the total is near the target). The threshold is
 where the words still missing are reached most nearly. It is found by sums over 4,096 slices of that order, again
-over 4,096 slices of the slice that holds it, and by a running sum over the documents of that last slice only; no
-source is gathered by one task.
-
-Null or word-free texts have size 0 and their copies take no words. A null source is a source, last in order.
-Repeated document ids are ordered by size too, so reruns agree. Extra columns named in ``keep`` come along. An
-empty table gives no rows.
+over 4,096 slices of the slice that holds it, and by a running sum over the documents of that last slice only, equal
+ones counted; no source is gathered by one task. Documents that are equal in place, id and size and are cut by the
+threshold are numbered in range partitions, by what else they hold, and as many as are wanted come once more.
+
+Null or word-free texts have size 0 and their copies take no words. A null source is a source, last in order. Repeated
+and null document ids are ordered by size too; totals come as near to their targets as with distinct ids, and reruns
+agree. Extra columns named in ``keep`` come along. An empty table gives no rows. A source whose dual isn't solved
+after ``NEWTON_STEPS`` steps is an error.
 """
 
 from __future__ import annotations
@@ -127,6 +129,9 @@ def balance(docs: DataFrame, sources: DataFrame, n_sources: int, cap: float = 2.
                 F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), solved.alias("done"), "at_cap",
             )
         )
+    else:
+        if not state.filter(~F.col("done")).isEmpty():
+            raise ValueError(f"a source's rates don't meet its target after {NEWTON_STEPS} steps")
     return state.select(*sources.columns, "scale", F.when(F.col("target") <= 0, -far).when(F.col("at_cap"), far).otherwise(F.round("lam", 9)).alias("lam"))
 
 
@@ -158,7 +163,8 @@ def _slice(docs: DataFrame, wanted: DataFrame, n_sources: int, level: int) -> Da
 
 
 def find_limits(docs: DataFrame, n_sources: int) -> DataFrame:
-    """source and the place up to which its documents get one copy more (slice0, slice1, edge), from ``with_rates``.
+    """source and the place up to which its documents get one copy more (slice0, slice1, edge), from ``with_rates``;
+    edge_more: how many of those equal to the edge, if not all.
 
     Documents whose rate has no fraction come last in the order and are left out.
     """
@@ -175,17 +181,25 @@ def find_limits(docs: DataFrame, n_sources: int) -> DataFrame:
         wanted = join_sources(wanted.withColumn("doc_id", F.lit(0)), found, n_sources).select(
             "source", "missing", F.coalesce("open_before", "before").alias("before")
         )
-    order = Window.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = join_sources(inside, wanted, n_sources).withColumn("upto", F.col("before") + F.sum("size").over(order))
-    last = last.filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("missing"))
-    edges = cut_lineage(last.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size")).alias("edge")))
+    order = Window.partitionBy("source").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    equal = inside.groupBy("source", "place", "doc_id", "size").agg(F.count("*").alias("n"))
+    last = join_sources(equal, wanted, n_sources).withColumn("upto", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0)))
+    # The k-th of equal documents comes once more if half of it lies below what is missing.
+    most = F.floor((2 * (F.col("missing") - F.col("upto")) + F.col("size")) / (2 * F.col("size")))
+    last = last.withColumn("more", F.least(F.col("n"), most.cast("long"))).filter("more > 0")
+    place = F.struct("place", "doc_id", "size")
+    edges = cut_lineage(
+        last.groupBy("source")
+        .agg(F.max(F.struct(place.alias("edge"), "more", "n")).alias("e"))
+        .select("source", F.col("e.edge").alias("edge"), F.when(F.col("e.more") < F.col("e.n"), F.col("e.more")).alias("edge_more"))
+    )
     for more in (*bounds, edges):
         limits = join_sources(limits.withColumn("doc_id", F.lit(0)), more, n_sources).drop("doc_id")
     return cut_lineage(limits)
 
 
 def take(docs: DataFrame, limits: DataFrame, n_sources: int) -> DataFrame:
-    """docs (from ``with_rates``) with their ``copies``; nothing but limits is shuffled."""
+    """docs (from ``with_rates``) with their ``copies``; nothing but limits, and equal documents that an edge cuts, is shuffled."""
     edge = F.struct("place", "doc_id", "size")
     a, b = F.substring("place", 1, 3), F.substring("place", 4, 3)
     below = (
@@ -197,7 +211,20 @@ def take(docs: DataFrame, limits: DataFrame, n_sources: int) -> DataFrame:
     )
     more = (F.col("size") > 0) & (F.col("rate") > F.floor("rate")) & below
     copies = (F.floor("rate") + F.when(more, 1).otherwise(0)).cast("long")
-    return join_sources(docs, limits, n_sources).withColumn("copies", copies).drop("slice0", "slice1", "edge", "place")
+    found = join_sources(docs, limits, n_sources)
+    kept = [c for c in docs.columns if c != "place"]
+    whole = found.withColumn("copies", copies).select(*kept, "copies")
+    if limits.filter("edge_more IS NOT NULL").isEmpty():
+        return whole
+    cut = more & F.col("edge_more").isNotNull() & edge.eqNullSafe(F.col("edge"))
+    rows = cut_lineage(found.filter(cut).select(*kept, "edge_more"))
+    rows = rows.withColumns({"_what": F.xxhash64(*kept), "_id": F.monotonically_increasing_id()})
+    rows = running_sums(rows, [F.col("source").asc_nulls_last(), F.col("_what"), F.col("_id")], _number=F.lit(1))
+    firsts = rows.groupBy("source").agg(F.min("_number").alias("_first"))
+    rows = join_sources(rows, firsts, n_sources)
+    again = F.when(F.col("_number") - F.col("_first") < F.col("edge_more"), 1).otherwise(0)
+    numbered = rows.withColumn("copies", (F.floor("rate") + again).cast("long")).select(*kept, "copies")
+    return found.filter(~cut).withColumn("copies", copies).select(*kept, "copies").unionByName(numbered)
 
 
 def sized(df: DataFrame, text: str = "text") -> DataFrame:
@@ -210,8 +237,11 @@ def balance_sources(
 ) -> DataFrame:
     """doc_id, source, size, u, source_size, target, rate and copies of every row of df.
 
-    keep: more columns of df to return; with any, df's rows are read once more instead of being stored.
+    keep: more columns of df to return; with any, df's rows are read once more instead of being stored. A column named
+    like one that is made is not kept.
     """
+    made = {"doc_id", "source", "size", "u", "source_size", "target", "rate", "copies", "place", "slice0", "slice1", "edge", "edge_more", "scale", "lam"}
+    keep = tuple(c for c in keep if c.lower() not in made)
     slim = sized(df, text).select("doc_id", "source", "size", "u")
     docs = cut_lineage(slim)
     totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
