@@ -3,8 +3,8 @@
 Word vectors. Words and word shapes are hashed to ``BUCKETS`` rows (words that share one share a vector). Every row
 has a fixed sparse ternary index vector; a row's word vector is the normalised sum of the index vectors of its
 neighbours (``WINDOW`` words to either side), gathered over all documents, plus its own index vector. Tasks sum
-in integers; the partial sums are added in ``BLOCKS`` blocks of rows, streamed, so the vectors don't depend on how
-rows are dealt. A document's vector is the mean over its words, the mean over its shapes, and a few ratios.
+in integers; the partial sums are added in ``BLOCKS`` blocks of rows, streamed, by (block, salt) first where there are
+many tasks, so the vectors don't depend on how rows are dealt. A document's vector is the mean over its words, the mean over its shapes, and a few ratios.
 
 Network. Two layers in numpy (tanh, sigmoid), trained by Adam; a held-out fifth of the training rows sets the
 temperature by which logits are divided, so that scores are probabilities.
@@ -12,7 +12,7 @@ temperature by which logits are divided, so that scores are probabilities.
 Only the network's training is bounded: at most ``max_labelled`` labels, those of least hash, are learnt from (a
 documented parameter), each with one document: of several with its id, that of least text. Every document is
 scored, over its whole text, in Arrow batches; what is sent to the executors is the table of word vectors
-(BUCKETS x DIM floats, 8 MB) and the weights.
+(BUCKETS x DIM half-precision floats, 8 MB) and the weights.
 
 A null or empty text has zero vectors and is scored like any other. Labels that are null are ignored; repeated
 labels count as often as they occur. Ids may be of any type that sorts. Without any label of both classes every
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .common import arrow_batches, pooled, split_words
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 15, 64, 6, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 16, 64, 6, 2
 BLOCKS = 16
 SLICE = 50_000  # words whose contexts are gathered at once
 SHAPES, SHAPE_DIM = 1 << 10, 32
@@ -83,7 +83,7 @@ def features(texts: list[str], vectors: np.ndarray) -> np.ndarray:
         words = list(counts)
         n = np.fromiter(counts.values(), np.float32, len(words))
         total = n.sum()
-        pooled = (n @ vectors[_rows(words)]) / total
+        pooled = (n @ vectors[_rows(words)].astype(np.float32)) / total
         ends = [(t := w.translate(_CLASS))[:1] + t[-3:] for w in words]
         shape = np.fromiter(map(zlib.crc32, ends), np.int64, len(words)) % SHAPES
         pooled_shape = (n @ shapes[shape]) / total
@@ -132,21 +132,35 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
             part = sums[k * rows : (k + 1) * rows].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "sums": pa.array([part], pa.binary())})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block = np.zeros(rows * DIM, np.int64), None
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = k
-                total += np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").ravel()
-        if block is not None:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select(text).mapInArrow(count, "block int, sums binary").repartitionById(BLOCKS, F.col("block"))
+    def adder(width: int):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, block = np.zeros(rows * DIM, np.int64), None
+            for batch in batches:
+                for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    block = k
+                    total += np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel()
+            if block is not None:
+                part = total.view(np.uint8).reshape(-1, 8).T.tobytes()
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([part], pa.binary())})
+
+        return add
+
+    schema = "block int, sums binary"
+    parts, width, salts = docs.select(text).mapInArrow(count, schema), 4, adding_salts(docs.rdd.getNumPartitions())
+    if salts > 1:
+        salted = parts.repartitionById(BLOCKS * salts, F.col("block") * salts + F.spark_partition_id() % salts)
+        parts, width = salted.mapInArrow(adder(4), schema), 8
     total = np.zeros((BUCKETS, DIM), np.float64)
-    for row in parts.mapInArrow(add, "block int, sums binary").collect():  # BLOCKS rows, 16 MB
-        total[row["block"] * rows : (row["block"] + 1) * rows] = np.frombuffer(row["sums"], np.int64).reshape(rows, DIM)
+    for row in parts.repartitionById(BLOCKS, F.col("block")).mapInArrow(adder(width), schema).collect():  # BLOCKS rows, 32 MB
+        part = np.ascontiguousarray(np.frombuffer(row["sums"], np.uint8).reshape(8, -1).T).view("<i8")
+        total[row["block"] * rows : (row["block"] + 1) * rows] = part.reshape(rows, DIM)
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return (total + index_vectors(BUCKETS, DIM, 1) / np.sqrt(NONZERO)).astype(np.float32)
+    return (total + index_vectors(BUCKETS, DIM, 1) / np.sqrt(NONZERO)).astype(np.float16)
+
+
+def adding_salts(tasks: int) -> int:
+    """Into how many parts the sums of so many tasks are added first: 1 for a few hundred, then with the root."""
+    return max(1, round(tasks**0.5 / 4)) if tasks > 256 else 1
 
 
 def _logit(x: np.ndarray, weights: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -158,6 +172,24 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _gradients(weights: list[np.ndarray], a: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log-loss and a decay of 1e-4, over some rows."""
+    h = np.tanh(a @ weights[0] + weights[1])
+    d = (_sigmoid(h @ weights[2] + weights[3]) - t) / max(1, len(t))
+    back = np.outer(d, weights[2]) * (1 - h * h)
+    return [a.T @ back + 1e-4 * weights[0], back.sum(0), h.T @ d + 1e-4 * weights[2], d.sum()]
+
+
+def _log_loss(logits: np.ndarray, t: np.ndarray) -> float:
+    return float(-np.mean(np.log(np.where(t == 1, _sigmoid(logits), _sigmoid(-logits)) + 1e-12)))
+
+
+def _temperature(logits: np.ndarray, t: np.ndarray) -> float:
+    """By which logits are divided for the least log-loss, from 1/4 to 8 in steps of 6 percent."""
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
+    return float(min(grid, key=lambda k: _log_loss(logits / k, t))) if len(t) else 1.0
+
+
 def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epochs: int = 12, seed: int = 7) -> Model:
     prior = float(y.mean()) if len(y) else 0.5
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -172,20 +204,12 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, e
     step = 0
     for _ in range(max(epochs, 4000 // max(1, len(used) // 256 + 1))):
         for rows in np.array_split(rng.permutation(used), len(used) // 256 + 1):
-            a, t = z[rows], y[rows]
-            h = np.tanh(a @ weights[0] + weights[1])
-            d = (_sigmoid(h @ weights[2] + weights[3]) - t) / max(1, len(rows))
-            back = np.outer(d, weights[2]) * (1 - h * h)
-            grads = [a.T @ back + 1e-4 * weights[0], back.sum(0), h.T @ d + 1e-4 * weights[2], d.sum()]
             step += 1
-            for k, g in enumerate(grads):
+            for k, g in enumerate(_gradients(weights, z[rows], y[rows])):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
                 weights[k] = weights[k] - 0.003 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    logits, t = _logit(z[held], tuple(weights)), y[held]
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-    loss = lambda k: -np.mean(np.log(np.where(t == 1, _sigmoid(logits / k), _sigmoid(-logits / k)) + 1e-12))
-    return Model(vectors, tuple(weights), mean, scale, float(min(grid, key=loss)) if len(held) else 1.0, prior)
+    return Model(vectors, tuple(weights), mean, scale, _temperature(_logit(z[held], tuple(weights)), y[held]), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", max_labelled: int = 20_000) -> Model:
