@@ -19,8 +19,9 @@ from textloom.functions import vectors as V
 from textloom.functions.columns import sample_share
 from textloom.operators.vocabulary import join_words
 from textloom.session import cut_lineage
+from textloom.sources.vector_store import VectorStore, store_vectors
 
-#: A matrix of word vectors up to this size is broadcast; larger ones are joined.
+#: A matrix of word vectors up to this size is broadcast; larger ones are stored in files that tasks map.
 BROADCAST_BYTES = 256 << 20
 
 
@@ -70,24 +71,41 @@ def matrix(vectors: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> tuple[list
     return found["word"].to_pylist(), flat.reshape(found.num_rows, -1)
 
 
-def sentence_vectors(rows: DataFrame, vectors: DataFrame, words: str = "words", method: str = "auto", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+#: What a task finds vectors with: a matrix with its words, or a store of mapped files.
+Source = tuple[list[str], np.ndarray] | VectorStore
+
+
+def source(vectors: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Source:
+    """The matrix if it is within limit_bytes, else a store in the shared folder."""
+    held = matrix(vectors, limit_bytes)
+    return store_vectors(vectors) if held is None else held
+
+
+def sentence_vectors(
+    rows: DataFrame, vectors: DataFrame | VectorStore, words: str = "words", method: str = "auto", limit_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """rows with a column vector: the unit sum of their words' vectors, null where it is zero or no word is known.
 
     method
         batch  the matrix is broadcast and each Arrow batch of sentences is summed by numpy: nothing is shuffled
+        store  the same with vectors in mapped files: neither a shuffle of sentences nor a broadcast of vectors
         join   words are exploded, joined and summed by dimension, combined before the shuffle
-        auto   batch if the matrix is within limit_bytes, else join
+        auto   batch if the matrix is within limit_bytes, else store
     """
-    held = matrix(vectors, limit_bytes) if method in ("auto", "batch") else None
-    if held is None and method == "batch":
+    if method == "join":
+        return _joined(rows, vectors, words)
+    if method == "store" and not isinstance(vectors, VectorStore):
+        vectors = store_vectors(vectors)
+    held: Source | None = vectors if isinstance(vectors, VectorStore) else source(vectors, limit_bytes) if method == "auto" else matrix(vectors, limit_bytes)
+    if held is None:
         raise ValueError(f"the vectors are over {limit_bytes} bytes")
-    return _joined(rows, vectors, words) if held is None else _batched(rows, held, words)
+    return rows.withColumn("vector", _per_sentence(held, lambda units: units, F.col(words), rows))
 
 
-def _sums(sentences: pa.Array, place: dict[str, int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums(sentences: pa.Array, find: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The sentences of a batch that have known words, and the sums of their vectors; a distinct word is looked up once."""
     flat = sentences.flatten().dictionary_encode()
-    known = np.fromiter((place.get(w, -1) for w in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+    known, table = find(flat.dictionary.to_pylist())
     ids = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
     lengths = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(sentences)), lengths)[ids >= 0]
@@ -101,16 +119,26 @@ def _sums(sentences: pa.Array, place: dict[str, int], table: np.ndarray) -> tupl
     return owner[first], out
 
 
-def _per_sentence(held: tuple[list[str], np.ndarray], result: Callable[[np.ndarray], np.ndarray], words: Column, rows: DataFrame) -> Column:
-    """array<double> of each sentence: result of the unit sums; null where there is none."""
-    shared = rows.sparkSession.sparkContext.broadcast(held)
+def _finder(held: Source) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    if isinstance(held, VectorStore):
+        return held.find
+    known, table = held
+    place = {w: i for i, w in enumerate(known)}
+    return lambda words: (np.fromiter((place.get(w, -1) for w in words), np.int64, len(words)), table)
+
+
+def _per_sentence(held: Source, result: Callable[[np.ndarray], np.ndarray], words: Column, rows: DataFrame) -> Column:
+    """array<double> of each sentence: result of the unit sums; null where there is none.
+
+    The function counts as not deterministic, so that a filter on what it gives isn't moved below it, which would run
+    it twice. Filters on other columns belong before it.
+    """
+    shared = held if isinstance(held, VectorStore) else rows.sparkSession.sparkContext.broadcast(held)
 
-    @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, table = shared.value
-        place = {w: i for i, w in enumerate(known)}
+        find = _finder(shared if isinstance(shared, VectorStore) else shared.value)
         for batch in batches:
-            owner, sums = _sums(batch, place, table)
+            owner, sums = _sums(batch, find)
             n = np.sqrt(np.einsum("ij,ij->i", sums, sums))
             found = result(sums[n > 0] / n[n > 0, None])
             has = np.zeros(len(batch), bool)
@@ -120,24 +148,19 @@ def _per_sentence(held: tuple[list[str], np.ndarray], result: Callable[[np.ndarr
             values = pa.array(np.ascontiguousarray(found).ravel())
             yield pa.ListArray.from_arrays(offsets, values, mask=pa.array(~has))
 
-    return run(words)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<double>").asNondeterministic()(words)
 
 
-def _batched(rows: DataFrame, held: tuple[list[str], np.ndarray], words: str) -> DataFrame:
-    return rows.withColumn("vector", _per_sentence(held, lambda units: units, F.col(words), rows))
-
-
-def sentence_scores(rows: DataFrame, vectors: DataFrame, units: np.ndarray, words: str = "words", limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def sentence_scores(
+    rows: DataFrame, vectors: DataFrame | VectorStore, units: np.ndarray, words: str = "words", limit_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """rows with a column scores: the products of a sentence's vector with the columns of units, null without a vector.
 
-    Where the matrix of vectors can be broadcast, sums and products are made in one pass and no vector leaves it.
+    Sums and products are made in one pass and no vector leaves it.
     """
-    held = matrix(vectors, limit_bytes)
-    if held is not None:
-        return rows.withColumn("scores", _per_sentence(held, lambda x: x @ units, F.col(words), rows))
-    made = _joined(rows, vectors, words)
-    scores = F.array(*(V.dot_with(F.col("vector"), u) for u in units.T))
-    return made.withColumn("scores", F.when(F.col("vector").isNotNull(), scores)).drop("vector")
+    held = vectors if isinstance(vectors, VectorStore) else source(vectors, limit_bytes)
+    return rows.withColumn("scores", _per_sentence(held, lambda x: x @ units, F.col(words), rows))
 
 
 def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:

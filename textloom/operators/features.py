@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.columns import let
+
 # The domain of mood ids.
 MOOD_LAST = 134
 MOODS_INVALID = (50, 94)
@@ -20,8 +22,30 @@ def single_mood(moods: Column) -> Column:
     return F.when(F.size(moods) == 1, moods[0])
 
 
-def bag_of_words(rows: DataFrame, keys: list[str], words: str = "words") -> DataFrame:
-    """(keys, word, cnt): repeated words of one row added up, combined before the shuffle."""
+def bag(words: str | Column) -> Column:
+    """array<struct<word, cnt>> of a row's words, ordered by word: equal words stand together once sorted."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return let(
+            starts,
+            lambda s: F.transform(
+                s, lambda i, k: F.struct(F.get(w, i).alias("word"), (F.coalesce(F.get(s, k + 1), F.size(w)) - i).cast("long").alias("cnt"))
+            ),
+        )
+
+    column = F.col(words) if isinstance(words, str) else words
+    none = F.array().cast("array<struct<word:string,cnt:bigint>>")
+    return F.when(F.size(column) > 0, let(F.array_sort(column), runs)).otherwise(none)
+
+
+def bag_of_words(rows: DataFrame, keys: list[str], words: str = "words", one_row: bool = False) -> DataFrame:
+    """(keys, word, cnt): repeated words added up, combined before the shuffle.
+
+    one_row: each key has one row, so its words are added up inside it and nothing is shuffled.
+    """
+    if one_row:
+        return rows.select(*keys, F.inline(bag(words)))
     return rows.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("cnt"))
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +99,8 @@ def score_words(sentences: DataFrame, vectors: DataFrame, units: dict[int, np.nd
         return score(sentences.withColumn("vector", F.lit(None).cast("array<double>")), units)
     out = []
     for block in (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)):
-        scored = sentence_scores(sentences, vectors, np.stack([units[k] for k in block]).T).filter("scores IS NOT NULL")
+        # A sentence without a vector has null scores, of which inline makes no row.
+        scored = sentence_scores(sentences, vectors, np.stack([units[k] for k in block]).T)
         pairs = F.arrays_zip(F.array(*(F.lit(k).cast("long") for k in block)).alias("query_id"), F.col("scores").alias("score"))
         out.append(scored.select(*sentences.columns, F.inline(pairs)))
     return reduce(DataFrame.unionByName, out)
@@ -122,6 +124,52 @@ def _batch(known: DataFrame, rest: list[str], units: dict[int, np.ndarray], ids:
     return scored.select(*rest, F.inline(pairs))
 
 
+def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows (key, vector) as blocks of at most size unit vectors: keys array, units binary. Zero and null vectors go."""
+    fields = f"keys array<{rows.schema[key].dataType.simpleString()}>, units binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, size) for k in range(0, batch.num_rows, size)):
+                table = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                n = np.sqrt(np.einsum("ij,ij->i", table, table))
+                keys = part.column(key).filter(pa.array(n > 0))
+                if len(keys):
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                    units = pa.array([(table[n > 0] / n[n > 0, None]).tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([lists, units], names=["keys", "units"])
+
+    return rows.filter(F.col("vector").isNotNull()).select(key, "vector").mapInArrow(pack, fields)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, block: int = 1024) -> DataFrame:
+    """(query_id, key, score, rank): the k rows of greatest cosine for each query vector; equal rounded scores go by key.
+
+    Both sides are packed into blocks; each pair of blocks is one product, of which k rows a query leave the task. Blocks
+    of queries meet blocks of rows in Spark, so neither passes through the driver.
+    """
+    a, b = _packed(queries, key, block), _packed(rows, key, block)
+    pairs = b.crossJoin(a.select(F.col("keys").alias("asked"), F.col("units").alias("wanted")))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, asked = (batch.column(c)[i].values for c in ("keys", "asked"))
+                own, wanted = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(len(x), -1) for c, x in (("units", keys), ("wanted", asked)))
+                scores = np.round(wanted @ own.T, DIGITS)
+                most = min(k, len(keys))
+                # All that reach the k-th score: which of equals stay is told by key, later.
+                least = np.partition(scores, len(keys) - most, axis=1)[:, len(keys) - most]
+                q, r = np.nonzero(scores >= least[:, None])
+                arrays = [asked.take(pa.array(q)), keys.take(pa.array(r)), pa.array(scores[q, r])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", key, "score"])
+
+    found = pairs.mapInArrow(score_blocks, f"query_id {kind}, {key} {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return found.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
+
+
 def exclusion(words: str, exclude: str | None, how: str = "substring") -> Column:
     """Whether a sentence stays: exclude is a substring, a regex, or words parted by spaces (how = words)."""
     if exclude is None:
@@ -169,6 +217,9 @@ def search(
 ) -> DataFrame:
     """The k nearest sentences of each query. sentences has keys, words, n_words and, unless it is to be made, vector."""
     units = query_vectors(query_terms(sentences.sparkSession, queries), vectors)
+    if dedupe != "pre":
+        # Before any vector is made; top_scores tests them once more, at no cost to speak of.
+        sentences = sentences.filter((F.col("n_words") >= min_words) & exclusion("words", exclude, how))
     if "vector" not in sentences.columns and method == "batch":
         scored = score_words(sentences, vectors, units)
     else:

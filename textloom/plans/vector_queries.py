@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import vectors as VX
 from textloom.operators import embedding as E
 from textloom.operators import features as X
 from textloom.operators import keyword as K
@@ -17,6 +16,7 @@ from textloom.operators import semantic as Q
 from textloom.operators import sentences as S
 from textloom.operators import vocabulary as V
 from textloom.operators import weighting as W
+from textloom.session import cut_lineage, stored
 from textloom.sources.files import spread, table
 
 from .registry import SENTENCE_VECTORS, TOK, VECTORS, labelled, posts, query, vocabulary_sql
@@ -28,11 +28,12 @@ FLAGSHIP = "the [2] and"
 BATCH = ("the [2] and", ("the", "of [3] and"), "in [-1] to the")
 
 
-def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, vector) of the words with word_id = vec_id + 1. There are as many as embeddings; they are kept."""
-    vocabulary = V.build(posts(spark, sf_dir), most=None)
-    given = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("word_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return vocabulary.join(given, "word_id").select("word", "vector").persist()
+def word_vectors(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """(word, vector) of the words with word_id = vec_id + 1, written once: as many as embeddings has ids are numbered."""
+    own = posts(spark, sf_dir) if own is None else own
+    given = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("word_id"), F.col("embedding").alias("vector"))
+    most = given.agg(F.max("word_id")).first()[0] or 0
+    return cut_lineage(V.first_words(own, most).join(given, "word_id").select("word", "vector"))
 
 
 def sentence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +117,7 @@ def q08_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q04_query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query over a reproducible three tenths of the posts, with their own vocabulary."""
     own = posts(spark, sf_dir).filter(F.col("post_id") % 10 < 3)
-    given = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("word_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    vectors = V.build(own, most=None).join(given, "word_id").select("word", "vector").persist()
+    vectors = word_vectors(spark, sf_dir, own)
     rows = S.sentences(own).select("post_id", "sent", "words", "n_words")
     return _shown(Q.search(rows, vectors, [FLAGSHIP], 20, min_words=0))
 
@@ -157,12 +157,12 @@ _UNIT = _SCORED.replace(
 @query(_UNIT + _top_sql("query_id = 0 AND n_words >= 15", 20))
 def q13_unit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word vector is divided by its length first."""
-    return _search(spark, sf_dir, [FLAGSHIP], 20, vectors=E.unit_words(word_vectors(spark, sf_dir)).persist())
+    return _search(spark, sf_dir, [FLAGSHIP], 20, vectors=E.unit_words(word_vectors(spark, sf_dir)))
 
 
 @query(_SCORED.replace("ON word_id = vec_id + 1)", "ON word_id = vec_id + 1 WHERE word NOT IN ('a', 'in', 'with'))", 1) + _top_sql("query_id = 0 AND n_words >= 15", 20))
 def e03_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, [FLAGSHIP], 20, vectors=E.without_stop_words(word_vectors(spark, sf_dir), ["a", "in", "with"]).persist())
+    return _search(spark, sf_dir, [FLAGSHIP], 20, vectors=E.without_stop_words(word_vectors(spark, sf_dir), ["a", "in", "with"]))
 
 
 @query(f"SELECT CAST(query_id AS BIGINT) AS query_id, word, CAST(weight AS DOUBLE) AS weight FROM (VALUES {_TERMS}) AS t(query_id, word, weight)")
@@ -184,13 +184,20 @@ def q02_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SENTENCE_VECTORS + " SELECT post_id, sent, " + ", ".join(f"round(max(sv.v) FILTER (d = {i}) / any_value(n), 6) AS v{i}" for i in (0, 31, 63)) + " FROM sv JOIN sn USING (post_id, sent) WHERE n > 0 GROUP BY ALL")
 def e04_sentence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words"), word_vectors(spark, sf_dir), method="batch")
+    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words"), word_vectors(spark, sf_dir))
+    return rows.filter("vector IS NOT NULL").select("post_id", "sent", *(F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in (0, 31, 63)))
+
+
+@query(SENTENCE_VECTORS + " SELECT post_id, sent, " + ", ".join(f"round(max(sv.v) FILTER (d = {i}) / any_value(n), 6) AS v{i}" for i in (0, 31, 63)) + " FROM sv JOIN sn USING (post_id, sent) WHERE n > 0 GROUP BY ALL")
+def e04_mapped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the vectors in files that tasks map, as for matrices over the broadcast's limit."""
+    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words"), word_vectors(spark, sf_dir), method="store")
     return rows.filter("vector IS NOT NULL").select("post_id", "sent", *(F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in (0, 31, 63)))
 
 
 @query(SENTENCE_VECTORS + " SELECT post_id, sent, " + ", ".join(f"round(max(sv.v) FILTER (d = {i}) / any_value(n), 6) AS v{i}" for i in (0, 31, 63)) + " FROM sv JOIN sn USING (post_id, sent) WHERE n > 0 GROUP BY ALL")
 def j03_bag_times_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by joins, as for vectors too large to broadcast."""
+    """The same by joins."""
     rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words"), word_vectors(spark, sf_dir), method="join")
     return rows.filter("vector IS NOT NULL").select("post_id", "sent", *(F.round(F.col("vector")[i], 6).alias(f"v{i}") for i in (0, 31, 63)))
 
@@ -211,12 +218,9 @@ def a14_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
   / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score
   FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) SELECT a AS query_id, b AS vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p) WHERE rank <= 10""")
 def o03_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 100 against all, in blocks of 256: the ten nearest of each."""
-    unit = VX.scaled(F.col("embedding"), 1 / F.nullif(VX.norm(F.col("embedding")), F.lit(0.0)))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0).alias("n_words"), unit.alias("vector"))
-    asked = rows.filter("vec_id % 100 = 0 AND vector[0] IS NOT NULL").orderBy("vec_id").select("vec_id", "vector")
-    units = {r["vec_id"]: np.array(r["vector"]) for r in asked.toLocalIterator()}
-    return Q.top_scores(Q.score(rows, units), 10, ["vec_id"], dedupe=None).select("query_id", "vec_id", "score", "rank")
+    """Every vector whose id is divisible by 100 against all: the ten nearest of each."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return Q.nearest(rows.filter("vec_id % 100 = 0"), rows, 10, "vec_id")
 
 
 @query("SELECT doc_id, n_chars, rank FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 10 AS rank FROM documents) WHERE rank BETWEEN 1 AND 20")
@@ -269,18 +273,17 @@ def w04_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + TOK + " SELECT post_id, w AS word, round(sqrt(count(*)), 6) AS weight FROM tok GROUP BY ALL")
 def w05_square_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weights of every post's words."""
-    return W.square_root(X.bag_of_words(posts(spark, sf_dir), ["post_id"])).select("post_id", "word", F.round("weight", 6).alias("weight"))
+    return W.square_root(X.bag_of_words(posts(spark, sf_dir), ["post_id"], one_row=True)).select("post_id", "word", F.round("weight", 6).alias("weight"))
 
 
 @query("WITH " + TOK + """, bow AS (SELECT post_id, w AS word, count(*) AS cnt FROM tok GROUP BY ALL), n AS (SELECT count(DISTINCT post_id) AS n FROM bow WHERE post_id % 4 <> 0),
 idf AS (SELECT word, ln(any_value(n.n)::DOUBLE) - ln(count(*)::DOUBLE) AS idf FROM bow, n WHERE post_id % 4 <> 0 GROUP BY word)
 SELECT post_id, word, round(cnt * coalesce(idf, 0.0), 6) AS weight FROM bow LEFT JOIN idf USING (word)""")
 def w06_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training posts (id not divisible by four) give the idf; all posts are weighted."""
-    own = posts(spark, sf_dir).filter(F.size("words") > 0)
-    bow = X.bag_of_words(own, ["post_id"])
+    """Training posts (id not divisible by four) give the idf; all posts are weighted. Posts are tokenised once."""
+    bags = stored(posts(spark, sf_dir).select("post_id", X.bag("words").alias("bag")).filter(F.size("bag") > 0), "bags")
     train = F.col("post_id") % 4 != 0
-    n = own.filter(train).count()
+    n, bow = bags.filter(train).count(), bags.select("post_id", F.inline("bag"))
     return W.tfidf(bow, W.inverse_frequency(bow.filter(train), n)).select("post_id", "word", F.round("weight", 6).alias("weight"))
 
 

@@ -49,3 +49,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint df into the shared folder: it survives lost executors and is computed once."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet (smaller than a checkpoint) into the shared folder, and read again."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
