@@ -12,6 +12,7 @@ from textloom.operators import keyword as K
 from textloom.operators import learners as L
 from textloom.operators import metrics as MX
 from textloom.operators import moodspace as MS
+from textloom.operators import postings as P
 from textloom.operators import semantic as Q
 from textloom.operators import sentences as S
 from textloom.operators import vocabulary as V
@@ -19,7 +20,7 @@ from textloom.operators import weighting as W
 from textloom.session import cut_lineage, stored
 from textloom.sources.files import spread, table
 
-from .registry import SENTENCE_VECTORS, TOK, VECTORS, labelled, posts, query, vocabulary_sql
+from .registry import ORACLES, SENTENCE_VECTORS, TOK, VECTORS, labelled, posts, query, vocabulary_sql
 from .text_queries import MOODS
 
 DIM = 64
@@ -346,6 +347,23 @@ def k02_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.search_batch(search_table(spark, sf_dir), list(SEARCHES), 10).select("query_id", "post_id", "score", "rank")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> P.Index:
+    return P.build_index(stored(search_table(spark, sf_dir).select("post_id", "tokens_ptext", "tokens_user"), "analysed"))
+
+
+@query(_TERM_RANK)
+def k03_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a positional index: built here, then only the blocks of the words are read."""
+    hits = P.search_index(search_index(spark, sf_dir), spark, [SEARCHES[0], [K.part("time"), _WOR], SEARCHES[3]], 10)
+    return hits.select("query_id", "post_id", "score", "rank")
+
+
+@query(ORACLES["k02_search_batch"])
+def k02_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, phrases, prefixes, fields and signs, from the index."""
+    return P.search_index(search_index(spark, sf_dir), spark, list(SEARCHES), 10)
+
+
 @query(rf"WITH t AS (SELECT doc_id AS post_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+')) AS term FROM documents) SELECT term, post_id, count(*) AS tf FROM t WHERE term NOT IN ({_STOPS}) GROUP BY ALL")
 def k03_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("ptext"))
