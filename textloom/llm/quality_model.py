@@ -132,7 +132,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
             part = sums[k * rows : (k + 1) * rows].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "sums": pa.array([part], pa.binary())})
 
-    def adder(width: int):
+    def adder(width: int, last: bool):
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, block = np.zeros(rows * DIM, np.int64), None
             for batch in batches:
@@ -140,8 +140,8 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
                     block = k
                     total += np.ascontiguousarray(np.frombuffer(part.as_buffer(), np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel()
             if block is not None:
-                part = total.view(np.uint8).reshape(-1, 8).T.tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([part], pa.binary())})
+                part = _finished(total.reshape(rows, DIM), block) if last else total.view(np.uint8).reshape(-1, 8).T
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([part.tobytes()], pa.binary())})
 
         return add
 
@@ -149,13 +149,17 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     parts, width, salts = docs.select(text).mapInArrow(count, schema), 4, adding_salts(docs.rdd.getNumPartitions())
     if salts > 1:
         salted = parts.repartitionById(BLOCKS * salts, F.col("block") * salts + F.spark_partition_id() % salts)
-        parts, width = salted.mapInArrow(adder(4), schema), 8
-    total = np.zeros((BUCKETS, DIM), np.float64)
-    for row in parts.repartitionById(BLOCKS, F.col("block")).mapInArrow(adder(width), schema).collect():  # BLOCKS rows, 32 MB
-        part = np.ascontiguousarray(np.frombuffer(row["sums"], np.uint8).reshape(8, -1).T).view("<i8")
-        total[row["block"] * rows : (row["block"] + 1) * rows] = part.reshape(rows, DIM)
-    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return (total + index_vectors(BUCKETS, DIM, 1) / np.sqrt(NONZERO)).astype(np.float16)
+        parts, width = salted.mapInArrow(adder(4, False), schema), 8
+    vectors = np.concatenate([_finished(np.zeros((rows, DIM), np.int64), k) for k in range(BLOCKS)])
+    for row in parts.repartitionById(BLOCKS, F.col("block")).mapInArrow(adder(width, True), schema).toLocalIterator():  # BLOCKS rows, 8 MB
+        vectors[row["block"] * rows : (row["block"] + 1) * rows] = np.frombuffer(row["sums"], np.float16).reshape(rows, DIM)
+    return vectors
+
+
+def _finished(sums: np.ndarray, block: int) -> np.ndarray:
+    """A block's vectors from its sums: normalised, with each row's own index vector."""
+    own = index_vectors(BUCKETS, DIM, 1)[block * len(sums) : (block + 1) * len(sums)]
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) + own / np.sqrt(NONZERO)).astype(np.float16)
 
 
 def adding_salts(tasks: int) -> int:
