@@ -193,7 +193,7 @@ def _wanted(index: Index, spark: SparkSession, parts: dict[Part, int]) -> DataFr
 
 
 def _idf2(posts: int, df: int) -> float:
-    return (1 + math.log(posts / (df + 1))) ** 2
+    return (1 + math.log(max(1, posts) / (df + 1))) ** 2
 
 
 def plan_search(index: Index, spark: SparkSession, queries: dict[int, list[Part]], k: int) -> Search:
@@ -271,16 +271,23 @@ def search_index(index: Index, spark: SparkSession, queries: Sequence[Query], k:
             found = found.unionAll(agree.groupBy("part", "post").agg(F.count("*").alias("tf"), F.max("length").alias("length")))
         df |= {r["part"]: r["n"] for r in found.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
         whole = whole.unionByName(found)
-    uses = [(q, search.parts[replace(p, need="may")], p.need, _idf2(index.posts, df.get(search.parts[replace(p, need="may")], 0))) for q, ps in own.items() for p in ps]
+    return rank_parts(whole, search.parts, own, index.posts, df, k, key)
+
+
+def rank_parts(rows: DataFrame, parts: dict[Part, int], queries: dict[int, list[Part]], posts: int, df: dict[int, int], k: int, key: str) -> DataFrame:
+    """The k best posts of each query from rows (part, post, tf, length) of its parts; df counts a part's posts."""
+    spark = rows.sparkSession
+    number = lambda p: parts[replace(p, need="may")]
+    uses = [(q, number(p), p.need, _idf2(posts, df.get(number(p), 0))) for q, ps in queries.items() for p in ps]
     asked = F.broadcast(spark.createDataFrame(uses, "query_id long, part int, need string, idf2 double"))
-    musts = {q: sum(p.need == "must" for p in ps) for q, ps in own.items()}
+    musts = [(q, sum(p.need == "must" for p in ps)) for q, ps in queries.items()]
+    wanted = F.broadcast(spark.createDataFrame(musts, "query_id long, musts int"))
     weight = F.sqrt(F.col("tf").cast("double")) * F.col("idf2") / F.sqrt(F.greatest("length", F.lit(1)).cast("double"))
     count: dict[str, Column] = {n: F.count_if(F.col("need") == n) for n in ("must", "may", "not")}
-    met = whole.join(asked, "part").groupBy("query_id", "post").agg(
+    met = rows.join(asked, "part").groupBy("query_id", "post").agg(
         F.round(F.sum(F.when(F.col("need") != "not", weight)), 6).alias("score"), *(c.alias(n) for n, c in count.items())
     )
-    must = F.create_map(*(F.lit(x) for q, n in musts.items() for x in (q, n)))[F.col("query_id")]
-    good = met.filter((F.col("not") == 0) & F.when(must > 0, F.col("must") == must).otherwise(F.col("may") > 0))
+    good = met.join(wanted, "query_id").filter((F.col("not") == 0) & F.when(F.col("musts") > 0, F.col("must") == F.col("musts")).otherwise(F.col("may") > 0))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "post"))
     ranked = good.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("post").alias(key), "score", "rank")

@@ -13,8 +13,11 @@ from textloom.operators import learners as L
 from textloom.operators import metrics as MX
 from textloom.operators import moodspace as MS
 from textloom.operators import postings as P
+from textloom.operators import saved_searches as SV
 from textloom.operators import semantic as Q
 from textloom.operators import sentences as S
+from textloom.operators import sparse_learner as SL
+from textloom.operators import vector_index as VI
 from textloom.operators import vocabulary as V
 from textloom.operators import weighting as W
 from textloom.session import cut_lineage, stored
@@ -98,6 +101,14 @@ def q05_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, list(BATCH), 100)
 
 
+@query(_SCORED + _top_sql("n_words >= 15", 100))
+def q05_stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored vectors: rows that can't be among the best are told by their bounds and not read or not scored."""
+    vectors = word_vectors(spark, sf_dir)
+    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words"), vectors)
+    return _shown(VI.search_index(VI.build_index(rows), spark, vectors, list(BATCH), 100).hits)
+
+
 @query(_SCORED + _top_sql("n_words >= 15 AND NOT regexp_matches(array_to_string(words, ' '), ' (a|to) ')", 50))
 def p07_exclude_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, list(BATCH), 50, exclude=" (a|to) ", how="regex")
@@ -364,6 +375,22 @@ def k02_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.search_index(search_index(spark, sf_dir), spark, list(SEARCHES), 10)
 
 
+@query(rf"""WITH b AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPS}))[1:5]) AS term FROM benchmark
+), a AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL
+), p AS (SELECT doc_id AS post_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'), lambda x: x NOT IN ({_STOPS})) AS t FROM documents
+), t AS (SELECT post_id, len(t) AS n, unnest(t) AS term FROM p
+), c AS (SELECT post_id, any_value(n) AS n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM a) GROUP BY post_id, term
+), d AS (SELECT term, pow(1 + ln((SELECT count(*) FROM documents)::DOUBLE / (count(*) + 1)), 2) AS idf2 FROM c GROUP BY term
+), s AS (SELECT item_id, post_id, round(sum(times * sqrt(tf::DOUBLE) * idf2 / sqrt(n::DOUBLE)), 6) AS score FROM a JOIN c USING (term) JOIN d USING (term) GROUP BY ALL)
+SELECT item_id, post_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, post_id) AS rank FROM s) WHERE rank <= 10""")
+def k04_saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved search for each benchmark item (any of its first five words), all run in one pass over the posts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(K.analyse("text"), 1, 5).alias("words")).orderBy("item_id").collect()  # the stated searches
+    hits = SV.search_many(search_table(spark, sf_dir), [[K.part(w) for w in r["words"]] for r in items], 10)
+    names = F.broadcast(spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(items)], "query_id long, item_id long"))
+    return hits.join(names, "query_id").select("item_id", "post_id", "score", "rank")
+
+
 @query(rf"WITH t AS (SELECT doc_id AS post_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+')) AS term FROM documents) SELECT term, post_id, count(*) AS tf FROM t WHERE term NOT IN ({_STOPS}) GROUP BY ALL")
 def k03_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("ptext"))
@@ -498,6 +525,31 @@ def m04_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(rows.filter(F.col("post_id") % 4 == 0)).select("post_id", "label", "prediction")
 
 
+@query()
+def m01_joint_moods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All moods in one model, trained in one job a pass; tests compare its steps with numpy's."""
+    rows = labelled(spark, sf_dir).withColumn("label", F.col("mood"))
+    train = F.col("post_id") % 4 != 0
+    model = SL.train(rows.filter(train), [1, 2], passes=10)
+    return SL.predict(model, rows.filter(~train)).select("post_id", "label", F.round("p_2", 6).alias("score"), "predicted")
+
+
+@query()
+def m02_joint_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original's 18 grid points for each mood, trained together, and their areas over a held-out quarter."""
+    rows = labelled(spark, sf_dir).withColumn("label", F.col("mood"))
+    model = SL.train(rows.filter("post_id % 4 <> 0"), [1, 2], SL.GRID, passes=3, batches=2, binary=True)
+    return SL.grid_scores(model, rows.filter("post_id % 4 = 0"))
+
+
+@query()
+def m04_sparse_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """75,000 words, 200 hidden units; no weight passes through the driver."""
+    rows = labelled(spark, sf_dir).withColumn("label", F.col("mood"))
+    model = SL.train(rows.filter("post_id % 4 <> 0"), [1, 2], (SL.Point(0.5, 0.4, 1e-4),), hidden=200, passes=3, batches=2)
+    return SL.predict(model, rows.filter("post_id % 4 = 0")).select("post_id", "label", F.round("p_2", 6).alias("score"), "predicted")
+
+
 @query()
 def e01_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.model_vectors(E.train_word2vec(posts(spark, sf_dir).select("words")))
