@@ -34,6 +34,15 @@ def test_xml_posts(spark, xml):
     assert [r["user"] for r in posts.user_names(spark, xml).orderBy("user_id").collect()] == ["u1", "u2"]
 
 
+@pytest.mark.parametrize("between", ["", "\n", '<?xml version="1.0"?>'])
+def test_files_of_several_documents(spark, tmp_path, between):
+    (tmp_path / "both.xml").write_text(between.lstrip() + ONE + between + TWO)
+    assert [r["text"] for r in posts.read_posts(spark, str(tmp_path)).orderBy("user", "pos").collect()] == ["hi x there :-) . yes!", None, "two", "own"]
+    one = "<posts><post><user>{}</user><event><string>x</string></event></post></posts>"
+    (tmp_path / "both.xml").write_text(one.format("u") + between + one.format("v"))
+    assert sorted(r["user"] for r in posts.read_posts_strict(spark, str(tmp_path)).collect()) == ["u", "v"]
+
+
 def test_strict_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<posts><post><user>u</user><event><string>&lt;b&gt;x&lt;/b&gt;</string></event></post></posts>")
     assert [tuple(r) for r in posts.read_posts_strict(spark, str(tmp_path)).collect()] == [("u", "x")]

@@ -13,6 +13,8 @@ from textloom.session import shared_folder
 from textloom.sources import files
 from textloom.sources import posts as P
 from textloom.sources.files import table
+from textloom.sources.mini_batches import mini_batches
+from textloom.streaming import ingest
 
 from . import vector_queries as VQ
 from .registry import ORACLES, TOK, TOKEN_SQL, canonical_sql, posts, query, vocabulary_sql
@@ -43,6 +45,28 @@ def p01_xml_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("item_id").cast("long").alias("item_id"), "user", F.col("mood_id").cast("long").alias("mood_id"), words)
 
 
+@query(f"""WITH t AS (SELECT unnest({_words_sql(_CLEAN)}) AS w FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0
+), c AS (SELECT w AS word, count(*) AS cnt FROM t GROUP BY w)
+SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) AS word_id FROM c""")
+def s03_tokenised_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts arrive as XML files in two lots; each run tokenises the new files only, and the dictionary counts all."""
+    folder, target = shared_folder(spark, "arriving"), shared_folder(spark, "tokenised")
+    post = F.struct(F.col("source").alias("user"), F.struct(F.col("text").alias("string")).alias("event"))
+    for k in range(2):
+        lot = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == k).select(F.array(post).alias("post"))
+        lot.write.mode("append").option("rowTag", "posts").option("rootTag", "export").option("extension", "xml").format("xml").save(folder)
+        ingest.tokenise_new(spark, folder, target)
+    return ingest.dictionary(spark, target).select("word", "cnt", "word_id")
+
+
+@query("SELECT k // 1000 AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1")
+def s11_mini_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in files of at most 700 rows, dealt into batches of 1,000: the rows that each batch has."""
+    folder = shared_folder(spark, "orders")
+    files.write_table(table(spark, sf_dir, "orders").select("o_orderkey"), folder, rows_per_file=700)
+    return mini_batches(spark, folder, 1000).groupBy("batch").agg(F.count("*").alias("n"))
+
+
 @query(f"""SELECT source AS "user", md5(array_to_string({_words_sql(_CLEAN)}, ' ')) AS words_md5, count(*) AS n
 FROM documents WHERE source IS NOT NULL AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 GROUP BY ALL""")
 def s02_strict_xml(spark: SparkSession, sf_dir: str) -> DataFrame:

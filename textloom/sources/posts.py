@@ -14,14 +14,23 @@ SCHEMA = """post ARRAY<STRUCT<user: STRING, itemid: STRUCT<int: INT>, event: STR
  event_timestamp: STRUCT<int: BIGINT>, current_moodid: ARRAY<STRUCT<int: INT>>, current_mood: STRUCT<string: STRING>>>"""
 
 
+#: Spark's newer XML parser ends at the first document of a file; this one reads all that follow one another.
+WHOLE_FILE = {"useLegacyXMLParser": "true"}
+
+
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     """One row a post: file, user, item_id, text, posted_at, mood_id, custom_mood.
 
     Files may hold several documents one after the other. A post without a text keeps its row with a null text;
     a post with no or several mood ids has a null mood_id. Many small files are packed into one task by Spark.
     """
-    blocks = spark.read.format("xml").option("rowTag", "posts").schema(SCHEMA).load(path)
-    rows = blocks.select(file_name().alias("file"), F.posexplode("post").alias("pos", "p"))
+    blocks = spark.read.format("xml").options(rowTag="posts", **WHOLE_FILE).schema(SCHEMA).load(path)
+    return rows_of(blocks.select(F.col("_metadata.file_name").alias("_name"), "post"))
+
+
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """One row a post from blocks (_name, post)."""
+    rows = blocks.select(bare_name("_name").alias("file"), F.posexplode("post").alias("pos", "p"))
     mood = single_mood(F.filter("p.current_moodid", lambda m: F.lit(True)))
     return rows.select(
         "file",
@@ -41,15 +50,15 @@ def read_posts_strict(spark: SparkSession, path: str) -> DataFrame:
     The error comes when the rows are read. Entities are decoded, then markup goes.
     """
     schema = "user ARRAY<STRING>, event ARRAY<STRUCT<string: STRING>>"
-    rows = spark.read.format("xml").option("rowTag", "post").schema(schema).load(path)
+    rows = spark.read.format("xml").options(rowTag="post", **WHOLE_FILE).schema(schema).load(path)
     whole = (F.size("user") == 1) & (F.size(F.filter("event", lambda e: e["string"].isNotNull())) == 1)
     checked = rows.withColumn("_ok", F.when(whole, True).otherwise(F.raise_error(F.lit("a post needs one user and one event text"))))
     return checked.filter("_ok").select(F.col("user")[0].alias("user"), T.clean_markup(F.col("event")[0]["string"]).alias("text"))
 
 
-def file_name(extension: str = "xml") -> Column:
-    """The name of the row's file without its extension: the external name of a user's file."""
-    return F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*?)(\.{extension})?$", 1)
+def bare_name(name: str, extension: str = "xml") -> Column:
+    """A file's name without its extension: the external name of a user's file."""
+    return F.regexp_extract(F.col(name), rf"^(.*?)(\.{extension})?$", 1)
 
 
 def number_names(paths: DataFrame) -> DataFrame:
