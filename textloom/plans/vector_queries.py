@@ -565,6 +565,11 @@ def m10_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MS.nmf(_user_moods(spark, sf_dir), list(MOODS), rank=3)[0]
 
 
+@query()
+def m10_sparse_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MS.sfa(_user_moods(spark, sf_dir), list(MOODS), rank=3, passes=12)[0]
+
+
 @query()
 def m10_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
