@@ -38,8 +38,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).join(labels, "post_id")
 
 
-TOKEN_SQL = T.TOKEN.replace("'", "''")
-EMOTICON_SQL = T.EMOTICON.replace("'", "''")
+#: The lexical rules, said again for the SQL, so that a change of the library's shows.
+EMOTICON_SQL = r"""<[\\/]?3+|[)(\]\[]-[:;8=]|[(\[][:;8=]|:''-?\(|[:;]o\)|:-\|{1,2}|:\^\)|>?:-?<|>?[:;]-[(\[{O]|>?[:;=][(\[{O]|[:;=]-?[>)}PD/o\]\\]|[8:]-?D|:@|:\||D:<?|D[8=]|8\)|\^[-_]\^"""
+TOKEN_SQL = rf"""\.\.+|https?://|{EMOTICON_SQL}|-?[0-9]+\.[0-9]*|-?[0-9]+|[a-zA-Z_]+|[;:,.?!]"""
+BASE64_SQL = r"<base64>[^<>]+</base64>"
+MARKUP_SQL = r"<[^&<=>]{1,15}>|<[^&<=>]*=[^&<>]*>|<![^&<>]*>|</?[wo]:[^&<>]*>|</?st[0-9]:[^&<>]*>|<option +selected>|&(?:nbsp|quot|amp);|&#xD;|\r"
 
 
 def canonical_sql(x: str) -> str:

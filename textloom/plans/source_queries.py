@@ -17,14 +17,14 @@ from textloom.sources.mini_batches import mini_batches
 from textloom.streaming import ingest
 
 from . import vector_queries as VQ
-from .registry import ORACLES, TOK, TOKEN_SQL, canonical_sql, posts, query, vocabulary_sql
+from .registry import BASE64_SQL, MARKUP_SQL, ORACLES, TOK, TOKEN_SQL, canonical_sql, posts, query, vocabulary_sql
 
 
 def _words_sql(text: str) -> str:
     return f"list_transform(list_filter(regexp_extract_all({text}, '{TOKEN_SQL}'), lambda x: NOT regexp_matches(x, '^-?[0-9]')), lambda x: {canonical_sql('x')})"
 
 
-_CLEAN = f"regexp_replace(regexp_replace(text, '{T.BASE64}', '', 'g'), '{T.MARKUP}', '', 'g')"
+_CLEAN = f"regexp_replace(regexp_replace(text, '{BASE64_SQL}', '', 'g'), '{MARKUP_SQL}', '', 'g')"
 
 
 @query(f"""SELECT doc_id AS item_id, source AS "user", CASE WHEN doc_id % 3 = 1 THEN doc_id % 134 END AS mood_id, md5(array_to_string({_words_sql(_CLEAN)}, ' ')) AS words_md5

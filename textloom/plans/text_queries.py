@@ -16,7 +16,7 @@ from textloom.sources.posts import locate_posts
 from textloom.session import shared_folder
 from textloom.streaming.moods import mood_windows
 
-from .registry import EMOTICON_SQL, POSTS, SENTS, TOK, TOKEN_SQL, VOCAB, canonical_sql, labelled, posts, query, sentences_sql, vocabulary_sql
+from .registry import BASE64_SQL, EMOTICON_SQL, MARKUP_SQL, POSTS, SENTS, TOK, TOKEN_SQL, VOCAB, canonical_sql, labelled, posts, query, sentences_sql, vocabulary_sql
 
 # Lines that show each lexical rule.
 LINES = (
@@ -32,7 +32,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""SELECT page_id, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS clean_md5 FROM (
-  SELECT page_id, regexp_replace(regexp_replace(html, '{T.BASE64}', '', 'g'), '{T.MARKUP}', '', 'g') AS c FROM pages)""")
+  SELECT page_id, regexp_replace(regexp_replace(html, '{BASE64_SQL}', '', 'g'), '{MARKUP_SQL}', '', 'g') AS c FROM pages)""")
 def t02_clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = table(spark, sf_dir, "pages").select("page_id", T.clean_markup("html").alias("c"))
     return clean.select("page_id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("clean_md5"))

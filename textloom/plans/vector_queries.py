@@ -317,7 +317,8 @@ def search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.analysed(docs.select(F.col("doc_id").alias("post_id"), F.col("text").alias("ptext"), F.col("source").alias("user")))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
+_STOPS = """'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of', 'on', 'or',
+'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with'"""
 
 
 @query(rf"""SELECT doc_id AS post_id, CAST(len(t) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM (
