@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import let
+from textloom.functions.columns import exploded, let
 
 # The domain of mood ids.
 MOOD_LAST = 134
@@ -45,8 +45,8 @@ def bag_of_words(rows: DataFrame, keys: list[str], words: str = "words", one_row
     one_row: each key has one row, so its words are added up inside it and nothing is shuffled.
     """
     if one_row:
-        return rows.select(*keys, F.inline(bag(words)))
-    return rows.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("cnt"))
+        return exploded(rows, keys, bag(words), "_b").select(*keys, "_b.*")
+    return exploded(rows, keys, F.col(words)).groupBy(*keys, "word").agg(F.count("*").alias("cnt"))
 
 
 def moods_per_user(events: DataFrame, user: str = "user_id", mood: str = "mood") -> DataFrame:

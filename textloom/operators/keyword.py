@@ -16,6 +16,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.columns import exploded
+
 # Words that the analyser drops.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
@@ -115,14 +117,14 @@ def _ranked(posts: DataFrame, queries: dict[int, list[Part]], k: int, key: str)
         return F.when(test, F.struct(F.lit(qid).cast("long").alias("query_id"), F.round(total, 6).alias("score")))
 
     hits = F.filter(F.array(*(judged(i, q) for i, q in queries.items())), lambda x: x.isNotNull())
-    flat = rows.select(*shown, F.inline(hits))
+    flat = exploded(rows, shown, hits, "_hit").select(*shown, "_hit.*")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return flat.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
 
 
 def postings(posts: DataFrame, key: str = "post_id", field: str = "ptext") -> DataFrame:
     """(term, key, tf): an inverted table to write by term and look up."""
-    flat = posts.select(key, F.explode(analyse(field)).alias("term"))
+    flat = exploded(posts, [key], analyse(field), "term")
     return flat.groupBy("term", key).agg(F.count("*").cast("long").alias("tf"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.columns import exploded
 from textloom.session import cut_lineage
 
 #: So many words may be ranked in one task.
@@ -50,7 +51,7 @@ def join_words(rows: DataFrame, table: DataFrame, how: str = "inner", most: int
 
 def count_words(posts: DataFrame, words: str = "words") -> DataFrame:
     """(word, cnt) over all posts; counts are combined before the shuffle."""
-    return posts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    return exploded(posts, [], F.col(words)).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def merge(*counts: DataFrame) -> DataFrame:

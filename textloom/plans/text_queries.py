@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.columns import exploded
 from textloom.operators import features as X
 from textloom.operators import moods as M
 from textloom.operators import sentences as S
@@ -65,7 +66,7 @@ _SAID = f"""WITH t AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{TO
 
 
 def _kind_counts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    tokens = _lines(spark, sf_dir).select(F.explode(F.filter(T.tagged_tokens("text"), lambda x: x["kind"] == kind)).alias("t"))
+    tokens = exploded(_lines(spark, sf_dir), [], F.filter(T.tagged_tokens("text"), lambda x: x["kind"] == kind), "t")
     return tokens.groupBy(F.col("t.tok").alias("tok")).agg(F.count("*").alias("n"))
 
 
@@ -175,7 +176,7 @@ def d04_merge_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + TOK + ", " + vocabulary_sql() + " SELECT post_id, count(word_id) AS known, count(*) - count(word_id) AS unknown FROM tok LEFT JOIN vocab ON w = word GROUP BY post_id")
 def d05_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = posts(spark, sf_dir)
-    flat = own.select("post_id", F.explode("words").alias("word"))
+    flat = exploded(own, ["post_id"], F.col("words"))
     coded = V.encode(flat, V.build(own), keep_unknown=True)
     return coded.groupBy("post_id").agg(F.count("word_id").alias("known"), F.count_if(F.col("word_id").isNull()).alias("unknown"))
 

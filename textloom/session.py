@@ -13,6 +13,7 @@ def build_session(app: str = "textloom", cpus: int | str = "*", **conf: str) ->
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
+        .config("spark.driver.memory", "8g")  # tasks run in the driver's JVM here, all cores in one heap
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions import text as T
+from textloom.functions.columns import exploded
 
 
 def mood_windows(events: DataFrame, width: str = "1 day", late: str = "1 day", time: str = "ts", mood: str = "event_type") -> DataFrame:
@@ -18,7 +19,7 @@ def mood_windows(events: DataFrame, width: str = "1 day", late: str = "1 day", t
 
 def word_counts(posts: DataFrame, text: str = "text") -> DataFrame:
     """(word, cnt) so far: a running aggregation whose state is a row for each word."""
-    return posts.select(F.explode(T.words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    return exploded(posts, [], T.words(text)).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 def write_counts(counts: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
