@@ -293,9 +293,9 @@ idf AS (SELECT word, ln(any_value(n.n)::DOUBLE) - ln(count(*)::DOUBLE) AS idf FR
 SELECT post_id, word, round(cnt * coalesce(idf, 0.0), 6) AS weight FROM bow LEFT JOIN idf USING (word)""")
 def w06_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training posts (id not divisible by four) give the idf; all posts are weighted. Posts are tokenised once."""
-    bags = stored(posts(spark, sf_dir).select("post_id", X.bag("words").alias("bag")).filter(F.size("bag") > 0), "bags")
+    bags = stored(posts(spark, sf_dir).select("post_id", X.bag("words").alias("bag")), "bags")
     train = F.col("post_id") % 4 != 0
-    n, bow = bags.filter(train).count(), bags.select("post_id", F.inline("bag"))
+    n, bow = bags.filter(train & (F.size("bag") > 0)).count(), bags.select("post_id", F.inline("bag"))
     return W.tfidf(bow, W.inverse_frequency(bow.filter(train), n)).select("post_id", "word", F.round("weight", 6).alias("weight"))
 
 
