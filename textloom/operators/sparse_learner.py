@@ -18,21 +18,19 @@ words count as none.
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.operators import vocabulary as V
 from textloom.session import cut_lineage, shared_folder, stored
+from textloom.sources import arrays
 
 BUFFER = 32 << 20
 SHARD_BYTES = 16 << 20
@@ -51,30 +49,6 @@ class Point(NamedTuple):
 GRID = tuple(Point(rate, texp, l1) for rate in (0.01, 0.1, 1.0) for texp in (0.25, 0.5) for l1 in (1e-8, 1e-7, 1e-6))
 
 
-def _files(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
-
-
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """The file gets its name when it is complete; attempts of one task write the same numbers."""
-    store, root = _files(folder)
-    store.create_dir(root, recursive=True)
-    body = io.BytesIO()
-    np.save(body, array)
-    own = f"{root}/{uuid.uuid4().hex}.part"
-    with store.open_output_stream(own, compression=None) as out:
-        out.write(body.getbuffer())
-    store.move(own, f"{root}/{name}.npy")
-
-
-def _load(folder: str, name: str) -> np.ndarray:
-    store, root = _files(folder)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.load(f"{root}/{name}.npy", mmap_mode="r")
-    with store.open_input_stream(f"{root}/{name}.npy") as source:
-        return np.load(io.BytesIO(source.read()))
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -116,12 +90,12 @@ class Model(NamedTuple):
         shard = ids // self.rows
         for k in np.unique(shard):
             own = np.flatnonzero(shard == k)
-            out[own] = _load(self.folder, self.name(int(k)))[ids[own] - k * self.rows]
+            out[own] = arrays.load(self.folder, self.name(int(k)))[ids[own] - k * self.rows]
         return out
 
     def top(self) -> np.ndarray:
         """Weights above the hidden layer, the constant's last."""
-        return np.asarray(_load(self.folder, self.name(self.shards)))
+        return np.asarray(arrays.load(self.folder, self.name(self.shards)))
 
     def start(self, shard: int) -> np.ndarray:
         """First weights: zeros, or small random ones where there is a hidden layer."""
@@ -246,7 +220,7 @@ def _update(model: Model, posts: int):
         for batch in batches:
             for k, ids, sums in zip(batch.column("shard").to_pylist(), batch.column("ids"), batch.column("sums")):
                 if shard is None:
-                    shard, old = k, np.array(_load(model.folder, model.name(k)))
+                    shard, old = k, np.array(arrays.load(model.folder, model.name(k)))
                     total = np.zeros_like(old)
                 where = np.frombuffer(ids.as_buffer(), np.int64)
                 if len(where):
@@ -257,11 +231,11 @@ def _update(model: Model, posts: int):
         rate, texp, l1 = (np.tile(per[n], old.shape[1] // len(model.points)) for n in Point._fields)
         loss = total / max(1, posts)
         g = loss + l1 * np.sign(old)
-        squares = np.array(_load(model.folder, f"g{model.step}-{shard}")) + g * g
+        squares = np.array(arrays.load(model.folder, f"g{model.step}-{shard}")) + g * g
         new = old - rate * g / np.sqrt(np.maximum(squares, 1e-20)) / (model.step + 1) ** texp
         after = model._replace(step=model.step + 1)
-        _save(model.folder, after.name(shard), new)
-        _save(model.folder, f"g{after.step}-{shard}", squares)
+        arrays.save(model.folder, after.name(shard), new)
+        arrays.save(model.folder, f"g{after.step}-{shard}", squares)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "gradient": pa.array([float(np.abs(loss).max(initial=0))])})
 
     return run
@@ -289,8 +263,8 @@ def train(
         for batch in batches_:
             for k in batch.column("id").to_pylist():
                 first = base.start(k)
-                _save(base.folder, base.name(k), first)
-                _save(base.folder, f"g0-{k}", np.zeros_like(first))
+                arrays.save(base.folder, base.name(k), first)
+                arrays.save(base.folder, f"g0-{k}", np.zeros_like(first))
             yield batch
 
     spark.range(count).mapInArrow(begin, "id long").count()
@@ -302,21 +276,12 @@ def train(
             parts = ready.filter(F.col("batch") == batch).select("target", "ids", "counts").mapInArrow(_gradients(now, top), PART)
             dealt = parts.unionByName(none).repartitionById(count, F.col("shard"))
             dealt.mapInArrow(_update(now, sizes[batch]), "shard int, gradient double").count()
-            _forget(model, count)
+            # The step before last goes; the last stays for tasks that run twice.
+            arrays.forget(model.folder, (f"{kind}{model.step - 1}-{k}" for kind in "wg" for k in range(count)))
             model = model._replace(step=model.step + 1)
     return model
 
 
-def _forget(model: Model, count: int) -> None:
-    """Remove the files of the step before last; the last stays for tasks that run twice."""
-    store, root = _files(model.folder)
-    for k in range(count):
-        for kind in "wg":
-            path = f"{root}/{kind}{model.step - 1}-{k}.npy"
-            if store.get_file_info(path).type != fs.FileType.NotFound:
-                store.delete_file(path)
-
-
 def probabilities(model: Model, posts: DataFrame, words: str = "words", out: str = "p") -> DataFrame:
     """posts with an array: label by label, each with all grid points."""
     named = posts.withColumn("_words", F.col(words))

@@ -16,6 +16,7 @@ from textloom.operators import postings as P
 from textloom.operators import saved_searches as SV
 from textloom.operators import semantic as Q
 from textloom.operators import sentences as S
+from textloom.operators import skip_gram as SG
 from textloom.operators import sparse_learner as SL
 from textloom.operators import vector_index as VI
 from textloom.operators import vocabulary as V
@@ -556,6 +557,14 @@ def e01_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.model_vectors(E.train_word2vec(posts(spark, sf_dir).select("words")))
 
 
+@query()
+def e01_skip_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skip-gram with negative sampling over the even posts, then taken up from its files over the odd ones; tests plant pairs."""
+    own = stored(posts(spark, sf_dir).select("post_id", "words"), "posts")
+    model = SG.train(SG.start(V.count_words(own)), own.filter("post_id % 2 = 0"))
+    return SG.vectors(spark, SG.train(SG.load(model.folder), own.filter("post_id % 2 <> 0 OR post_id IS NULL")))
+
+
 def _user_moods(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = X.moods_per_user(table(spark, sf_dir, "events"), mood="event_type")
     return X.mood_table(counts, list(MOODS), mood="event_type")
