@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import features as X
 from textloom.operators import moods as M
 from textloom.operators import semantic as Q
 from textloom.operators import vocabulary as V
@@ -14,10 +15,11 @@ from textloom.sources import files
 from textloom.sources import posts as P
 from textloom.sources.files import table
 from textloom.sources.mini_batches import mini_batches
+from textloom.sources.sparse_matrix import read_matrix, write_matrix
 from textloom.streaming import ingest
 
 from . import vector_queries as VQ
-from .registry import BASE64_SQL, MARKUP_SQL, ORACLES, TOK, TOKEN_SQL, canonical_sql, posts, query, vocabulary_sql
+from .registry import BASE64_SQL, MARKUP_SQL, ORACLES, TOK, TOKEN_SQL, canonical_sql, labelled, posts, query, vocabulary_sql
 
 
 def _words_sql(text: str) -> str:
@@ -143,6 +145,32 @@ def s10_saved_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("k long, tpr double, fpr double").option("header", True).csv(folder)
 
 
+_LABELLED_WORDS = "WITH " + TOK + ", " + vocabulary_sql() + ", e AS (SELECT post_id, word_id, count(*) AS cnt FROM tok JOIN labels ON doc_id = post_id JOIN vocab ON w = word GROUP BY ALL)"
+
+
+def _word_matrix(spark: SparkSession, sf_dir: str) -> str:
+    """The words of labelled posts, a column a post, as a sparse matrix in the shared folder."""
+    rows = X.featurize_posts(labelled(spark, sf_dir))["bow"]
+    folder = shared_folder(spark, "matrix")
+    write_matrix(V.encode(rows, V.build(posts(spark, sf_dir))), folder, "word_id", "post_id", "cnt")
+    return folder
+
+
+@query(_LABELLED_WORDS + " SELECT post_id, word_id, cnt FROM e")
+def s10_sparse_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of words written as a sparse matrix and read again."""
+    read = read_matrix(spark, _word_matrix(spark, sf_dir))
+    return read.select(F.col("col").alias("post_id"), F.col("row").alias("word_id"), F.col("value").cast("long").alias("cnt"))
+
+
+@query(_LABELLED_WORDS + " SELECT word_id, count(*) AS n_posts, sum(cnt)::BIGINT AS n FROM e GROUP BY word_id")
+def s05_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word's posts and uses, from two loads of the matrix: the columns up to 500, and those from 501 on."""
+    folder = _word_matrix(spark, sf_dir)
+    both = read_matrix(spark, folder, last=500).unionByName(read_matrix(spark, folder, first=501))
+    return both.groupBy(F.col("row").alias("word_id")).agg(F.count("*").alias("n_posts"), F.sum("value").cast("long").alias("n"))
+
+
 @query(ORACLES["q05_batch"])
 def q12_saved_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of a batch in a folder a query, read again."""
