@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from textloom.llm import lz_fingerprint as L
@@ -104,3 +105,32 @@ def test_runs_of_one_id_cross_blocks(spark):
         edited = [text[:-20] + x for x in (text[:20], after[:20])]
         want = {hashlib.sha256(x.encode()).hexdigest() for x in edited}
         assert {r.edited_sha256 for r in got if r.doc_id == 5} == want
+
+
+def test_places_of_many_rows():
+    """The vectors' way against a walk over all blocks, for numbers and texts, with nulls and long runs of one id and text."""
+    rng = np.random.default_rng(8)
+    for kind in (pa.int64(), pa.string()):
+        made = [(int(rng.integers(40)), int(rng.integers(-4, 4))) for _ in range(300)] + [(7, 2)] * 60 + [(None, -1)] * 40
+        keys = [(i is not None, i if kind == pa.int64() or i is None else f"é{i:03}", h) for i, h in made]
+        order = sorted(keys, key=lambda k: (k[0], k[1] if k[0] else 0, k[2]), reverse=True)
+        for leads in (order[::9], order[::150], order[:1], [k for k in order[::9] if k[0]]):
+            got = L.places(leads, pa.array([k[1] for k in keys], kind), np.array([k[2] for k in keys]), np.arange(len(keys)))
+            for key, at in zip(keys, got):
+                rank = lambda k: (k[0], k[1] if k[0] else 0, k[2])
+                alike = [b for b, lead in enumerate(leads) if rank(lead) == rank(key)]
+                before = [b for b, lead in enumerate(leads) if rank(lead) > rank(key)]
+                allowed = set(alike) | ({before[-1]} if before else set() if alike else {0})
+                assert at in allowed, (key, at, allowed)
+            run = {at for key, at in zip(keys, got) if key[1] in (7, "é007") and key[2] == 2}
+            assert len(run) >= min(3, sum(k[1] in (7, "é007") and k[2] == 2 for k in leads))
+
+
+def test_blocks_grow_with_bytes_up_to_their_most(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "word " * 40) for k in range(600)], "doc_id long, text string")
+    monkeypatch.setattr(L, "BLOCK_BYTES", 4_000)
+    assert 20 < len(L._leads(df, "text", None)) <= 30
+    monkeypatch.setattr(L, "MOST_BLOCKS", 15)
+    assert len(L._leads(df, "text", None)) <= 15
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    assert L.edited_pairs(df).filter("near_next = 1").count() == 600

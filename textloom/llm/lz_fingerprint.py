@@ -8,8 +8,9 @@ stays high where one text helps to compress the other.
 Neighbours. Documents are ordered by descending id (any type that sorts), ties by a hash of the text, null ids last.
 A range partitioning of ids and hashes alone finds where blocks of that order begin; then each text is shuffled
 once, to its block, and a block's first row also to the block before. Rows that repeat both id and text are alike,
-so where blocks begin within such a run, its rows are dealt over them at random. What the driver holds and sends
-is the first id and hash of each block: three a core, or one per ``per_block`` rows where that is more.
+so where blocks begin within such a run, its rows are dealt over them at random. A block is about ``BLOCK_BYTES`` of
+text, less where that gives fewer than three a core, and more beyond ``MOST_BLOCKS`` of them: blocks are sorted with spills and
+read as a stream, and what the driver holds and sends is the first id and hash of each, so ``MOST_BLOCKS`` bounds it.
 
 A null text counts as empty and has the empty signature (all ones); two empty texts have likeness 1, an empty
 and another one 0. Whole texts are parsed. Repeated rows are neighbours; with one row, it is its own neighbour.
@@ -18,7 +19,6 @@ Extra columns are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -28,10 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.vocabulary import table_bytes
 from ..session import cut_lineage
 from .common import arrow_batches, text_or_empty
 
 SLOTS = 64
+BLOCK_BYTES = 32 << 20
+MOST_BLOCKS = 100_000
+#: First rows of up to so many bytes are broadcast to the texts they are looked for among.
+BROADCAST_BYTES = 64 << 20
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -86,41 +91,58 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     return df.select("doc_id", text).mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, {out} string")
 
 
-def _leads(df: DataFrame, text: str, per_block: int) -> list[tuple]:
+def _leads(df: DataFrame, text: str, per_block: int | None) -> list[tuple]:
     """(has an id, id, hash) of the first row of each block, descending."""
     spark = df.sparkSession
     keys = df.select(F.col("doc_id").isNotNull().alias("k"), "doc_id", F.xxhash64(text_or_empty(text)).alias("h"))
-    n = df.count()
-    blocks = max(1, n // per_block, min(n // 100, 3 * spark.sparkContext.defaultParallelism))
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
+    n = size["n"]
+    wanted = n // per_block if per_block else min(n, size["bytes"] // BLOCK_BYTES, MOST_BLOCKS)
+    blocks = max(1, wanted, min(n // 100, 3 * spark.sparkContext.defaultParallelism))
     # The row's number splits long runs of one id and text.
     order = [F.col(c).desc() for c in ("k", "doc_id", "h")] + [F.monotonically_increasing_id()]
     ranged = cut_lineage(keys.repartitionByRange(blocks, *order).withColumn("part", F.spark_partition_id()))
-    firsts = ranged.groupBy("part").agg(F.max(F.struct("k", "doc_id", "h")).alias("o")).collect()
+    firsts = ranged.groupBy("part").agg(F.max(F.struct("k", "doc_id", "h")).alias("o")).collect()  # a row a block
     return [tuple(r["o"]) for r in sorted(firsts, key=lambda r: r["part"])]
 
 
-def neighbours(df: DataFrame, text: str = "text", per_block: int = 10_000) -> DataFrame:
+def places(leads: list[tuple], ids: pa.Array, hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The block of each row: the last one that begins at it or before; any of those if many begin with its like."""
+    ascending = leads[::-1]
+    nulls = sum(not k for k, _, _ in leads)  # they come first
+    begins = pa.array([i for _, i, _ in ascending[nulls:]], ids.type).to_numpy(zero_copy_only=False)
+    first_hash = np.array([h for _, _, h in ascending], np.int64)
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    known = ids.drop_null().to_numpy(zero_copy_only=False)
+    # Of the blocks in ascending order, low to high - 1 begin with the row's id; then, of these, those with its hash.
+    low, high = np.zeros(len(ids), np.int64), np.full(len(ids), nulls)
+    low[valid] = nulls + np.searchsorted(begins, known)
+    high[valid] = nulls + np.searchsorted(begins, known, "right")
+    group = np.where(low < high, low, -1)
+    for at in np.unique(group[group >= 0]):
+        own = np.flatnonzero(group == at)
+        run = first_hash[at : high[own[0]]]
+        low[own], high[own] = at + np.searchsorted(run, hashes[own]), at + np.searchsorted(run, hashes[own], "right")
+    last = np.maximum(len(leads) - low - 1, 0)
+    first = np.minimum(len(leads) - high, last)
+    mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return first + (mixed % (last - first + 1).astype(np.uint64)).astype(np.int64)
+
+
+def neighbours(df: DataFrame, text: str = "text", per_block: int | None = None) -> DataFrame:
     """Rows dealt to blocks that are consecutive in the order of neighbours, one a partition and sorted, and each
     followed by a guest: the first row of the next block (after the last, of the first).
 
-    Columns: block, doc_id, text, guest. Within a block every row's next document is the next row.
+    per_block: rows of a block, in place of its bytes. Columns: block, doc_id, text, guest. Within a block every row's next document is the next row.
     """
     leads = _leads(df, text, per_block)
     rows = df.select("doc_id", text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     if not leads:
         return rows.select(F.lit(0).alias("block"), "doc_id", "text", F.lit(False).alias("guest"))
-    ascending = leads[::-1]
+    shared = df.sparkSession.sparkContext.broadcast(leads)
 
     def place(ids: pa.Array, hashes: pa.Array, numbers: pa.Array) -> pa.Array:
-        """The block of each row: the last one that begins at it or before; any of those if many begin with its like."""
-        out = []
-        for i, h, number in zip(ids.to_pylist(), hashes.to_pylist(), numbers.to_pylist()):
-            key = (i is not None, i, h)
-            above = len(ascending) - bisect.bisect_right(ascending, key)  # blocks that begin before the row's like
-            last = max(len(ascending) - bisect.bisect_left(ascending, key) - 1, 0)
-            low = min(above, last)
-            out.append(low + (number * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % (last - low + 1))
-        return pa.array(out, pa.int32())
+        return pa.array(places(shared.value, ids, hashes.to_numpy(), numbers.to_numpy()), pa.int32())
 
     block = F.arrow_udf(place, "int")(F.col("doc_id"), F.col("h"), F.monotonically_increasing_id())
     own = rows.select(block.alias("block"), "doc_id", "text", F.lit(False).alias("guest"))
@@ -129,14 +151,15 @@ def neighbours(df: DataFrame, text: str = "text", per_block: int = 10_000) -> Da
     firsts = spark.createDataFrame([(o[1], o[2], (k - 1) % len(leads)) for k, o in enumerate(leads)], f"d {kind}, h2 long, block int")
     # One row stands for all of its like, before the copies for several blocks.
     like = firsts.groupBy("d", "h2").agg(F.collect_list("block").alias("blocks"))
-    lead = rows.join(F.broadcast(like), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("h2")))
+    small = table_bytes(like.select("d", "h2", "blocks")) <= BROADCAST_BYTES
+    lead = rows.join(F.broadcast(like) if small else like, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("h2")))
     one = lead.groupBy("d", "h2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("blocks").alias("blocks"))
     guests = one.select(F.explode("blocks").alias("block"), "doc_id", "text", F.lit(True).alias("guest"))
     dealt = own.unionByName(guests).repartitionById(len(leads), F.col("block"))
     return dealt.sortWithinPartitions("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
 
 
-def edited_pairs(df: DataFrame, text: str = "text", per_block: int = 10_000) -> DataFrame:
+def edited_pairs(df: DataFrame, text: str = "text", per_block: int | None = None) -> DataFrame:
     """For every row: its and its edited text's signature (hex), and their likeness; that of the next document.
 
     The edited text has its last third replaced by the next document's beginning. The parse of the part that
