@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,7 @@ import xxhash
 
 from textloom.llm import lz_fingerprint as L
 from textloom.llm.queries import op10_lz_fingerprint
+from textloom.session import shared_root
 
 
 def plain(text):
@@ -134,3 +136,17 @@ def test_blocks_grow_with_bytes_up_to_their_most(spark, monkeypatch):
     assert len(L._leads(df, "text", None)) <= 15
     monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
     assert L.edited_pairs(df).filter("near_next = 1").count() == 600
+
+
+def test_blocks_are_found_without_files(spark):
+    """No file is written to find where blocks begin, and the first rows are those of a sorted table, in order."""
+    root = shared_root(spark).removeprefix("file:")
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(root) for x in names}
+    before = files()
+    df = spark.createDataFrame([(k * 37 % 1000, f"text {k % 9}") for k in range(1000)], "doc_id long, text string").repartition(7)
+    leads = L._leads(df, "text", 50)
+    assert files() == before
+    ids = [i for _, i, _ in leads]
+    assert 15 <= len(ids) <= 20 and ids[0] == 999 and ids == sorted(ids, reverse=True) and max(np.abs(np.diff(ids))) < 200
+    list(L.edited_pairs(df, per_block=50).toLocalIterator())
+    assert files() == before
