@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
@@ -16,14 +17,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import vectors as V
+from textloom.operators import embedding as E
 from textloom.operators.embedding import sentence_scores, sentence_vectors
+from textloom.session import cut_lineage
 
 #: Scores are equal when they agree to this many decimals.
 DIGITS = 6
 #: Queries are scored in blocks of so many.
 BLOCK = 256
+#: With rejected rows that hide their equals, so many scores are looked at first for each row asked for, and a task holds so many rows at most.
+DEPTH, HELD_ROWS = 500, 1 << 16
 
 Query = str | Sequence[str]
 
@@ -184,6 +190,161 @@ def exclusion(words: str, exclude: str | None, how: str = "substring") -> Column
     raise ValueError(f"how is substring, regex or words, not {how!r}")
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as Spark's round gives them: halves of the shortest decimal go away from zero."""
+    x = scores * 10.0**DIGITS
+    known = np.isfinite(x)
+    whole = np.rint(x)
+    out = np.where(known, whole / 10.0**DIGITS + 0.0, scores)
+    x, whole = np.where(known, x, 0.0), np.where(known, whole, 0.0)
+    for i in np.flatnonzero((np.abs(np.abs(x - whole) - 0.5) < 1e-5) | (np.abs(x) > 1e8)):
+        exact = Decimal(repr(float(scores[i])))
+        out[i] = float(exact.quantize(Decimal(1).scaleb(-DIGITS), ROUND_HALF_UP)) + 0.0 if exact.adjusted() < 20 else scores[i]
+    return out
+
+
+def _ordered(value) -> tuple:
+    """A value as something that Python orders as Spark does, nulls first."""
+    if value is None:
+        return ()
+    if isinstance(value, float):
+        return (value != value, value)
+    if isinstance(value, dict):
+        value = list(value.values())
+    return (tuple(map(_ordered, value)),) if isinstance(value, (list, tuple)) else (value,)
+
+
+class _Best:
+    """A task's best rows of one query: of each rounded score the first by keys, then the other columns; k scores at most."""
+
+    def __init__(self, k: int, keys: Sequence[str], rest: Sequence[str]):
+        self.k, self.keys, self.rest = k, keys, rest
+        self.rows: dict[float, tuple[tuple, tuple, float | None]] = {}
+        self.least = -np.inf
+
+    def meet(self, batch: pa.RecordBatch, which: np.ndarray, scores: pa.Array) -> None:
+        """Rows of a batch (which, by place) with their scores; null ones come last, those that are no number first."""
+        plain = scores.to_numpy(zero_copy_only=False).astype(np.float64)
+        level = np.clip(rounded(plain), -1e308, 1e308)
+        level = np.where(np.asarray(scores.is_null()), -np.inf, np.where(np.isnan(plain), np.inf, level))
+        at = np.flatnonzero(level >= self.least)
+        if len(at) > self.k and len(found := np.unique(level[at])) > self.k:
+            at = at[level[at] >= found[-self.k]]
+        if not len(at):
+            return
+        known = list(zip(*(batch.column(c).take(pa.array(which[at])).to_pylist() for c in self.keys)))
+        for i, key in zip(at, known, strict=True):
+            mark, old = tuple(map(_ordered, key)), self.rows.get(x := float(level[i]))
+            if old is not None and old[0] < mark:
+                continue
+            row = (*key, *(batch.column(c)[int(which[i])].as_py() for c in self.rest))
+            if old is None or mark < old[0] or tuple(map(_ordered, row)) < tuple(map(_ordered, old[1])):
+                self.rows[x] = (mark, row, scores[int(i)].as_py())
+        if len(self.rows) >= self.k:
+            stays = sorted(self.rows, reverse=True)[: self.k]
+            self.rows, self.least = {x: self.rows[x] for x in stays}, stays[-1]
+
+
+def _batches(best: dict, schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The rows of each query's _Best as batches of the schema."""
+    for query, own in best.items():
+        held = list(own.rows.values())
+        for part in (held[k : k + size] for k in range(0, len(held), size)):
+            columns = dict(zip((*own.keys, *own.rest), zip(*(row for _, row, _ in part)))) | {"query_id": [query] * len(part), "score": [x for _, _, x in part]}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def own_best(scored: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """What can be among the k best scores of a query: of each score the first row by keys in its task, k scores a task.
+
+    Rows are met as they come and few stay, so a task neither sorts nor shuffles what it reads.
+    """
+    schema = scored.schema
+    rest = [c for c in scored.columns if c not in (*keys, "query_id", "score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        kinds = None
+        for batch in batches:
+            kinds, ids = batch.schema, batch.column("query_id").dictionary_encode(null_encoding="encode")
+            for q, query in enumerate(ids.dictionary.to_pylist()):
+                which = np.flatnonzero(ids.indices.to_numpy(zero_copy_only=False) == q)
+                own = best.setdefault(query, _Best(k, keys, rest))
+                own.meet(batch, which, batch.column("score").take(pa.array(which)))
+        if kinds is not None:
+            yield from _batches(best, kinds)
+
+    return scored.mapInArrow(run, schema)
+
+
+def best_words(
+    sentences: DataFrame, held: E.Source, units: dict[int, np.ndarray], k: int, keys: Sequence[str], missing: float | None = None
+) -> DataFrame:
+    """own_best of score_words in one pass over the words, which leaves only the rows that stay.
+
+    held is what ``embedding.source`` gives. A sentence without a vector has no row, or the score missing.
+    """
+    schema = T.StructType([*sentences.schema, *T.StructType.fromDDL("query_id long, score double")])
+    rest = [c for c in sentences.columns if c not in keys]
+    ids = list(units)
+    table = np.stack([units[q] for q in ids]).T if ids else None
+    shared = held if isinstance(held, E.VectorStore) else sentences.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = E._finder(shared if isinstance(shared, E.VectorStore) else shared.value)
+        best, kinds = {q: _Best(k, keys, rest) for q in ids}, None
+        for batch in batches:
+            kinds = batch.schema
+            owner, sums = E._sums(batch.column("words"), find)
+            n = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+            owner, made = owner[n > 0], sums[n > 0] / n[n > 0, None]
+            for start in range(0, len(ids), BLOCK):
+                scores = made @ table[:, start : start + BLOCK]
+                for j, q in enumerate(ids[start : start + BLOCK]):
+                    which, own = owner, scores[:, j]
+                    if missing is not None:
+                        which, own = np.arange(batch.num_rows), np.full(batch.num_rows, missing)
+                        own[owner] = scores[:, j]
+                    best[q].meet(batch, which, pa.array(own))
+        if kinds is not None:
+            yield from _batches(best, pa.schema([*kinds, pa.field("query_id", pa.int64()), pa.field("score", pa.float64())]))
+
+    return sentences.mapInArrow(run, schema)
+
+
+def _firsts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows of a query with one rounded score, the first by keys, then the other columns."""
+    rest = [c for c in rows.columns if c not in (*keys, "query_id", "score")]
+    first = F.min(F.struct(*keys, *rest)).alias("first")
+    return rows.withColumn("score", F.round("score", DIGITS)).groupBy("query_id", "score").agg(first).select("query_id", "score", "first.*")
+
+
+def _ranked(rows: DataFrame, k: int, keys: Sequence[str], offset: int = 0) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *keys))
+    ranked = rows.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k + offset)
+    return ranked.filter(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
+
+
+def _top(best: Callable[[int | None], DataFrame], k: int, keys: Sequence[str], dedupe: str, offset: int = 0) -> DataFrame:
+    """top_scores of rows that best gives: those of each task's m best scores, or (for None) all.
+
+    With pre a score of a row that fails (_ok) is lost, so more scores are looked at until enough rows pass or none are
+    left. Beyond HELD_ROWS scores a task, all rows are shuffled.
+    """
+    if dedupe == "post":
+        return _ranked(_firsts(best(k + offset), keys), k, keys, offset)
+    most = DEPTH * (k + offset)
+    while most <= HELD_ROWS:
+        rows = cut_lineage(_ranked(_firsts(best(most), keys), most, keys).drop("rank"))
+        passing = rows.groupBy("query_id").agg(F.count_if("_ok").alias("good"), F.count("*").alias("n"))
+        if passing.filter((F.col("good") < k + offset) & (F.col("n") == most)).isEmpty():
+            break
+        most *= 8
+    else:
+        rows = _firsts(best(None), keys)
+    return _ranked(rows.filter("_ok").drop("_ok"), k, keys, offset)
+
+
 def top_scores(scored: DataFrame, k: int, keys: Sequence[str], min_words: int = 0, keep: Column | None = None, dedupe: str | None = "post", offset: int = 0) -> DataFrame:
     """Each query's k best rows by rounded score, then keys, as (…, rank) after leaving out the first offset rows.
 
@@ -191,24 +352,14 @@ def top_scores(scored: DataFrame, k: int, keys: Sequence[str], min_words: int =
         post  rows that pass the tests count once for a score
         pre   a score counts once, for its first row by keys; if that row fails the tests, its equals are gone too
         None  equal scores stay
-    Equal scores meet in one group whatever their number: rounded scores have two million values a query at most, and
-    their first rows are found before the shuffle. The rank then keeps k + offset rows of each task before it shuffles.
+    With post and pre each task keeps only its own best scores, so few rows are shuffled, however long they are.
     """
     passes = (F.col("n_words") >= min_words) & (F.lit(True) if keep is None else keep)
     rows = scored.withColumn("score", F.round("score", DIGITS))
-    rest = [c for c in rows.columns if c not in (*keys, "query_id", "score")]
-    if dedupe == "pre":
-        rows = rows.withColumn("_ok", passes)
-        rest.append("_ok")
-    else:
-        rows = rows.filter(passes)
-    if dedupe is not None:
-        first = F.min(F.struct(*keys, *rest)).alias("first")
-        rows = rows.groupBy("query_id", "score").agg(first).select("query_id", "score", "first.*")
-        rows = rows.filter("_ok").drop("_ok") if dedupe == "pre" else rows
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *keys))
-    ranked = rows.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k + offset)
-    return ranked.filter(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
+    if dedupe is None:
+        return _ranked(rows.filter(passes), k, keys, offset)
+    rows = rows.withColumn("_ok", passes) if dedupe == "pre" else rows.filter(passes)
+    return _top(lambda most: rows if most is None else own_best(rows, most, keys), k, keys, dedupe, offset)
 
 
 def search(
@@ -220,6 +371,10 @@ def search(
     if dedupe != "pre":
         # Before any vector is made; top_scores tests them once more, at no cost to speak of.
         sentences = sentences.filter((F.col("n_words") >= min_words) & exclusion("words", exclude, how))
+    if "vector" not in sentences.columns and method == "batch" and dedupe is not None and units:
+        held = E.source(vectors)
+        rows = sentences if dedupe == "post" else sentences.withColumn("_ok", (F.col("n_words") >= min_words) & exclusion("words", exclude, how))
+        return _top(lambda most: score_words(rows, vectors, units) if most is None else best_words(rows, held, units, most, keys), k, keys, dedupe)
     if "vector" not in sentences.columns and method == "batch":
         scored = score_words(sentences, vectors, units)
     else:
@@ -248,6 +403,9 @@ def multi_query(
         whole = np.sum(list(units.values()), axis=0)
         if "vector" in sentences.columns:
             total = V.dot_with(F.col("vector"), whole)
+        elif dedupe == "post":
+            held = E.source(vectors)
+            return _top(lambda most: best_words(sentences, held, {0: whole}, most, keys, missing=0.0), k, keys, dedupe, ignore).drop("query_id")
         else:
             sentences = sentence_scores(sentences, vectors, whole[:, None])
             total = F.get("scores", F.lit(0))
