@@ -1,0 +1,27 @@
+"""A frame without a session: what a function sends through mapInArrow, run over batches."""
+
+from __future__ import annotations
+
+from types import SimpleNamespace
+
+import pyarrow as pa
+from pyspark.sql import types as T
+
+
+class Frame:
+    def __init__(self, schema: T.StructType, batches: list[pa.RecordBatch]):
+        self.schema, self.columns, self.batches = schema, schema.names, batches
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+    def mapInArrow(self, run, schema: T.StructType) -> list[dict]:
+        out = list(run(iter(self.batches)))
+        assert all(b.schema.names == schema.names for b in out)
+        return [r for b in out for r in b.to_pylist()]
+
+
+def sentences(parts: list[list[tuple]], extra: str | None = None) -> Frame:
+    """parts: for each batch its rows (post_id, sent, words), and a truth value if extra names one."""
+    fields = [T.StructField("post_id", T.LongType()), T.StructField("sent", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), *([T.StructField(extra, T.BooleanType())] if extra else [])]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), *([pa.bool_()] if extra else [])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[f.name for f in fields]) for rows in parts]
+    return Frame(T.StructType(fields), batches)

@@ -284,7 +284,7 @@ def best_words(
 
     held is what ``embedding.source`` gives. A sentence without a vector has no row, or the score missing.
     """
-    schema = T.StructType([*sentences.schema, *T.StructType.fromDDL("query_id long, score double")])
+    schema = T.StructType([*sentences.schema, T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())])
     rest = [c for c in sentences.columns if c not in keys]
     ids = list(units)
     table = np.stack([units[q] for q in ids]).T if ids else None
