@@ -30,6 +30,13 @@ def test_rejected_row_goes_along_to_hide_its_equals():
     assert [(r["post_id"], r["_ok"]) for r in sorted(rows, key=lambda r: -r["score"])] == [(2, False), (5, True), (1, True)]
 
 
+def test_sentence_without_a_vector_has_the_score_given():
+    """q07_multi_query: such sentences score 0 and count once with the others of that score."""
+    rows = Q.best_words(sentences(PARTS), HELD, {0: UNITS[0] - UNITS[3]}, 9, ("post_id", "sent"), missing=0.0)
+    assert hits(rows, 0) == [(1, 0, -1.0), (2, 0, 1.0), (2, 1, 0.0)]
+    assert hits(Q.best_words(sentences([[], []]), HELD, UNITS, 9, ("post_id", "sent"), missing=0.0), 0) == []
+
+
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_best_rows_do_not_depend_on_batches(size):
     rng = np.random.default_rng(2)
