@@ -52,3 +52,14 @@ def test_best_rows_do_not_depend_on_batches(size):
             if v.any():
                 first.setdefault(round(float(v @ UNITS[query] / np.sqrt(v @ v)), 6), i)
         assert {h[2]: h[0] for h in hits(every, query)} == first
+
+
+def test_rows_pass_with_their_vectors():
+    """e04_sentence_vectors: rows and vectors go through one function, so none waits in a queue on disk."""
+    rows = E._per_sentence(sentences(PARTS, None), "vector", HELD, lambda units: units, "words")
+    assert [(r["post_id"], r["sent"]) for r in rows] == [(r[0], r[1]) for part in PARTS for r in part]
+    got = {r["post_id"]: r["vector"] for r in rows if r["vector"] is not None}
+    assert got == {4: [1.0, 0.0], 1: [0.0, 1.0], 2: [1.0, 0.0], 5: pytest.approx([0.5**0.5] * 2)}
+    assert {r["post_id"]: r["words"] for r in rows}[5] == ["a", "b"]
+    again = E._per_sentence(sentences(PARTS), "words", HELD, lambda units: units @ np.array([[2.0], [0.0]]), "words")
+    assert [r["words"] for r in again] == [[2.0], [0.0], None, [2.0], None, pytest.approx([2 * 0.5**0.5]), None]

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import vectors as V
 from textloom.functions.columns import sample_share
@@ -99,7 +100,7 @@ def sentence_vectors(
     held: Source | None = vectors if isinstance(vectors, VectorStore) else source(vectors, limit_bytes) if method == "auto" else matrix(vectors, limit_bytes)
     if held is None:
         raise ValueError(f"the vectors are over {limit_bytes} bytes")
-    return rows.withColumn("vector", _per_sentence(held, lambda units: units, F.col(words), rows))
+    return _per_sentence(rows, "vector", held, lambda units: units, words)
 
 
 def _sums(sentences: pa.Array, find: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,29 +128,30 @@ def _finder(held: Source) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]
     return lambda words: (np.fromiter((place.get(w, -1) for w in words), np.int64, len(words)), table)
 
 
-def _per_sentence(held: Source, result: Callable[[np.ndarray], np.ndarray], words: Column, rows: DataFrame) -> Column:
-    """array<double> of each sentence: result of the unit sums; null where there is none.
+def _per_sentence(rows: DataFrame, name: str, held: Source, result: Callable[[np.ndarray], np.ndarray], words: str) -> DataFrame:
+    """rows with a column array<double>: result of a sentence's unit sum; null where there is none.
 
-    The function counts as not deterministic, so that a filter on what it gives isn't moved below it, which would run
-    it twice. Filters on other columns belong before it.
+    Whole rows go through the function: of a column's function, Spark keeps the rows that wait for its values in a queue
+    of their own, on disk where memory is short. Filters on other columns belong before it.
     """
     shared = held if isinstance(held, VectorStore) else rows.sparkSession.sparkContext.broadcast(held)
+    rest = [f for f in rows.schema if f.name != name]
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(shared if isinstance(shared, VectorStore) else shared.value)
         for batch in batches:
-            owner, sums = _sums(batch, find)
+            owner, sums = _sums(batch.column(words), find)
             n = np.sqrt(np.einsum("ij,ij->i", sums, sums))
             found = result(sums[n > 0] / n[n > 0, None])
-            has = np.zeros(len(batch), bool)
+            has = np.zeros(batch.num_rows, bool)
             has[owner[n > 0]] = True
             width = found.shape[1] if found.ndim == 2 else 0
             offsets = pa.array(np.concatenate([[0], np.cumsum(has) * width]).astype(np.int32))
             values = pa.array(np.ascontiguousarray(found).ravel())
-            yield pa.ListArray.from_arrays(offsets, values, mask=pa.array(~has))
+            made = pa.ListArray.from_arrays(offsets, values, mask=pa.array(~has))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), made], names=[*(f.name for f in rest), name])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<double>").asNondeterministic()(words)
+    return rows.mapInArrow(run, T.StructType([*rest, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def sentence_scores(
@@ -160,7 +162,7 @@ def sentence_scores(
     Sums and products are made in one pass and no vector leaves it.
     """
     held = vectors if isinstance(vectors, VectorStore) else source(vectors, limit_bytes)
-    return rows.withColumn("scores", _per_sentence(held, lambda x: x @ units, F.col(words), rows))
+    return _per_sentence(rows, "scores", held, lambda x: x @ units, words)
 
 
 def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:
