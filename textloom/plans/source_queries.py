@@ -58,7 +58,7 @@ def s03_tokenised_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
         lot = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == k).select(F.array(post).alias("post"))
         lot.write.mode("append").option("rowTag", "posts").option("rootTag", "export").option("extension", "xml").format("xml").save(folder)
         ingest.tokenise_new(spark, folder, target)
-    return ingest.dictionary(spark, target).select("word", "cnt", "word_id")
+    return ingest.dictionary(spark, target, most=None).select("word", "cnt", "word_id")
 
 
 @query("SELECT k // 1000 AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1")
