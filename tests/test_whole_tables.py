@@ -10,3 +10,11 @@ from tests.oracle import DATA, compare
 def test_tokenised_folder_counts_words_beyond_the_dictionary_s_usual_bound(spark, monkeypatch):
     monkeypatch.setattr(ingest.dictionary, "__defaults__", (10, 1))
     assert compare(spark, "s03_tokenised_folder", plans.QUERIES["s03_tokenised_folder"], plans.ORACLES["s03_tokenised_folder"]) > 10
+
+
+def test_only_sampled_posts_have_vectors_made(spark, monkeypatch):
+    given, made = [], VQ.E.sentence_vectors
+    monkeypatch.setattr(VQ.E, "sentence_vectors", lambda rows, *more, **named: given.append(rows) or made(rows, *more, **named))
+    kept = VQ.e05_sample(spark, DATA)
+    assert kept.count() > 0
+    assert given[0].count() < VQ.sentence_table(spark, DATA).count() / 2

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.columns import sample_share
 from textloom.operators import embedding as E
 from textloom.operators import features as X
 from textloom.operators import keyword as K
@@ -605,6 +606,7 @@ def m14_mood_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SENTENCE_VECTORS + """ SELECT s.post_id, s.sent, s.n_words FROM sents s JOIN sn USING (post_id, sent)
 WHERE n > 0 AND ('0x' || substr(md5('94720:' || s.post_id), 1, 8))::BIGINT < 429496729""")
 def e05_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hashed tenth of the posts, as sentence vectors to keep in memory."""
-    rows = E.sentence_vectors(sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words"), word_vectors(spark, sf_dir))
+    """A hashed tenth of the posts, as sentence vectors to keep in memory. Others have no vectors made; their words are counted."""
+    own = sentence_table(spark, sf_dir).select("post_id", "sent", "words", "n_words").filter(sample_share("post_id", 0.1))
+    rows = E.sentence_vectors(own, word_vectors(spark, sf_dir))
     return E.load_sample(rows, 0.1).filter("vector IS NOT NULL").select("post_id", "sent", "n_words")
