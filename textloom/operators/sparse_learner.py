@@ -6,10 +6,11 @@ column a unit) are cut by rows into shards; a shard is a file in the shared fold
 Weights above a hidden layer are one more, small file. No weight passes through the driver.
 
 Step. Posts, encoded once, are read in batches; a task maps the shards and gathers the rows of the words it meets, makes
-products with a dense block of some posts at a time, and adds up gradients by word. What it has gathered leaves it, by
-shard, when it is over ``BUFFER`` bytes and at the end. A shard's reducer adds the parts, takes an ADAGrad step
-w -= rate * g / sqrt(sum of g * g) / t ** texp with the mean gradient g (L1 added as l1 * sign(w)) and writes the shard's next
-file. So a step is one pass over its posts and one shuffle of gradients. ``batches`` cuts the posts by hash into as
+products with a dense block of some posts at a time, and adds up gradients by word. Where a row for every word takes at
+most ``HELD_BYTES``, all of it leaves the task once, by shard, at the end; else what it has gathered also leaves it when it
+is over ``BUFFER`` bytes. A step has ``TASKS`` tasks a core at most, so what it shuffles doesn't grow with the posts. A
+shard's reducer adds the parts, takes an ADAGrad step w -= rate * g / sqrt(sum of g * g) / t ** texp with the mean gradient
+g (L1 added as l1 * sign(w)) and writes the shard's next file. So a step is one pass over its posts and one shuffle of gradients. ``batches`` cuts the posts by hash into as
 many steps a pass.
 
 A post without a label of the list is a negative case of every mood; posts without words train the constant. Null
@@ -33,6 +34,9 @@ from textloom.session import cut_lineage, shared_folder, stored
 from textloom.sources import arrays
 
 BUFFER = 32 << 20
+#: Gradients of all words that a task may hold; of these it takes up what it meets.
+HELD_BYTES = 160 << 20
+TASKS = 2
 SHARD_BYTES = 16 << 20
 PART = "shard int, ids binary, sums binary"
 
@@ -177,6 +181,9 @@ def _gradients(model: Model, top_shape: tuple[int, int]):
         ids: list[np.ndarray] = []
         rows: list[np.ndarray] = []
         above = np.zeros(top_shape)
+        whole = (model.words + 1) * model.units * 8 <= HELD_BYTES
+        sums = np.zeros((model.words + 1 if whole else 0, model.units))
+        met = np.zeros(len(sums), bool)
         for batch in batches:
             y = np.repeat(batch.column("target").fill_null(-1).to_numpy()[:, None] == targets, len(model.points), axis=1)
             for words, dense, _, which in _blocks(batch, model):
@@ -185,6 +192,10 @@ def _gradients(model: Model, top_shape: tuple[int, int]):
                 if model.hidden:
                     above += h.T @ back
                     back = (back @ top[:-1].T) * h[:, :-1] * (1 - h[:, :-1])
+                if whole:
+                    sums[words] += dense.T @ back  # a block has each word once
+                    met[words] = True
+                    continue
                 ids.append(words)
                 rows.append(dense.T @ back)
                 if sum(r.nbytes for r in rows) > model.buffer:
@@ -192,10 +203,13 @@ def _gradients(model: Model, top_shape: tuple[int, int]):
                     if rows[0].nbytes > model.buffer // 2:
                         yield from _parts(model, ids[0], rows[0])
                         ids, rows = [], []
+        for first in range(0, len(sums), model.rows) if met.any() else ():
+            if len(own := first + np.flatnonzero(met[first : first + model.rows])):
+                yield _part(first // model.rows, own - first, sums[own])
         if ids:
             yield from _parts(model, *(x[0] for x in _merge(ids, rows)))
-            if model.hidden:
-                yield _part(model.shards, np.arange(len(above)), above)
+        if above.any():
+            yield _part(model.shards, np.arange(len(above)), above)
 
     return run
 
@@ -270,10 +284,12 @@ def train(
     spark.range(count).mapInArrow(begin, "id long").count()
     # A row without gradients for each shard, so that every shard is written at each step.
     none = spark.range(count).select(F.col("id").cast("int").alias("shard"), F.lit(b"").alias("ids"), F.lit(b"").alias("sums"))
+    most = max(1, TASKS * spark.sparkContext.defaultParallelism)
     for _ in range(passes):
         for batch in sorted(sizes):
             now = model.plain()
-            parts = ready.filter(F.col("batch") == batch).select("target", "ids", "counts").mapInArrow(_gradients(now, top), PART)
+            own = ready.filter(F.col("batch") == batch).select("target", "ids", "counts").coalesce(most)
+            parts = own.mapInArrow(_gradients(now, top), PART)
             dealt = parts.unionByName(none).repartitionById(count, F.col("shard"))
             dealt.mapInArrow(_update(now, sizes[batch]), "shard int, gradient double").count()
             # The step before last goes; the last stays for tasks that run twice.
