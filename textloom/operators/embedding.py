@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from textloom.functions import vectors as V
 from textloom.functions.columns import sample_share
 from textloom.operators.vocabulary import join_words
-from textloom.session import cut_lineage
+from textloom.session import stored
 from textloom.sources.vector_store import VectorStore, store_vectors
 
 #: A matrix of word vectors up to this size is broadcast; larger ones are stored in files that tasks map.
@@ -90,7 +90,7 @@ def sentence_vectors(
     method
         batch  the matrix is broadcast and each Arrow batch of sentences is summed by numpy: nothing is shuffled
         store  the same with vectors in mapped files: neither a shuffle of sentences nor a broadcast of vectors
-        join   words are exploded, joined and summed by dimension, combined before the shuffle
+        join   whole rows are dealt by number; then words are exploded, joined and summed by dimension inside each task
         auto   batch if the matrix is within limit_bytes, else store
     """
     if method == "join":
@@ -168,13 +168,15 @@ def sentence_scores(
 def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:
     dim = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
     # Written once: the row numbers are met again in the last join, and must be the same there.
-    marked = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
-    bag = marked.select("_row", F.explode(words).alias("word")).groupBy("_row", "word").agg(F.count("*").alias("cnt"))
-    parts = join_words(bag, vectors.select("word", "vector"))
-    sums = parts.groupBy("_row").agg(*(F.sum(F.col("cnt") * F.get("vector", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dim)))
+    marked = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "marked")
+    # Dealt by row while rows are whole: a row's words, their sum and the row itself then stand in one task, and neither
+    # words nor sums are shuffled (unless the vectors are too many to broadcast).
+    dealt = marked.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_row")
+    parts = join_words(dealt.select("_row", F.explode(words).alias("word")), vectors.select("word", "vector"))
+    sums = parts.groupBy("_row").agg(*(F.sum(F.get("vector", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dim)))
     raw = sums.select("_row", F.array(*(f"d{i}" for i in range(dim))).alias("raw"))
     unit = raw.withColumn("n", V.norm(F.col("raw"))).select("_row", F.when(F.col("n") > 0, V.scaled(F.col("raw"), 1 / F.col("n"))).alias("vector"))
-    return marked.join(unit, "_row", "left").drop("_row")
+    return dealt.join(unit, "_row", "left").drop("_row")
 
 
 def load_sample(rows: DataFrame, share: float, key: str | Column = "post_id", seed: int = 94720, most: int | None = None) -> DataFrame:
