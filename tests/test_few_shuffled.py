@@ -11,6 +11,7 @@ from tests.test_best_rows import shuffled
     ("name", "most"),
     [
         ("q03_semantic_topk", 900),
+        ("q08_plain", 1500),
     ],
 )
 def test_few_sentences_are_shuffled(spark, name, most):
