@@ -13,6 +13,7 @@ from tests.test_best_rows import shuffled
         ("q03_semantic_topk", 900),
         ("q08_plain", 1500),
         ("q13_unit_words", 900),
+        ("e03_stop_words", 900),
     ],
 )
 def test_few_sentences_are_shuffled(spark, name, most):
