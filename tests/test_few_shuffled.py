@@ -14,6 +14,7 @@ from tests.test_best_rows import shuffled
         ("q08_plain", 1500),
         ("q13_unit_words", 900),
         ("e03_stop_words", 900),
+        ("p07_exclude_regex", 2500),
     ],
 )
 def test_few_sentences_are_shuffled(spark, name, most):
