@@ -15,6 +15,7 @@ from tests.test_best_rows import shuffled
         ("q13_unit_words", 900),
         ("e03_stop_words", 900),
         ("p07_exclude_regex", 2500),
+        ("p07_exclude_words", 2500),
     ],
 )
 def test_few_sentences_are_shuffled(spark, name, most):
