@@ -16,6 +16,7 @@ from tests.test_best_rows import shuffled
         ("e03_stop_words", 900),
         ("p07_exclude_regex", 2500),
         ("p07_exclude_words", 2500),
+        ("q04_query_sample", 900),
     ],
 )
 def test_few_sentences_are_shuffled(spark, name, most):
