@@ -1,65 +1,60 @@
 """What one task does in one pass over its sentences, without a session."""
 
+from functools import partial
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from textloom.operators import embedding as E
 from textloom.operators import semantic as Q
 
-from tests.frames import sentences
-
-HELD = (["a", "b", "c"], np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]))
-UNITS = {0: np.array([1.0, 0.0]), 3: np.array([0.0, 1.0])}
-PARTS = [[(4, 0, ["a"]), (1, 0, ["b", "b"]), (2, 1, ["c"])], [], [(2, 0, ["a", "x"]), (3, 0, None), (5, 0, ["a", "b"]), (6, 0, [])]]
+HELD = SimpleNamespace(value=(["a", "b", "c"], np.array([[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]])))
+UNITS = np.array([[1.0, 0.0], [0.0, 1.0]])
+PARTS = [[["a"], ["b", "b"], ["c"]], [], [["a", "x"], None, ["a", "b"], []]]
+HALF = 0.5**0.5
 
 
-def hits(rows, query):
-    return sorted((r["post_id"], r["sent"], round(r["score"], 6)) for r in rows if r["query_id"] == query)
+def run(parts, *more, **named):
+    batches = (pa.array(rows, pa.list_(pa.string())) for rows in parts)
+    return [r for out in E._pass(HELD, *more, **named)(batches) for r in out.to_pylist()]
 
 
-def test_first_of_equal_scores_stays():
-    rows = Q.best_words(sentences(PARTS), HELD, UNITS, 2, ("post_id", "sent"))
-    assert hits(rows, 0) == [(2, 0, 1.0), (5, 0, 0.707107)]
-    assert hits(rows, 3) == [(1, 0, 1.0), (5, 0, 0.707107)]
-    assert next(r for r in rows if r["post_id"] == 2)["words"] == ["a", "x"]
+def test_vectors_and_scores_of_each_row():
+    assert run(PARTS, lambda units: units) == [[1, 0], [0, 1], None, [1, 0], None, pytest.approx([HALF, HALF]), None]
+    assert run(PARTS, lambda units: units @ UNITS[:, :1], missing=0.0) == [[1], [0], [0], [1], [0], [pytest.approx(HALF)], [0]]
+    assert run([[]], lambda units: units @ UNITS, missing=0.0, stays=partial(Q.Levels, 1)) == []
 
 
-def test_rejected_row_goes_along_to_hide_its_equals():
-    """q03_dedupe_before: the first row of a score is known with its failing, and no sentence waits in a queue for its score."""
-    parts = [[(r[0], r[1], r[2], r[0] != 2) for r in part] for part in PARTS]
-    rows = Q.best_words(sentences(parts, "_ok"), HELD, {0: UNITS[0]}, 9, ("post_id", "sent"))
-    assert [(r["post_id"], r["_ok"]) for r in sorted(rows, key=lambda r: -r["score"])] == [(2, False), (5, True), (1, True)]
+def test_scores_below_the_best_are_left_out_and_equals_stay():
+    """q03_dedupe_before: all rows of a score that stays go on, so that the first can hide the others."""
+    got = run(PARTS, lambda units: units @ UNITS, stays=partial(Q.Levels, 1))
+    assert got == [[1, None], [None, 1], None, [1, None], None, None, None]
+    assert run(PARTS, lambda units: units @ UNITS, stays=partial(Q.Levels, 2))[5] == pytest.approx([HALF, HALF])
 
 
 def test_sentence_without_a_vector_has_the_score_given():
-    """q07_multi_query: such sentences score 0 and count once with the others of that score."""
-    rows = Q.best_words(sentences(PARTS), HELD, {0: UNITS[0] - UNITS[3]}, 9, ("post_id", "sent"), missing=0.0)
-    assert hits(rows, 0) == [(1, 0, -1.0), (2, 0, 1.0), (2, 1, 0.0)]
-    assert hits(Q.best_words(sentences([[], []]), HELD, UNITS, 9, ("post_id", "sent"), missing=0.0), 0) == []
+    """q07_multi_query: such sentences score 0, unless that can't be among the best."""
+    whole = lambda units: units @ np.array([[1.0], [-1.0]])
+    assert run(PARTS, whole, missing=0.0, stays=partial(Q.Levels, 2)) == [[1], None, [0], [1], [0], [0], [0]]
+    assert run(PARTS, whole, missing=0.0, stays=partial(Q.Levels, 1)) == [[1], None, None, [1], None, None, None]
 
 
-@pytest.mark.parametrize("size", [1, 3, 1000])
-def test_best_rows_do_not_depend_on_batches(size):
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_what_stays_holds_the_best_scores(size):
     rng = np.random.default_rng(2)
-    rows = [(int(i), 0, [("a", "b", "x")[w] for w in rng.integers(0, 3, 6)]) for i in rng.permutation(300)]
+    rows = [[("a", "b", "x")[w] for w in rng.integers(0, 3, 9)] for _ in range(600)]
     parts = [rows[k : k + size] for k in range(0, len(rows), size)]
-    every = Q.best_words(sentences(parts), HELD, UNITS, 10_000, ("post_id", "sent"))
-    for query in UNITS:
-        best = sorted(hits(every, query), key=lambda h: -h[2])[:5]
-        assert hits(Q.best_words(sentences(parts), HELD, UNITS, 5, ("post_id", "sent")), query) == sorted(best)
-        first = {}
-        for i, _, words in sorted(rows):
-            v = np.array([words.count("a"), words.count("b")], float)
-            if v.any():
-                first.setdefault(round(float(v @ UNITS[query] / np.sqrt(v @ v)), 6), i)
-        assert {h[2]: h[0] for h in hits(every, query)} == first
-
-
-def test_rows_pass_with_their_vectors():
-    """e04_sentence_vectors: rows and vectors go through one function, so none waits in a queue on disk."""
-    rows = E._per_sentence(sentences(PARTS, None), "vector", HELD, lambda units: units, "words")
-    assert [(r["post_id"], r["sent"]) for r in rows] == [(r[0], r[1]) for part in PARTS for r in part]
-    got = {r["post_id"]: r["vector"] for r in rows if r["vector"] is not None}
-    assert got == {4: [1.0, 0.0], 1: [0.0, 1.0], 2: [1.0, 0.0], 5: pytest.approx([0.5**0.5] * 2)}
-    assert {r["post_id"]: r["words"] for r in rows}[5] == ["a", "b"]
-    again = E._per_sentence(sentences(PARTS), "words", HELD, lambda units: units @ np.array([[2.0], [0.0]]), "words")
-    assert [r["words"] for r in again] == [[2.0], [0.0], None, [2.0], None, pytest.approx([2 * 0.5**0.5]), None]
+    every, some = (run(parts, lambda units: units @ UNITS, **named) for named in ({}, {"stays": partial(Q.Levels, 5)}))
+    for q in range(2):
+        full = [None if r is None else r[q] for r in every]
+        kept = [None if r is None else r[q] for r in some]
+        assert all(k is None or k == f for k, f in zip(kept, full, strict=True))
+        best = sorted({round(f, 6) for f in full if f is not None})[-5:]
+        assert all(k is not None for k, f in zip(kept, full) if f is not None and round(f, 6) in best)
+        assert sum(k is not None for k in kept) < sum(f is not None for f in full)
+
+
+def test_no_numbers_come_first_and_infinite_ones_have_their_place():
+    stays = Q.Levels(2)(np.array([[0.5], [np.nan], [np.inf], [-np.inf], [0.1]]))
+    assert stays[:, 0].tolist() == [False, True, True, False, False]

@@ -11,10 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions import vectors as V
 from textloom.functions.columns import sample_share
@@ -100,7 +100,7 @@ def sentence_vectors(
     held: Source | None = vectors if isinstance(vectors, VectorStore) else source(vectors, limit_bytes) if method == "auto" else matrix(vectors, limit_bytes)
     if held is None:
         raise ValueError(f"the vectors are over {limit_bytes} bytes")
-    return _per_sentence(rows, "vector", held, lambda units: units, words)
+    return rows.withColumn("vector", _per_sentence(held, lambda units: units, F.col(words), rows))
 
 
 def _sums(sentences: pa.Array, find: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,41 +128,62 @@ def _finder(held: Source) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]
     return lambda words: (np.fromiter((place.get(w, -1) for w in words), np.int64, len(words)), table)
 
 
-def _per_sentence(rows: DataFrame, name: str, held: Source, result: Callable[[np.ndarray], np.ndarray], words: str) -> DataFrame:
-    """rows with a column array<double>: result of a sentence's unit sum; null where there is none.
+def _pass(
+    shared: VectorStore | Broadcast, result: Callable[[np.ndarray], np.ndarray], missing: float | None = None, stays: Callable[[], Callable[[np.ndarray], np.ndarray]] | None = None
+) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """A task's pass over the words of its sentences, for _per_sentence."""
 
-    Whole rows go through the function: of a column's function, Spark keeps the rows that wait for its values in a queue
-    of their own, on disk where memory is short. Filters on other columns belong before it.
-    """
-    shared = held if isinstance(held, VectorStore) else rows.sparkSession.sparkContext.broadcast(held)
-    rest = [f for f in rows.schema if f.name != name]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         find = _finder(shared if isinstance(shared, VectorStore) else shared.value)
+        kept = stays() if stays is not None else None
         for batch in batches:
-            owner, sums = _sums(batch.column(words), find)
+            owner, sums = _sums(batch, find)
             n = np.sqrt(np.einsum("ij,ij->i", sums, sums))
             found = result(sums[n > 0] / n[n > 0, None])
-            has = np.zeros(batch.num_rows, bool)
+            has = np.zeros(len(batch), bool)
             has[owner[n > 0]] = True
+            if missing is not None:
+                every = np.full((len(batch), found.shape[1]), missing)
+                every[has] = found
+                found, has = every, np.ones(len(batch), bool)
+            gone = None
+            if kept is not None:
+                good = kept(found)
+                some = good.any(axis=1)
+                has[has] = some
+                found, gone = found[some], ~good[some].ravel()
             width = found.shape[1] if found.ndim == 2 else 0
             offsets = pa.array(np.concatenate([[0], np.cumsum(has) * width]).astype(np.int32))
-            values = pa.array(np.ascontiguousarray(found).ravel())
-            made = pa.ListArray.from_arrays(offsets, values, mask=pa.array(~has))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), made], names=[*(f.name for f in rest), name])
+            values = pa.array(np.ascontiguousarray(found).ravel(), mask=gone)
+            yield pa.ListArray.from_arrays(offsets, values, mask=pa.array(~has))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
+
 
-    return rows.mapInArrow(run, T.StructType([*rest, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+def _per_sentence(held: Source, result: Callable[[np.ndarray], np.ndarray], words: Column, rows: DataFrame, missing: float | None = None, stays: Callable | None = None) -> Column:
+    """array<double> of each sentence: result of the unit sums; null where there is none (or made of ``missing``).
+
+    stays makes, for a task, what tells which entries of each batch's results stay; others are null, and so are the arrays
+    of sentences without any.
+
+    The function counts as not deterministic, so that a filter on what it gives isn't moved below it, which would run
+    it twice. Filters on other columns belong before it.
+    """
+    shared = held if isinstance(held, VectorStore) else rows.sparkSession.sparkContext.broadcast(held)
+    return F.arrow_udf(_pass(shared, result, missing, stays), "array<double>").asNondeterministic()(words)
 
 
 def sentence_scores(
-    rows: DataFrame, vectors: DataFrame | VectorStore, units: np.ndarray, words: str = "words", limit_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+    rows: DataFrame, vectors: DataFrame | VectorStore, units: np.ndarray, words: str = "words", limit_bytes: int = BROADCAST_BYTES,
+    missing: float | None = None, stays: Callable | None = None,
+) -> DataFrame:
     """rows with a column scores: the products of a sentence's vector with the columns of units, null without a vector.
 
-    Sums and products are made in one pass and no vector leaves it.
+    Sums and products are made in one pass and no vector leaves it. missing, stays: see _per_sentence.
     """
     held = vectors if isinstance(vectors, VectorStore) else source(vectors, limit_bytes)
-    return _per_sentence(rows, "scores", held, lambda x: x @ units, words)
+    return rows.withColumn("scores", _per_sentence(held, lambda x: x @ units, F.col(words), rows, missing, stays))
 
 
 def _joined(rows: DataFrame, vectors: DataFrame, words: str) -> DataFrame:

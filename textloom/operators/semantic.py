@@ -10,17 +10,15 @@ import re
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions import vectors as V
-from textloom.operators import embedding as E
 from textloom.operators.embedding import sentence_scores, sentence_vectors
 from textloom.session import cut_lineage
 
@@ -98,17 +96,21 @@ def score(sentences: DataFrame, units: dict[int, np.ndarray], method: str = "bat
     return out
 
 
-def score_words(sentences: DataFrame, vectors: DataFrame, units: dict[int, np.ndarray]) -> DataFrame:
-    """As score, of sentences without their vectors: sums and products are made in one pass over the words."""
+def score_words(sentences: DataFrame, vectors: DataFrame, units: dict[int, np.ndarray], most: int | None = None) -> DataFrame:
+    """As score, of sentences without their vectors: sums and products are made in one pass over the words.
+
+    most: of a query only rows whose score can be among the so many best rounded ones of their task.
+    """
     ids = list(units)
     if not ids:
         return score(sentences.withColumn("vector", F.lit(None).cast("array<double>")), units)
     out = []
     for block in (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)):
         # A sentence without a vector has null scores, of which inline makes no row.
-        scored = sentence_scores(sentences, vectors, np.stack([units[k] for k in block]).T)
+        scored = sentence_scores(sentences, vectors, np.stack([units[k] for k in block]).T, stays=None if most is None else partial(Levels, most))
         pairs = F.arrays_zip(F.array(*(F.lit(k).cast("long") for k in block)).alias("query_id"), F.col("scores").alias("score"))
-        out.append(scored.select(*sentences.columns, F.inline(pairs)))
+        flat = scored.select(*sentences.columns, F.inline(pairs))
+        out.append(flat if most is None else flat.filter(F.col("score").isNotNull()))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -203,6 +205,33 @@ def rounded(scores: np.ndarray) -> np.ndarray:
     return out
 
 
+def levels(scores: np.ndarray) -> np.ndarray:
+    """Rounded scores as numbers that are ordered as Spark orders scores: what is no number comes after all others."""
+    return np.where(np.isnan(scores), np.inf, np.clip(rounded(scores.ravel()).reshape(scores.shape), -1e308, 1e308))
+
+
+class Levels:
+    """Which scores can be among a task's k best rounded ones of a query, as far as the task has come.
+
+    Called with a row a sentence and a column a query. A score that is left out stands below k others that were met; equals of
+    one that stays all stay.
+    """
+
+    def __init__(self, k: int):
+        self.k = k
+        self.best: dict[int, np.ndarray] = {}
+
+    def __call__(self, scores: np.ndarray) -> np.ndarray:
+        level, stays = levels(scores), np.ones(scores.shape, bool)
+        for j in range(scores.shape[1]):
+            known = self.best.get(j, np.empty(0))
+            found = np.unique(np.concatenate([known, level[:, j] if len(known) < self.k else level[level[:, j] > known[0], j]]))[-self.k :]
+            self.best[j] = found
+            if len(found) == self.k:
+                stays[:, j] = level[:, j] >= found[0]
+        return stays
+
+
 def _ordered(value) -> tuple:
     """A value as something that Python orders as Spark does, nulls first."""
     if value is None:
@@ -225,8 +254,7 @@ class _Best:
     def meet(self, batch: pa.RecordBatch, which: np.ndarray, scores: pa.Array) -> None:
         """Rows of a batch (which, by place) with their scores; null ones come last, those that are no number first."""
         plain = scores.to_numpy(zero_copy_only=False).astype(np.float64)
-        level = np.clip(rounded(plain), -1e308, 1e308)
-        level = np.where(np.asarray(scores.is_null()), -np.inf, np.where(np.isnan(plain), np.inf, level))
+        level = np.where(np.asarray(scores.is_null()), -np.inf, levels(plain))
         at = np.flatnonzero(level >= self.least)
         if len(at) > self.k and len(found := np.unique(level[at])) > self.k:
             at = at[level[at] >= found[-self.k]]
@@ -277,41 +305,6 @@ def own_best(scored: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
     return scored.mapInArrow(run, schema)
 
 
-def best_words(
-    sentences: DataFrame, held: E.Source, units: dict[int, np.ndarray], k: int, keys: Sequence[str], missing: float | None = None
-) -> DataFrame:
-    """own_best of score_words in one pass over the words, which leaves only the rows that stay.
-
-    held is what ``embedding.source`` gives. A sentence without a vector has no row, or the score missing.
-    """
-    schema = T.StructType([*sentences.schema, T.StructField("query_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    rest = [c for c in sentences.columns if c not in keys]
-    ids = list(units)
-    table = np.stack([units[q] for q in ids]).T if ids else None
-    shared = held if isinstance(held, E.VectorStore) else sentences.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = E._finder(shared if isinstance(shared, E.VectorStore) else shared.value)
-        best, kinds = {q: _Best(k, keys, rest) for q in ids}, None
-        for batch in batches:
-            kinds = batch.schema
-            owner, sums = E._sums(batch.column("words"), find)
-            n = np.sqrt(np.einsum("ij,ij->i", sums, sums))
-            owner, made = owner[n > 0], sums[n > 0] / n[n > 0, None]
-            for start in range(0, len(ids), BLOCK):
-                scores = made @ table[:, start : start + BLOCK]
-                for j, q in enumerate(ids[start : start + BLOCK]):
-                    which, own = owner, scores[:, j]
-                    if missing is not None:
-                        which, own = np.arange(batch.num_rows), np.full(batch.num_rows, missing)
-                        own[owner] = scores[:, j]
-                    best[q].meet(batch, which, pa.array(own))
-        if kinds is not None:
-            yield from _batches(best, pa.schema([*kinds, pa.field("query_id", pa.int64()), pa.field("score", pa.float64())]))
-
-    return sentences.mapInArrow(run, schema)
-
-
 def _firsts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of the rows of a query with one rounded score, the first by keys, then the other columns."""
     rest = [c for c in rows.columns if c not in (*keys, "query_id", "score")]
@@ -372,9 +365,8 @@ def search(
         # Before any vector is made; top_scores tests them once more, at no cost to speak of.
         sentences = sentences.filter((F.col("n_words") >= min_words) & exclusion("words", exclude, how))
     if "vector" not in sentences.columns and method == "batch" and dedupe is not None and units:
-        held = E.source(vectors)
         rows = sentences if dedupe == "post" else sentences.withColumn("_ok", (F.col("n_words") >= min_words) & exclusion("words", exclude, how))
-        return _top(lambda most: score_words(rows, vectors, units) if most is None else best_words(rows, held, units, most, keys), k, keys, dedupe)
+        return _top(lambda most: score_words(rows, vectors, units, most), k, keys, dedupe)
     if "vector" not in sentences.columns and method == "batch":
         scored = score_words(sentences, vectors, units)
     else:
@@ -404,8 +396,12 @@ def multi_query(
         if "vector" in sentences.columns:
             total = V.dot_with(F.col("vector"), whole)
         elif dedupe == "post":
-            held = E.source(vectors)
-            return _top(lambda most: best_words(sentences, held, {0: whole}, most, keys, missing=0.0), k, keys, dedupe, ignore).drop("query_id")
+
+            def best(most: int) -> DataFrame:
+                scored = sentence_scores(sentences, vectors, whole[:, None], missing=0.0, stays=partial(Levels, most))
+                return scored.filter(F.col("scores").isNotNull()).select(*rest, F.lit(0).cast("long").alias("query_id"), F.get("scores", F.lit(0)).alias("score"))
+
+            return _top(best, k, keys, dedupe, ignore).drop("query_id")
         else:
             sentences = sentence_scores(sentences, vectors, whole[:, None])
             total = F.get("scores", F.lit(0))

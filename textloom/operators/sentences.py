@@ -57,8 +57,11 @@ def sentences(posts: DataFrame, mode: str = "post", words: str = "words", keep_e
     if keep_empty:
         parts = F.when(led, F.concat(F.array(F.array().cast("array<string>")), parts)).otherwise(parts)
         led = F.lit(False)
+    # How a post begins is told before it is cut: told beside the explode, each of its sentences would carry all of its words.
+    told = posts.select(*others, posts[words], led.alias("_led"))
     # An outer explode, as a test below an inner one would cut the post again.
-    rows = posts.select(*others, led.alias("_led"), F.posexplode_outer(parts).alias("sent", words)).filter(F.col("sent").isNotNull())
+    kept = [c for c in told.columns if c != words]
+    rows = told.select(*kept, F.posexplode_outer(parts).alias("sent", words)).filter(F.col("sent").isNotNull())
     shown = F.col(words) if most is None else F.slice(words, 1, most)
     return rows.select(
         *(c for c in posts.columns if c not in (words, "sent", "n_words")),
