@@ -18,3 +18,14 @@ def test_only_sampled_posts_have_vectors_made(spark, monkeypatch):
     kept = VQ.e05_sample(spark, DATA)
     assert kept.count() > 0
     assert given[0].count() < VQ.sentence_table(spark, DATA).count() / 2
+
+
+def test_a_sentence_does_not_carry_the_words_of_its_post(spark):
+    rows = VQ.E.sentence_vectors(VQ.sentence_table(spark, DATA).select("post_id", "sent", "words"), VQ.word_vectors(spark, DATA))
+    found, below = [], [rows._jdf.queryExecution().optimizedPlan()]
+    while below:
+        node = below.pop()
+        below += [node.children().apply(i) for i in range(node.children().size())]
+        if node.getClass().getSimpleName() == "Generate":
+            found.append([node.requiredChildOutput().apply(i).name() for i in range(node.requiredChildOutput().size())])
+    assert len(found) == 1 and "words" not in found[0], found
